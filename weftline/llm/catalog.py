@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import mix, shard, token_count, url_filter
+from weftline.llm import license_scan, lm_score, mix, near_texts, near_vectors, packing, quality, shard, token_count, url_filter
 
 #: Folder of public tokenizer files; every executor has it.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -36,10 +36,18 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_read(spark, sf_dir, "pages"), HOST_RULES + PATTERN_RULES)
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -48,10 +56,28 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_documents(_read(spark, sf_dir, "documents"), SHARDS, GROWN).withColumn("law", F.lit("key"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE)).drop("ids")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_plan(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_texts.near_texts(_read(spark, sf_dir, "documents")).drop("row")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    judged = quality.judged(docs.select("doc_id", "lang", "text"), labels, with_text=False)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def _values(rules: list[url_filter.Rule]) -> str:
     return ", ".join(f"('{r.name}', '{r.host}', '{r.path}', '{r.action}')" for r in rules)
 
@@ -120,10 +146,8 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITI
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_url_filter": op2_url_filter,
-    "op4_token_counts": op4_token_counts,
-    "op5_sharding": op5_sharding,
-    "op7_mixing": op7_mixing,
+    f.__name__: f
+    for f in (op1_license_scan, op2_url_filter, op3_lm_score, op4_token_counts, op5_sharding, op6_packing, op7_mixing, op8_near_texts, op9_quality, op10_near_vectors)
 }
 
 ORACLES: dict[str, str] = {"op2_url_filter": URL_SQL, "op5_sharding": SHARD_SQL, "op7_mixing": MIX_SQL}
