@@ -18,6 +18,7 @@ from tokenizers import Tokenizer
 
 from weftline.llm.shared import saved
 from weftline.llm.token_count import byte_symbols
+from weftline.llm.wordhash import by_bytes
 
 #: Tokens of a sequence, and of a window in which the sources stand in proportion.
 SEQUENCE, WINDOW = 1024, 16 * 1024
@@ -26,7 +27,7 @@ QUEUES = 4096
 #: The token behind each document.
 END = 0
 #: Words whose ids a worker remembers; beyond it the memory starts afresh.
-CACHE = 1_000_000
+CACHE = 400_000
 
 # The pattern that byte-level vocabularies cut texts by, and a text to try.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -113,7 +114,7 @@ def encoder_of(path: str) -> Encoder:
     return _encoders[path]
 
 
-def tokenised(docs: DataFrame, tokenizer: str, batch_bytes: int = 8 << 20) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, batch_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, source, task, before, n_tokens and ids of each document, END behind it.
 
     task is the partition that read the document, before the tokens of its source that the task read earlier.
@@ -122,21 +123,15 @@ def tokenised(docs: DataFrame, tokenizer: str, batch_bytes: int = 8 << 20) -> Da
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, before = encoder_of(tokenizer), TaskContext.get().partitionId(), {}
-        for batch in batches:
-            texts = batch["text"].fill_null("")
-            size = np.cumsum(pc.binary_length(texts).to_numpy())
-            cuts = [0, *(np.flatnonzero(np.diff(size // batch_bytes)) + 1).tolist(), len(texts)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                sources, starts, n, ids = batch["source"].slice(a, b - a), [], [], []
-                for s, x in zip(sources.to_pylist(), encoder.encode(texts.slice(a, b - a)), strict=True):
-                    starts.append(before.get(s, 0))
-                    n.append(len(x) + 1)
-                    before[s] = starts[-1] + n[-1]
-                    ids.append(np.append(x, END).astype("<u2").tobytes())
-                columns = [batch["doc_id"].slice(a, b - a), sources, pa.array([task] * (b - a), pa.int32()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "task", "before", "n_tokens", "ids"])
+        for batch in (part for b in batches for part in by_bytes(b, batch_bytes)):
+            starts, n, ids = [], [], []
+            for s, x in zip(batch["source"].to_pylist(), encoder.encode(batch["text"].fill_null("")), strict=True):
+                starts.append(before.get(s, 0))
+                n.append(len(x) + 1)
+                before[s] = starts[-1] + n[-1]
+                ids.append(np.append(x, END).astype("<u2").tobytes())
+            columns = [batch["doc_id"], batch["source"], pa.array([task] * len(n), pa.int32()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "task", "before", "n_tokens", "ids"])
 
     return docs.select("doc_id", "text", F.col("source").cast("string")).mapInArrow(encoded, f"doc_id {kind}, source string, task int, before long, n_tokens long, ids binary")
 

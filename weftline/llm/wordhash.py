@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from weftline.llm.shared import SPACE_CHARS
 
@@ -24,6 +26,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def by_bytes(batch: pa.RecordBatch, most: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs whose texts hold about `most` bytes, or one longer text; each run is a copy."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False))
+    edges = [0, *(np.flatnonzero(np.diff(size // most)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if a < b:
+            yield batch.take(pa.array(range(a, b), pa.int64()))
+
+
 @dataclass
 class Words:
     """data holds the bytes of all texts; word i is data[start[i]:end[i]]; text t has the words first[t] to first[t + 1]."""
