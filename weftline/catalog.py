@@ -1,28 +1,384 @@
-"""The library's queries over the driver's tables, and the SQL that gives the same rows."""
+"""The library's queries over the driver's tables, and the SQL that gives the same rows.
+
+The tables hold no workflow artefacts, so each operator runs on a table of the same structure.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from weftline.functions.text import excluded, front_matter_fields, id_prefixes
+from weftline.operators import board, census, config_merge, events, frontmatter, mirror, search, waves
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+ORDER = ["ts", "event_id"]
+STATES = ["view", "click", "signup", "purchase", "error", "archived"]
+
+
+def query(sql: str) -> Callable[[Query], Query]:
+    """Registers a query and its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return add
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-STATES = ["view", "click", "signup", "purchase", "error", "archived"]
+LATEST = "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id"
+
 
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
+def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.latest(table(spark, sf_dir, "events"), "user_id", ORDER, ["event_type", "ts"])
 
+
+@query(f"SELECT s AS event_type, position::INT AS position, count(user_id) AS n FROM (SELECT unnest({STATES}) AS s, unnest(range({len(STATES)})) AS position) LEFT JOIN ({LATEST}) ON s = event_type GROUP BY ALL")
 def board_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    latest = table(spark, sf_dir, "events").withColumn("rank", F.row_number().over(newest)).where("rank = 1")
-    counts = latest.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    board = spark.createDataFrame([(s, i) for i, s in enumerate(STATES)], "event_type string, position int")
-    return board.join(counts, "event_type", "left").select("event_type", "position", F.coalesce("n", F.lit(0)).alias("n"))
+    latest = events.latest(table(spark, sf_dir, "events"), "user_id", ORDER, ["event_type"])
+    return board.columns(latest, "event_type", STATES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"board_columns": board_columns}
-ORACLES: dict[str, str] = {}
+@query("SELECT user_id, event_id, event_type, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT AS position FROM events")
+def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.timeline(table(spark, sf_dir, "events"), "user_id", ORDER).select("user_id", "event_id", "event_type", "position")
+
+
+@query("SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{s}') AS \"{s}\"" for s in STATES[:5]) + " FROM events GROUP BY user_id")
+def activity_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.activity(table(spark, sf_dir, "events"), "user_id", "event_type", STATES[:5])
+
+
+@query("SELECT event_id, user_id, next_status, next_status IS NULL AS is_open FROM (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_status FROM events) WHERE event_type = 'view'")
+def open_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = events.next_status(table(spark, sf_dir, "events"), "user_id", ORDER, "event_type").where("event_type = 'view'")
+    return n.select("event_id", "user_id", "next_status", F.col("next_status").isNull().alias("is_open"))
+
+
+@query("SELECT user_id, a < b AS passed FROM (SELECT user_id, min(ts) FILTER (event_type = 'view') AS a, min(ts) FILTER (event_type = 'purchase') AS b FROM events GROUP BY user_id) WHERE a IS NOT NULL AND b IS NOT NULL")
+def review_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    return events.gate(table(spark, sf_dir, "events"), "user_id", "ts", kind == "view", kind == "purchase")
+
+
+@query("WITH s AS (SELECT *, event_type IS DISTINCT FROM lag(event_type) OVER w AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS streak FROM s) SELECT user_id, event_type, streak::BIGINT AS streak, count(*) AS length FROM r GROUP BY ALL HAVING count(*) > 1")
+def rework_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.streaks(table(spark, sf_dir, "events"), "user_id", ORDER, "event_type").where("length > 1")
+
+
+@query("SELECT event_id, user_id, date_diff('second', date_trunc('second', ts), date_trunc('second', lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) AS seconds FROM events")
+def phase_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.durations(table(spark, sf_dir, "events"), "user_id", ORDER).select("event_id", "user_id", "seconds")
+
+
+JUMPS = [(None, "view"), (None, "click"), ("view", "click"), ("view", "view"), ("click", "purchase"), ("click", "view"), ("purchase", "view"), ("signup", "view")]
+
+
+@query("WITH a(before, after) AS (VALUES " + ", ".join(f"({'NULL' if b is None else repr(b)}, {a!r})" for b, a in JUMPS) + "), e AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT event_id, before, event_type FROM e WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.before IS NOT DISTINCT FROM e.before AND a.after = e.event_type)")
+def illegal_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    allowed = spark.createDataFrame(JUMPS, "before string, after string")
+    return events.illegal_jumps(table(spark, sf_dir, "events"), "user_id", ORDER, "event_type", allowed).select("event_id", "before", "event_type")
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'error') AS error FROM events GROUP BY user_id")
+def blocked_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.activity(table(spark, sf_dir, "events"), "user_id", "event_type", ["error"])
+
+
+@query("SELECT o_custkey, count(*) AS n_reports, count(DISTINCT o_orderstatus) = 1 AS agrees FROM orders GROUP BY o_custkey")
+def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.agreement(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus")
+
+
+PHASES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"]
+
+
+@query(f"SELECT o_orderkey, o_orderpriority, (coalesce(list_position({PHASES}, o_orderpriority) - 1, {len(PHASES)}))::INT AS phase_position, CASE o_orderstatus WHEN 'O' THEN 'todo' WHEN 'F' THEN 'done' END AS phase FROM orders")
+def phase_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phases = spark.createDataFrame([("O", "todo"), ("F", "done")], "o_orderstatus string, phase string")
+    rows = board.with_lookup(table(spark, sf_dir, "orders"), F.broadcast(phases), "o_orderstatus")
+    return board.phase_position(rows, "o_orderpriority", PHASES).select("o_orderkey", "o_orderpriority", "phase_position", "phase")
+
+
+@query("WITH p AS (SELECT p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 48) AS present FROM part) SELECT 'installed' AS state, count(*) FILTER (present) AS n FROM p UNION ALL SELECT 'missing', count(*) FILTER (NOT present) FROM p")
+def census_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 48").select(F.col("l_partkey").alias("p_partkey"), F.lit(True).alias("present")).distinct()
+    return census.counts(table(spark, sf_dir, "part").select("p_partkey").join(used, "p_partkey", "left"))
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_nationkey IN (1, 2, 3) OR s_acctbal > 9000")
+def census_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = spark.createDataFrame([(1,), (2,), (3,)], "s_nationkey int")
+    return census.wanted(table(spark, sf_dir, "supplier"), chosen, "s_nationkey", also="s_acctbal > 9000").select("s_suppkey")
+
+
+@query("SELECT CASE WHEN p_size % 5 = 0 THEN 'brew' WHEN p_size % 3 = 0 THEN 'npm' WHEN p_size % 2 = 0 THEN 'pip' ELSE 'manual' END AS manager, count(*) AS n, min(p_name) AS first_package FROM part GROUP BY 1")
+def manager_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    when = lambda n: F.when(F.col("p_size") % n == 0, F.col("p_name")).otherwise("")
+    deps = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), when(5).alias("brew"), when(3).alias("npm"), when(2).alias("pip"))
+    return deps.select(census.manager().alias("manager"), "name").groupBy("manager").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first_package"))
+
+
+@query("SELECT 4::BIGINT AS n_checks, (SELECT count(*) FROM (SELECT min(l_quantity) >= 1 AS ok FROM lineitem UNION ALL SELECT max(l_discount) <= 0.05 FROM lineitem UNION ALL SELECT count(*) = count(c_name) FROM customer UNION ALL SELECT min(o_totalprice) > 0 FROM orders) WHERE NOT ok) AS n_failed, false AS passed")
+def sanity_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item, customer, orders = (table(spark, sf_dir, t) for t in ("lineitem", "customer", "orders"))
+    checks = [item.agg((F.min("l_quantity") >= 1).alias("ok")), item.agg((F.max("l_discount") <= 0.05).alias("ok")), customer.agg((F.count(F.lit(1)) == F.count("c_name")).alias("ok")), orders.agg((F.min("o_totalprice") > 0).alias("ok"))]
+    return mirror.verdict(checks[0].union(checks[1]).union(checks[2]).union(checks[3]))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mirror.orphans(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+def _mirrored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    copy = rows.where("s_suppkey % 10 <> 5").withColumn("s_name", F.when(F.col("s_suppkey") % 7 == 0, F.concat("s_name", F.lit("!"))).otherwise(F.col("s_name")))
+    return rows.where("s_suppkey % 10 <> 3"), copy
+
+
+DRIFT_SQL = "SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 5 THEN 'MISSING' WHEN s_suppkey % 10 = 3 THEN 'ORPHAN' WHEN s_suppkey % 7 = 0 THEN 'DRIFT' ELSE 'OK' END AS action FROM supplier"
+
+
+@query(DRIFT_SQL)
+def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mirror.drift(*_mirrored(spark, sf_dir), "s_suppkey", "s_name")
+
+
+def _plan_sql(gone: str) -> str:
+    return f"SELECT s_suppkey, CASE action WHEN 'MISSING' THEN 'COPY' WHEN 'DRIFT' THEN 'UPDATE' WHEN 'ORPHAN' THEN '{gone}' ELSE 'KEEP' END AS action FROM ({DRIFT_SQL})"
+
+
+@query(_plan_sql("KEEP"))
+def upsert_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mirror.sync_plan(*_mirrored(spark, sf_dir), delete=False, key="s_suppkey", value="s_name")
+
+
+@query(_plan_sql("DELETE"))
+def mirror_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mirror.sync_plan(*_mirrored(spark, sf_dir), delete=True, key="s_suppkey", value="s_name")
+
+
+@query("SELECT r_regionkey, target FROM region, (VALUES ('cursor'), ('vscode'), ('kilo')) t(target)")
+def fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = spark.createDataFrame([("cursor",), ("vscode",), ("kilo",)], "target string")
+    return mirror.fan_out(table(spark, sf_dir, "region").select("r_regionkey"), targets)
+
+
+@query("SELECT p_brand, (row_number() OVER (ORDER BY p_brand DESC))::INT AS rank FROM (SELECT DISTINCT p_brand FROM part)")
+def distinct_keys_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a row for each brand
+    return table(spark, sf_dir, "part").select("p_brand").distinct().withColumn("rank", F.row_number().over(Window.orderBy(F.col("p_brand").desc())))
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(*ORDER))
+    e = table(spark, sf_dir, "events").withColumn("ord", place)
+    # an error event resets what came before it
+    return e.select("ord", F.col("user_id").alias("server"), F.lit("k").alias("field"), F.get_json_object("props", "$.k").alias("value"), (F.col("event_type") != "error").alias("is_object"))
+
+
+PROPS_SQL = "WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord FROM events), r AS (SELECT user_id, max(ord) FILTER (event_type = 'error') AS reset FROM e GROUP BY user_id) SELECT e.user_id AS server, 'k' AS field, arg_max(json_extract_string(props, '$.k'), ord) AS value FROM e JOIN r USING (user_id) WHERE event_type <> 'error' AND (reset IS NULL OR ord > reset) {} GROUP BY e.user_id"
+
+
+@query(PROPS_SQL.format(""))
+def props_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return config_merge.last_values(_fields(spark, sf_dir))
+
+
+@query(PROPS_SQL.format("AND e.user_id IN (1, 2, 3, 5, 8, 13)"))
+def props_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keep = spark.createDataFrame([(i,) for i in (1, 2, 3, 5, 8, 13)], "server long")
+    return config_merge.last_values(_fields(spark, sf_dir).join(keep, "server", "left_semi"))
+
+
+@query("""SELECT event_id AS ord, CASE WHEN event_type IN ('click', 'error') THEN 'local' WHEN event_type = 'view' THEN 'remote' ELSE 'passthrough' END AS transport,
+  CASE WHEN event_type IN ('click', 'error') THEN '{"type":"stdio","command":"' || event_type || '","args":[]}' WHEN event_type = 'view' THEN '{"type":"http","url":"' || user_id || '"}' ELSE '{"note":"' || event_type || '"}' END AS shape FROM events""")
+def emit_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    text = F.when(kind.isin("click", "error"), F.to_json(F.struct(kind.alias("command"), F.col("user_id").cast("string").alias("url")))).when(kind == "view", F.to_json(F.struct(F.col("user_id").cast("string").alias("url"), F.lit(1).alias("cwd")))).otherwise(F.to_json(F.struct(kind.alias("note"))))
+    defs = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("server"), F.col("event_id").alias("ord"), text.alias("def"))
+    return config_merge.emitted(defs, "vscode").select("ord", "transport", "shape")
+
+
+@query("SELECT page_id, regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1) AS lang, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title FROM pages")
+def header_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", '<html[^>]*lang="([^"]*)"', 1).alias("lang"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
+
+
+@query("SELECT c_custkey, 'Customer: ' || c_name AS first, c_mktsegment AS segment, 2::INT AS n FROM customer")
+def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.concat(F.lit("segment: old\nno colon here\ntitle: Customer: "), F.col("c_name"), F.lit("\n segment :"), F.col("c_mktsegment"), F.lit(" "))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", front_matter_fields(head).alias("f"))
+    return rows.select("c_custkey", F.col("f.title").alias("first"), F.col("f.segment").alias("segment"), F.size("f").alias("n"))
+
+
+@query("SELECT doc_id::VARCHAR AS name, array_to_string(list_filter(['License', '@', 'the'], lambda s: NOT contains(text, s)), ',') AS missing, CASE WHEN contains(text, 'License') AND contains(text, '@') AND contains(text, 'the') THEN 0 ELSE 2 END AS severity FROM documents")
+def required_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.lit(True).alias("has_header"), F.create_map(F.lit("name"), F.lit("x")).alias("fields"), F.col("text").alias("body"))
+    return frontmatter.contract(docs, ["name"], ["License", "@", "the"]).select("name", F.concat_ws(",", "missing_sections").alias("missing"), "severity")
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]*)', 1) AS first_part FROM pages")
+def path_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.regexp_extract("url", "^[a-z]+://[^/]+/([^/?#]*)", 1).alias("first_part"))
+
+
+@query("SELECT page_id FROM pages WHERE NOT list_has_any(string_split(url, '/'), ['es', 'fr'])")
+def exclude_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").where(~excluded("url", ["es", "fr"])).select("page_id")
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    tasks = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    k = F.col("id")
+    blockers = F.explode(F.array_distinct(F.array(F.floor(k / 2), F.floor(k / 3)))).alias("blocker")
+    return tasks, tasks.where("id > 1").select("id", blockers).where("blocker >= 1").select("id", F.col("blocker").cast("long").alias("blocker"))
+
+
+EDGES_SQL = "e AS (SELECT DISTINCT p_partkey AS id, unnest([p_partkey // 2, p_partkey // 3]) AS blocker FROM part WHERE p_partkey > 1), g AS (SELECT * FROM e WHERE blocker >= 1 AND blocker IN (SELECT p_partkey FROM part))"
+
+
+@query(f"WITH RECURSIVE {EDGES_SQL}, w(id, level) AS (SELECT p_partkey, 1 FROM part UNION SELECT g.id, w.level + 1 FROM w JOIN g ON g.blocker = w.id) SELECT id, max(level)::INT AS wave, false AS in_cycle FROM w GROUP BY id")
+def waves_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return waves.waves(*_graph(spark, sf_dir))
+
+
+@query("WITH e AS (SELECT DISTINCT p_partkey AS id, unnest([p_partkey // 2, p_partkey // 3]) AS blocker FROM part WHERE p_partkey > 1) SELECT p_partkey AS id FROM part WHERE p_partkey % 2 = 1 AND NOT EXISTS (SELECT 1 FROM e WHERE e.id = p_partkey AND blocker >= 1 AND blocker % 2 = 1)")
+def ready_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks, edges = _graph(spark, sf_dir)
+    return waves.ready(tasks, edges, tasks.where("id % 2 = 0").union(spark.createDataFrame([(0,)], "id long")))
+
+
+@query("WITH e AS (SELECT DISTINCT p_partkey AS id, unnest([p_partkey // 2, p_partkey // 3]) AS blocker FROM part WHERE p_partkey > 1) SELECT min(p_partkey) AS id FROM part WHERE p_partkey % 2 = 1 AND NOT EXISTS (SELECT 1 FROM e WHERE e.id = p_partkey AND blocker >= 1 AND blocker % 2 = 1)")
+def next_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks, edges = _graph(spark, sf_dir)
+    return waves.next_unit(tasks, edges, tasks.where("id % 2 = 0"), ["id"])
+
+
+@query(f"WITH RECURSIVE {EDGES_SQL}, r(id) AS (SELECT 7 UNION SELECT g.id FROM r JOIN g ON g.blocker = r.id) SELECT id::BIGINT AS id FROM r")
+def failure_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return waves.failed_and_blocked(_graph(spark, sf_dir)[1], spark.createDataFrame([(7,)], "id long"))
+
+
+@query(f"WITH RECURSIVE {EDGES_SQL}, r(id) AS (SELECT 150 UNION SELECT g.blocker FROM r JOIN g ON g.id = r.id) SELECT id::BIGINT AS id FROM r")
+def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return waves.impact(_graph(spark, sf_dir)[1], spark.createDataFrame([(150,)], "id long"))
+
+
+@query("WITH n AS (SELECT max(p_partkey) AS m FROM part), a AS (SELECT p_partkey AS id, p_partkey // 2 AS blocker FROM part WHERE p_partkey > 1), b AS (SELECT 2 * p_partkey AS id, p_partkey AS blocker FROM part WHERE p_partkey % 5 <> 0 AND p_partkey >= 1) SELECT *, 'blockedBy' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'unblocks' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
+def edge_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    blocked = tasks.where("id > 1").select("id", F.floor(F.col("id") / 2).cast("long").alias("blocker"))
+    unblocks = tasks.where("id % 5 <> 0 and id >= 1").select((F.col("id") * 2).alias("id"), F.col("id").alias("blocker"))
+    return waves.inverse_gaps(blocked, unblocks)
+
+
+@query("SELECT DISTINCT a.l_orderkey AS a, b.l_orderkey AS b FROM lineitem a JOIN lineitem b USING (l_partkey, l_suppkey) WHERE a.l_orderkey < b.l_orderkey")
+def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    owned = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat_ws("/", "l_partkey", "l_suppkey").alias("file"))
+    return waves.overlaps(owned)
+
+
+@query("SELECT md5(lower(trim(text))) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return waves.duplicated(table(spark, sf_dir, "documents").select(F.md5(F.lower(F.trim("text"))).alias("digest")), "digest")
+
+
+@query("WITH t AS (SELECT conv_id, turn FROM conversations WHERE role <> 'system') SELECT a.conv_id, a.turn, b.turn IS NOT NULL AS has_before FROM t a LEFT JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1")
+def turn_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "conversations").where("role <> 'system'").select("conv_id", "turn")
+    before = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("has_before"))
+    return t.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("has_before", F.lit(False)).alias("has_before"))
+
+
+@query("WITH d AS (SELECT 'r.' || r_regionkey || '.' || n_nationkey AS id, 'r.' || r_regionkey AS p, c_acctbal > 0 AS done FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), x AS (SELECT unnest(['r', p, id]) AS ancestor, done FROM d) SELECT ancestor, count(*) AS n, count(*) FILTER (done) AS n_done FROM x GROUP BY ancestor")
+def rollup_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.concat_ws(".", F.lit("r"), "n_regionkey", "n_nationkey").alias("id"))
+    items = table(spark, sf_dir, "customer").join(nation, "c_nationkey").select("id", (F.col("c_acctbal") > 0).alias("done"))
+    return board.rollup(items, "id", "done")
+
+
+@query("WITH v AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END AS name FROM customer) SELECT min(name) AS canonical, count(DISTINCT name) AS n_variants, count(*) AS n FROM v GROUP BY lower(name)")
+def name_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("c_custkey") % 2 == 0, F.upper("c_mktsegment")).otherwise(F.lower("c_mktsegment"))
+    return search.consolidated(table(spark, sf_dir, "customer").select(name.alias("name")), "name")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(text, 'License')")
+def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.exact(table(spark, sf_dir, "documents"), "text", "License").select("doc_id")
+
+
+@query("SELECT doc_id, length(text) AS n_full FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10")
+def preview_then_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ids = search.top(docs.select("doc_id", "n_chars", F.substring("text", 1, 80).alias("preview")), "n_chars", "doc_id", 10)
+    return search.full(F.broadcast(ids), docs, "doc_id").select("doc_id", F.length("text").cast("long").alias("n_full"))
+
+
+@query("WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q) SELECT vec_id, round(score, 4) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 10")
+def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id = 0").select("embedding").first().embedding
+    return search.top(search.cosine_to(vectors, "embedding", asked), "score", "vec_id", 10).select("vec_id", F.round("score", 4).alias("score"))
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 AND toxic = 1 THEN 'both' WHEN quality = 1 THEN 'left' ELSE 'right' END AS side FROM labels WHERE quality = 1 OR toxic = 1")
+def findings_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    return search.overlap(labels.where("quality = 1").select("doc_id"), labels.where("toxic = 1").select("doc_id"))
+
+
+@query("SELECT doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 0 WHEN d.lang = 'en' THEN 1 ELSE 2 END::INT AS layer FROM documents d LEFT JOIN labels l USING (doc_id)")
+def layered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit("x").alias("value"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.lit("x").alias("value"))
+    return search.first_layer([labels, docs.where("lang = 'en'"), docs], "doc_id", "value").select("doc_id", "layer")
+
+
+@query("SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_totalprice > 1000 THEN NULL ELSE 'price' END, CASE WHEN o_orderstatus <> 'P' THEN NULL ELSE 'status' END, CASE WHEN year(o_orderdate) >= 1994 THEN NULL ELSE 'date' END], lambda x: x IS NOT NULL), ',') AS failed, o_totalprice > 1000 AND o_orderstatus <> 'P' AND year(o_orderdate) >= 1994 AS passed FROM orders")
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = {"price": "o_totalprice > 1000", "status": "o_orderstatus <> 'P'", "date": "year(o_orderdate) >= 1994"}
+    return board.failed_rules(table(spark, sf_dir, "orders"), rules).select("o_orderkey", F.concat_ws(",", "failed").alias("failed"), "passed")
+
+
+@query("SELECT n_nationkey, s FROM nation, (SELECT DISTINCT c_mktsegment AS s FROM customer) WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_mktsegment = s AND c_acctbal > 9000)")
+def missing_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = table(spark, sf_dir, "customer").withColumnsRenamed({"c_nationkey": "n_nationkey", "c_mktsegment": "s"})
+    expected = mirror.fan_out(table(spark, sf_dir, "nation").select("n_nationkey"), customer.select("s").distinct())
+    return board.missing(expected, customer.where("c_acctbal > 9000"), ["n_nationkey", "s"])
+
+
+@query("SELECT c_custkey AS change_id, coalesce(n_orders, 0) AS n_orders, n_orders IS NOT NULL AS has_orders, EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey) AS has_supplier FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) ON o_custkey = c_custkey")
+def session_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("change_id"))
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("change_id")).agg(F.count(F.lit(1)).alias("n_orders"))
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("change_id"))
+    return board.change_view(changes, {"orders": orders, "supplier": supplier}).select("change_id", F.coalesce("n_orders", F.lit(0)).alias("n_orders"), "has_orders", "has_supplier")
+
+
+@query("SELECT s_suppkey, field, value FROM (SELECT s_suppkey, s_name, CASE WHEN s_nationkey > 12 THEN s_nationkey::VARCHAR END AS nation FROM supplier) UNPIVOT (value FOR field IN (s_name, nation))")
+def placement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_nationkey") > 12, F.col("s_nationkey").cast("string")).alias("nation"))
+    return board.unpivoted(wide, "s_suppkey", "field", "value")
+
+
+@query("WITH i AS (SELECT DISTINCT 'r.' || n_regionkey AS id FROM nation UNION SELECT 'r.' || n_regionkey || '.' || n_nationkey FROM nation WHERE n_regionkey <> 2) SELECT i.id, CASE WHEN contains(i.id, '.') THEN regexp_replace(i.id, '\\.[^.]+$', '') END AS parent, EXISTS (SELECT 1 FROM i p WHERE p.id = regexp_replace(i.id, '\\.[^.]+$', '')) AS parent_found, len(string_split(i.id, '.'))::INT AS depth FROM i")
+def id_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    ids = nation.select(F.concat_ws(".", F.lit("r"), "n_regionkey").alias("id")).union(nation.where("n_regionkey <> 2").select(F.concat_ws(".", F.lit("r"), "n_regionkey", "n_nationkey"))).distinct()
+    return board.with_parent(ids, "id").select("id", "parent", "parent_found", F.size(id_prefixes("id")).alias("depth"))
+
+
+QUERIES["waves"] = QUERIES.pop("waves_query")
+ORACLES["waves"] = ORACLES.pop("waves_query")
