@@ -113,8 +113,9 @@ def test_readers_and_stream(spark, tmp_path):
     query = latest.to_table(latest.latest_state(latest.event_stream(spark, str(log))), str(tmp_path / "out"), str(tmp_path / "ck"))
     query.awaitTermination(60)
     assert [r.status for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["completed"]
-    (tmp_path / "PRD01_first.md").write_text("# T\nStatus: todo\n")
-    (prd,) = readers.prds(spark, str(tmp_path)).collect()
+    (tmp_path / "prd").mkdir()
+    (tmp_path / "prd" / "PRD01_first.md").write_text("# T\nStatus: todo\n")
+    (prd,) = readers.prds(spark, str(tmp_path / "prd")).collect()
     assert (prd.prd_id, prd.slug, prd.status) == ("01", "first", "todo")
     docs = spark.createDataFrame([("c", "# Tasks\n- [ ] A [AFK] one\n- [x] B [HITL] two (blockedBy: A, C)\n")], "change_id string, text string")
     assert [(r.id, r.done, r.label, r.blockedBy) for r in readers.tasks(docs).orderBy("position").collect()] == [("A", False, "AFK", []), ("B", True, "HITL", ["A", "C"])]
