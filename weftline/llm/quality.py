@@ -25,12 +25,14 @@ CUTOFFS: dict[str, list[float]] = {
 def text_features(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; a null text counts as empty.
 
-    Three-word windows are compared by a 64-bit hash and sorted with their places, so a text of n words takes
-    n log n steps. The features of a text need no other row.
+    Three-word windows are compared by a 64-bit hash, and sorted with their places where any repeats, so a text of n
+    words takes n log n steps. The features of a text need no other row.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.withColumn("__words", words(F.col("text"))).withColumn("n_words", F.size("__words").cast("long"))
-    d = d.withColumn("__windows", F.expr("case when n_words < 3 then array() else sort_array(transform(sequence(0, cast(n_words as int) - 3), i -> struct(xxhash64(__words[i], __words[i + 1], __words[i + 2]) as h, i as i))) end"))
+    d = d.withColumn("__hashes", F.expr("case when n_words < 3 then cast(array() as array<bigint>) else transform(sequence(0, cast(n_words as int) - 3), i -> xxhash64(__words[i], __words[i + 1], __words[i + 2])) end"))
+    # most texts repeat no window, and need no sort
+    d = d.withColumn("__windows", F.expr("case when size(array_distinct(__hashes)) = size(__hashes) then array() else sort_array(transform(__hashes, (h, i) -> struct(h as h, i as i))) end"))
     # places of windows that stand twice or more, in order
     d = d.withColumn("__found", F.expr("sort_array(transform(filter(__windows, (x, i) -> (i > 0 and get(__windows, i - 1).h = x.h) or get(__windows, i + 1).h <=> x.h), x -> x.i))"))
     covered = "aggregate(__found, struct(-3 as last, 0L as n), (a, i) -> struct(i as last, a.n + least(3, i - a.last) as n), a -> a.n)"
@@ -46,7 +48,7 @@ def text_features(docs: DataFrame) -> DataFrame:
         }
     )
     d = d.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
-    return d.drop("__words", "__windows", "__found", "__lines")
+    return d.drop("__words", "__hashes", "__windows", "__found", "__lines")
 
 
 def scores() -> dict[str, Column]:
