@@ -110,8 +110,9 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", *, risk: f
     known = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__quality")).where("__quality is not null")
     labelled = features.select("doc_id", "__stratum", *FEATURES).join(known, F.col("doc_id") == F.col("__id")).withColumn("quality", F.col("__quality"))
     cutoffs = risk_controlled(labelled, "__stratum", risk=risk, doubt=doubt)
-    # one row for each stratum
+    # one row for each stratum; written, so that its size is known and Spark joins a small one without a shuffle of the texts
     wide = cutoffs.groupBy(F.col("stratum").alias("__of")).agg(*[F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"__{rule}") for rule in CUTOFFS])
+    wide = saved(wide, "quality-cutoffs")
     out = features.join(wide, F.col("__stratum").eqNullSafe(F.col("__of")), "left")
     above = [F.coalesce(score > F.col(f"__{rule}"), F.lit(False)) for rule, score in scores().items()]
     rejected = F.col("base_failed")
