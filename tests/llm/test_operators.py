@@ -112,6 +112,12 @@ def test_packing(docs, rows):
             assert np.frombuffer(b"".join(r.ids for r in own), "<u4").tolist() == list(ids[0])
 
 
+def test_packing_refuses_ids_beyond_16_bits(monkeypatch):
+    monkeypatch.setattr(packing, "MAX_IDS", 1000)
+    with pytest.raises(ValueError, match="16 bits"):
+        packing.Encoder(TOKENIZER)
+
+
 def test_packing_keeps_sources_in_proportion():
     tokens = [100_000, 40_000, 7, 60_000]
     s = packing.Schedule(tokens)

@@ -24,6 +24,8 @@ from weftline.llm.wordhash import by_bytes
 SEQUENCE, WINDOW = 1024, 16 * 1024
 #: Source queues; where there are more sources, several share a queue.
 QUEUES = 4096
+#: Ids are written as 16-bit numbers; a larger vocabulary is refused.
+MAX_IDS = 1 << 16
 #: The token behind each document.
 END = 0
 #: Words whose ids a worker remembers; beyond it the memory starts afresh.
@@ -50,6 +52,8 @@ class Encoder:
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         symbols = byte_symbols()
         ranks = {bytes(symbols[c] for c in piece): i for piece, i in tokenizer.get_vocab().items() if all(c in symbols for c in piece) and not (piece.startswith("<|") and piece.endswith("|>"))}
+        if max(ranks.values(), default=0) >= MAX_IDS:
+            raise ValueError(f"{path} has ids of {MAX_IDS} or more; they are kept in 16 bits")
         self.encoding = tiktoken.Encoding("parts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         if self._ids(PROBE) != tokenizer.encode(PROBE, add_special_tokens=False).ids:
             raise ValueError(f"{path} is not a byte-level vocabulary with ids in the order of its merges")
