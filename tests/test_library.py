@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import board, census, config_merge, events, frontmatter, mirror, waves
+from weftline.operators import board, census, config_merge, documents, events, frontmatter, mirror, waves
 from weftline.plans import tables
 from weftline.sources import readers
 from weftline.streaming import latest
@@ -131,3 +131,19 @@ def test_gates(spark):
     log = spark.createDataFrame([(1, "k", "created"), (2, "k", "kept")], "t int, k string, status string")
     assert [r.status for r in events.illegal_jumps(log, "k", ["t"], "status", allowed).collect()] == ["kept"]
     assert events.durations(log.withColumn("t", F.to_timestamp(F.lit("2026-01-01"))), "k", ["t"]).count() == 2
+
+
+def test_documents(spark):
+    text = "# Handoff\n## Goal\nship\nit\n### Next action\n\n## Empty\n"
+    (r,) = documents.sections(spark.createDataFrame([(text,)], "text string"), {"goal": "goal", "next": "Next action", "empty": "Empty", "none": "None"}).collect()
+    assert (r.goal, r.next, r.empty, r.none) == ("ship\nit", "", "", None)
+    (r,) = documents.labelled(spark.createDataFrame([("x\n* **Accepted** : yes \nAccepted: no",)], "text string"), {"accepted": "accepted", "other": "other"}).collect()
+    assert (r.accepted, r.other) == ("yes", None)
+    index = spark.createDataFrame([("i", "| PRD02_b-c.md | x |\nno\n- PRD01_a.md")], "path string, text string")
+    assert [(r.position, r.prd_id, r.slug) for r in documents.prd_index(index).orderBy("position").collect()] == [(0, "02", "b-c"), (2, "01", "a")]
+    tasks, context = spark.createDataFrame([(1, "t", "x"), (2, "u", "y")], "c int, id string, goal string"), spark.createDataFrame([(1, "g")], "c int, goal string")
+    assert {(r.packet.task.id, r.packet.task.goal, r.packet.context.goal) for r in documents.packets(tasks, context, "c").collect()} == {("t", "x", "g"), ("u", "y", None)}
+    levels = spark.createDataFrame([("a", 2), ("b", 1), ("c", None)], "id string, wave int")
+    items = spark.createDataFrame([("a", 0, True), ("b", 1, None), ("c", 2, True)], "id string, position int, verified boolean")
+    assert [r.id for r in waves.in_dependency_order(levels, items).collect()] == ["b", "a", "c"]
+    assert {r.wave: (r.n_tasks, r.n_failed, r.all_verified) for r in waves.wave_summary(levels, items).collect()}[1] == (1, 1, False)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import excluded, front_matter_fields, id_prefixes
-from weftline.operators import board, census, config_merge, events, frontmatter, mirror, search, waves
+from weftline.operators import board, census, config_merge, documents, events, frontmatter, mirror, search, waves
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -380,5 +380,40 @@ def id_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return board.with_parent(ids, "id").select("id", "parent", "parent_found", F.size(id_prefixes("id")).alias("depth"))
 
 
+@query("SELECT c_custkey, c_name || chr(10) || 'more' AS goal, '- ' || c_mktsegment AS blockers, NULL::VARCHAR AS evidence FROM customer")
+def handoff_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("# Handoff\n\n## Goal\n"), F.col("c_name"), F.lit("\nmore\n\n## blockers\n- "), F.col("c_mktsegment"), F.lit("\n"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
+    return documents.sections(rows, {"goal": "Goal", "blockers": "Blockers", "evidence": "Evidence"}).drop("text")
+
+
+@query("SELECT c_custkey, c_name AS question, c_mktsegment AS hitl, NULL::VARCHAR AS reason FROM customer")
+def decision_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("Question: "), F.col("c_name"), F.lit(" \n- **HITL required**: "), F.col("c_mktsegment"), F.lit("\nquestion: other\n"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
+    return documents.labelled(rows, {"question": "Question", "hitl": "HITL required", "reason": "Reason"}).drop("text")
+
+
+@query("SELECT n_regionkey, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::INT AS position, n_nationkey::VARCHAR AS prd_id, lower(replace(n_name, ' ', '-')) AS slug FROM nation")
+def prd_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("- [x](PRD"), F.col("n_nationkey").cast("string"), F.lit("_"), F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))), F.lit(".md)"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", name.alias("line")))), lambda x: x["line"])
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("# Index\n"), F.concat_ws("\n", lines)).alias("text"))
+    return documents.prd_index(rows.withColumn("path", F.col("n_regionkey"))).withColumnRenamed("path", "n_regionkey")
+
+
+@query("SELECT o_orderkey, o_orderpriority AS label, CASE WHEN c_acctbal > 0 THEN c_name END AS goal FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def task_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("change_id"), "o_orderkey", F.col("o_orderpriority").alias("label"))
+    context = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("change_id"), F.col("c_name").alias("goal"))
+    return documents.packets(tasks, context, "change_id").select("packet.task.*", "packet.context.goal")
+
+
+@query(f"WITH RECURSIVE {EDGES_SQL}, w(id, level) AS (SELECT p_partkey, 1 FROM part UNION SELECT g.id, w.level + 1 FROM w JOIN g ON g.blocker = w.id), l AS (SELECT id, max(level)::INT AS wave FROM w GROUP BY id) SELECT wave, count(*) AS n_tasks, count(*) FILTER (p_size > 45) AS n_failed, bool_and(p_size <= 45) AS all_verified FROM l JOIN part ON p_partkey = id GROUP BY wave")
+def wave_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") <= 45).alias("verified"))
+    return waves.wave_summary(waves.waves(*_graph(spark, sf_dir)), tasks)
+
+
 QUERIES["waves"] = QUERIES.pop("waves_query")
 ORACLES["waves"] = ORACLES.pop("waves_query")

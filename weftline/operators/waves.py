@@ -93,3 +93,14 @@ def serialised(levels: DataFrame, owned: DataFrame) -> DataFrame:
 def duplicated(rows: DataFrame, key: str) -> DataFrame:
     """(key, n) of values that more than one row has."""
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def wave_summary(levels: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(wave, n_tasks, n_failed, all_verified) of levels (id, wave) and tasks (id, verified); a null counts as not verified."""
+    fine = F.coalesce(F.col("verified"), F.lit(False))
+    return levels.join(tasks.select("id", "verified"), "id").groupBy("wave").agg(F.count(F.lit(1)).alias("n_tasks"), F.count(F.when(~fine, 1)).alias("n_failed"), F.bool_and(fine).alias("all_verified"))
+
+
+def in_dependency_order(levels: DataFrame, items: DataFrame, position: str = "position") -> DataFrame:
+    """Items (id, position, ...) with their wave, sorted by wave and then by their own position; those in a cycle come last."""
+    return items.join(levels.select("id", "wave"), "id").orderBy(F.col("wave").asc_nulls_last(), position)
