@@ -39,7 +39,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The alignments and the tokenizer are beyond SQL; tests hold the stages against brute force.
+#: The alignments and the tokenizer are beyond SQL. Operators are tested against brute force; the stages and run() are not.
 ORACLE_SQL: str | None = None
 
 
