@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import dropped, join_hot, saved
+from weftline.llm.shared import dropped, saved
 
 #: Rounds after which something must be wrong: they grow with the logarithm of the largest component.
 MAX_ROUNDS = 64
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
-    """The number of edges and a sum over them."""
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
 
 
@@ -27,13 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
     stars = saved(ends, "edges")
     before = _fingerprint(stars)
     for _ in range(MAX_ROUNDS):
-        total = before[0]
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(stars.select("lo", "hi"))
-        smallest = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.when(F.col("v") > F.col("u"), 1)).alias("n")).where("n > 0")
-        smallest = smallest.select("u", F.least("u", "m").alias("m"), "n")
-        large = join_hot(both.where("v > u"), smallest, "u", "n", total).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = join_hot(large, least, "hi", "n", total).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(smallest, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         old, stars = stars, saved(small.union(least.select("hi", "m")).distinct(), "stars")
         dropped(old)
         now = _fingerprint(stars)

@@ -38,19 +38,6 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_hot(big: DataFrame, small: DataFrame, key: str, weight: str, total: int, parts: int = 1000) -> DataFrame:
-    """big joined with small, which has one row for each key, and in `weight` the rows of big that have the key.
-
-    Keys with more than one in `parts` of the total rows are fewer than `parts`, so these are broadcast and their
-    rows stay where they are; all others are joined by a shuffle in which no key is hot.
-    """
-    most = max(total // parts, 1000)
-    hot = small.where(F.col(weight) > most)
-    cold = small.where(F.col(weight) <= most)
-    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return big.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
-
-
 def words(text: Column) -> Column:
     """The words of a text, an empty array for null, empty and blank texts."""
     # btrim takes the ends off first, so that split gives no empty word beside them
