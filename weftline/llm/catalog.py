@@ -61,7 +61,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix.mix_plan(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix.mix_plan(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "virtual_finish")
 
 
 def op8_near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def op8_near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
-    judged = quality.judged(docs.select("doc_id", "lang", "text"), labels, with_text=False)
+    judged = quality.judged(docs, labels, carried=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -115,16 +115,70 @@ s2 AS (
     (sum(source_size::DOUBLE) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
       / sum(weight) OVER (ORDER BY most / weight, source_rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1),
 t AS (SELECT arg_min(level, row(fill, source_rank)) AS t FROM s2 WHERE level <= fill),
-s3 AS (SELECT source, source_size, least(weight * t, most) AS target, round(least(weight * t, most))::BIGINT AS budget FROM s2, t),
+s3 AS (SELECT source, source_rank, source_size, weight, least(weight * t, most) AS target FROM s2, t),
+runs AS (SELECT doc_id, source, size, shuffled, count(*) AS copies, size * count(*) AS words FROM d GROUP BY doc_id, source, size, shuffled),
 q AS (
-  SELECT doc_id, d.source, size, source_size, target, budget,
-    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY shuffled, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN s3 ON d.source IS NOT DISTINCT FROM s3.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, budget - start)) + greatest(0, least(size, budget - start - source_size)) + greatest(0, least(size, budget - start - 2 * source_size)))::BIGINT AS taken
-FROM q
+  SELECT doc_id, runs.source, size, copies, words, source_rank, source_size, weight, target,
+    coalesce(sum(words) OVER (PARTITION BY runs.source ORDER BY shuffled, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM runs JOIN s3 ON runs.source IS NOT DISTINCT FROM s3.source),
+firsts AS (SELECT *, unnest(range(0, words::BIGINT, {mix.PACKET})) AS skipped FROM q),
+parts AS (
+  SELECT source_rank, weight, (epoch * source_size + start + skipped)::BIGINT AS place, least({mix.PACKET}, words - skipped)::BIGINT AS n
+  FROM firsts, range(0, {mix.EPOCHS}) e(epoch)),
+sorted AS (
+  SELECT source_rank, n, sum(n) OVER (ORDER BY (place + n)::DOUBLE / weight, source_rank, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM parts),
+total AS (SELECT sum(words) AS total FROM q),
+by_source AS (SELECT source_rank, sum(greatest(0, least(n, total - (upto - n))))::BIGINT AS served FROM sorted, total GROUP BY source_rank),
+each_copy AS (SELECT q.*, coalesce(by_source.served, 0) AS served, unnest(range(0, q.copies)) AS copy FROM q LEFT JOIN by_source USING (source_rank)),
+c AS (SELECT *, start + copy * size AS place FROM each_copy)
+SELECT doc_id, size::INT::BIGINT AS size, source_size, target,
+  (greatest(0, least(size, served - place)) + greatest(0, least(size, served - place - source_size)) + greatest(0, least(size, served - place - 2 * source_size)))::BIGINT AS taken,
+  (place + size)::DOUBLE / weight AS virtual_finish
+FROM c
 """
 
+QUALITY_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text, {WORDS_SQL} AS w FROM documents),
+wins AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n FROM wins) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT place) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS place FROM rep) GROUP BY rid),
+lines AS (SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM d),
+f AS (
+  SELECT rid, doc_id, lang, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(text) - length(translate(text, '{quality.SYMBOLS}', '')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM d JOIN lines USING (rid) LEFT JOIN covered USING (rid)),
+g AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    {{'symbols': CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END, 'repeats': CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END,
+      'duplicate_lines': CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END}} AS s FROM f),
+r AS (
+  SELECT rid, lang, doc_id, base_failed, unnest([{{'rule': 'symbols', 'score': s.symbols}}, {{'rule': 'repeats', 'score': s.repeats}}, {{'rule': 'duplicate_lines', 'score': s.duplicate_lines}}], recursive := true) FROM g),
+steps(rule, step, cutoff) AS (VALUES {", ".join(f"('{rule}', {i}, {c}::DOUBLE)" for rule, own in quality.CUTOFFS.items() for i, c in enumerate(own))}),
+good AS (SELECT r.* FROM r JOIN labels l ON l.doc_id = r.doc_id WHERE l.quality = 1 AND NOT base_failed),
+n AS (SELECT lang, rule, step, cutoff, count(*) AS n, count(*) FILTER (score > cutoff) AS k FROM good JOIN steps USING (rule) GROUP BY ALL),
+level AS (SELECT {quality.DOUBT} / (3 * (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM good)) AS level, {quality.RISK} / 3 AS p),
+safe AS (
+  SELECT lang, rule, step, cutoff, k <= n * p AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - CASE WHEN n = i THEN 0 ELSE lgamma(n - i + 1) END + i * ln(p) + (n - i) * ln(1 - p)))) <= level AS safe
+  FROM n, level),
+first AS (SELECT lang, rule, min(step) FILTER (NOT safe) AS failed FROM safe GROUP BY ALL),
+cut AS (SELECT s.lang, s.rule, min(cutoff) AS cutoff FROM safe s JOIN first f ON s.lang IS NOT DISTINCT FROM f.lang AND s.rule = f.rule WHERE failed IS NULL OR step < failed GROUP BY ALL),
+out AS (SELECT DISTINCT r.rid FROM r JOIN cut c ON r.lang IS NOT DISTINCT FROM c.lang AND r.rule = c.rule WHERE score > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM out) AS kept FROM g
+"""
+
+VECTOR_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+c AS (SELECT a, least(a, min(b)) AS component FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
 
 def _rendezvous_sql(shards: dict[int, float]) -> str:
     """The shard whose MD5 gives the highest score."""
@@ -150,4 +204,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_license_scan, op2_url_filter, op3_lm_score, op4_token_counts, op5_sharding, op6_packing, op7_mixing, op8_near_texts, op9_quality, op10_near_vectors)
 }
 
-ORACLES: dict[str, str] = {"op2_url_filter": URL_SQL, "op5_sharding": SHARD_SQL, "op7_mixing": MIX_SQL}
+ORACLES: dict[str, str] = {"op2_url_filter": URL_SQL, "op5_sharding": SHARD_SQL, "op7_mixing": MIX_SQL, "op9_quality": QUALITY_SQL, "op10_near_vectors": VECTOR_SQL}

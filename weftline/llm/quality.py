@@ -98,24 +98,39 @@ def risk_controlled(labelled: DataFrame, stratum: str, cutoffs: Mapping[str, Seq
     return tests.groupBy("rule", "stratum").agg(best).select("rule", "stratum", "b.*")
 
 
-def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", *, risk: float = RISK, doubt: float = DOUBT, with_text: bool = True) -> DataFrame:
-    """docs, without the text if with_text is false, with the columns of text_features and kept: false if base_failed, or if a rule's score is above its cutoff.
+def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", *, carried: Sequence[str] | None = None, risk: float = RISK, doubt: float = DOUBT) -> DataFrame:
+    """document (a struct of the carried columns, all by default), the columns of text_features and kept: false if base_failed, or if a rule's score is above its cutoff.
 
     Labels are matched by doc_id; rows of labels with a null doc_id or quality match nothing, repeated ones count
     once each. A null stratum is a stratum of its own. A document that no rule has a cutoff for is kept unless the
-    base rules fail. Empty texts fail the base rules. An empty table gives no rows.
+    base rules fail. Null, empty and blank texts fail the base rules; repeated rows are judged each. Columns of docs
+    may have any name. An empty table gives no rows.
     """
-    carried = [F.col(f"`{c}`") for c in docs.columns if with_text or c != "text"]
-    features = saved(text_features(docs.withColumn("__stratum", F.col(f"`{stratum}`"))).select(*carried, "__stratum", *FEATURES), "quality-features")
-    known = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__quality")).where("__quality is not null")
-    labelled = features.select("doc_id", "__stratum", *FEATURES).join(known, F.col("doc_id") == F.col("__id")).withColumn("quality", F.col("__quality"))
+    names = docs.columns if carried is None else carried
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("document"), "text", F.col("doc_id").alias("__doc_id"), F.col(f"`{stratum}`").alias("__stratum"))
+    features = saved(text_features(own).drop("text"), "quality-features")
+    known = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("quality")).where("quality is not null")
+    labelled = features.select("__doc_id", "__stratum", *FEATURES).join(known, F.col("__doc_id") == F.col("__id"))
     cutoffs = risk_controlled(labelled, "__stratum", risk=risk, doubt=doubt)
     # one row for each stratum; written, so that its size is known and Spark joins a small one without a shuffle of the texts
     wide = cutoffs.groupBy(F.col("stratum").alias("__of")).agg(*[F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"__{rule}") for rule in CUTOFFS])
     wide = saved(wide, "quality-cutoffs")
     out = features.join(wide, F.col("__stratum").eqNullSafe(F.col("__of")), "left")
-    above = [F.coalesce(score > F.col(f"__{rule}"), F.lit(False)) for rule, score in scores().items()]
     rejected = F.col("base_failed")
-    for x in above:
-        rejected = rejected | x
-    return out.withColumn("kept", ~rejected).drop("__stratum", "__of", *[f"__{rule}" for rule in CUTOFFS])
+    for rule, score in scores().items():
+        rejected = rejected | F.coalesce(score > F.col(f"__{rule}"), F.lit(False))
+    return out.select("document", *FEATURES, (~rejected).alias("kept"))
+
+
+def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", *, carried: Sequence[str] | None = None, risk: float = RISK, doubt: float = DOUBT) -> DataFrame:
+    """verdicts with the carried columns beside the features; a column with the name of a feature, or `kept`, is called `document_` and its name."""
+    out = verdicts(docs, labels, stratum, carried=carried, risk=risk, doubt=doubt)
+    names = out.schema["document"].dataType.names
+    own = [F.col("document").getField(c).alias(f"document_{c}" if c in (*FEATURES, "kept") else c) for c in names]
+    return out.select(*own, *FEATURES, "kept")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", *, risk: float = RISK, doubt: float = DOUBT) -> DataFrame:
+    """The documents that verdicts keeps, with the columns of docs as they were."""
+    out = verdicts(docs, labels, stratum, risk=risk, doubt=doubt).where("kept")
+    return out.select(*[F.col("document").getField(c).alias(c) for c in docs.columns])
