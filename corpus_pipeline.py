@@ -14,7 +14,7 @@ TOKENIZER = "byte_bpe_50k.json"
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.judged(docs, labels).where("kept").select(*docs.columns)
+    return quality.kept_documents(docs, labels)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
