@@ -288,6 +288,53 @@ def test_licenses(spark, docs):
         assert [j for _, j in pairs] == sorted(j for _, j in pairs)
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(row[-1], last[j + 1]))
+    return row[-1]
+
+
+def test_alignment_of_gaps_is_a_longest_common_subsequence():
+    for _ in range(300):
+        a, b = (R.choices("abcdef", k=R.randint(0, 20)) for _ in range(2))
+        pairs = license_scan._common(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and len(pairs) == longest_common(a, b)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+
+
+def test_licenses_by_a_scan_of_whole_texts(spark):
+    """Repeated, adjoining and edited notices, against windows at every word."""
+    texts, want = [], {}
+    for name in ("MIT-text", "ISC", "GPL-notice"):
+        notice = license_scan.TEMPLATES[name].split(" ")
+        for copies in (1, 2, 3):
+            for edits in (0, 3):
+                own = []
+                for _ in range(copies):
+                    w = list(notice)
+                    for k in R.sample(range(2, len(w) - 2), edits):
+                        w[k] = "changed"
+                    own += w
+                    if edits:
+                        own += prose(R.randint(0, 30)).split()
+                texts.append((name, " ".join([*prose(40).split(), *own, *prose(15).split()]), copies))
+    rows = [(i, t, n) for i, (n, t, _) in enumerate(texts)]
+    out = {(r.doc_id, r.license): r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, license string")).collect()}
+    for i, (name, text, copies) in enumerate(texts):
+        words, template = license_scan.license_words(text), license_scan.license_words(license_scan.TEMPLATES[name])
+        n = len(template)
+        span = 2 * n - int(0.8 * n)
+        best = max((longest_common(template, words[a : a + span]), -a) for a in range(0, len(words)) if words[a] in template)
+        r = out[i, name]
+        assert r.n_places == copies and abs(r.coverage - best[0] / n) < 1e-9
+        assert longest_common(template, words[r.first_word : r.last_word + 1]) == best[0]
+    assert license_scan.scan_licenses(spark.createDataFrame([(1, "x " * 300_000 + license_scan.TEMPLATES["ISC"] + " y" * 300_000)], "doc_id long, text string")).count() == 1
+
+
 def test_urls(spark):
     data = [(1, None), (2, "no host"), (3, "http://WWW.Example.ORG/es/x?q#f"), (4, "http://a.com/de/"), (5, "https://x.net/Cheap-Pills/1"), (6, "http://example.org/en/12"), (6, "http://example.org/en/12")]
     out = {r.page_id: (r.host, r.path, r["rule"], r.verdict) for r in url_filter.filter_urls(spark.createDataFrame(data, "page_id long, url string"), catalog.HOST_RULES + catalog.PATTERN_RULES).collect()}

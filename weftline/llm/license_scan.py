@@ -15,8 +15,6 @@ from pyspark.sql import DataFrame
 COVERAGE = 0.8
 #: Bytes of templates that one scan may hold; they are sent to every executor.
 MAX_TEMPLATE_BYTES = 16 << 20
-#: Words on either side up to which a gap without unique words is aligned in full.
-SMALL_GAP = 64
 
 # Public license notices.
 TEMPLATES = {
@@ -28,8 +26,12 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MIT-full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
 _WORD = re.compile(r"[^\W_]+")
@@ -59,29 +61,34 @@ def _rising(places: Sequence[int]) -> list[int]:
     return out[::-1]
 
 
-def _full(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence of two short runs."""
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
-            i += 1
+def _common(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence, by rows of bits: bit i of a row is 0 where word i of a adds to the length."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    rows = [full]
+    for w in b:
+        last = rows[-1]
+        hit = last & places.get(w, 0)
+        rows.append(((last + hit) | (last - hit)) & full)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[j] >> (i - 1) & 1:  # word i - 1 adds nothing
+            i -= 1
+        elif (rows[j] ^ rows[j - 1]) & ((1 << i) - 1) == 0 or (rows[j] & (1 << i) - 1).bit_count() == (rows[j - 1] & (1 << i) - 1).bit_count():
+            j -= 1
         else:
-            j += 1
-    return out
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
 
 
 def patience(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
     """Matched places (in a, in b), rising in both.
 
     Words that are unique in both runs are anchors; the longest rising chain of them stands, and the gaps between are
-    aligned in the same way. A gap without anchors is matched from both of its ends, and in full if it is small.
+    aligned in the same way. A gap without anchors is aligned by a longest common subsequence.
     """
     out: list[tuple[int, int]] = []
     stack = [(0, len(a), 0, len(b))]
@@ -97,15 +104,8 @@ def patience(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
             out += chain
             for (i, j), (k, m) in zip([(a0 - 1, b0 - 1), *chain], [*chain, (a1, b1)], strict=True):
                 stack.append((i + 1, k, j + 1, m))
-        elif a1 - a0 <= SMALL_GAP and b1 - b0 <= SMALL_GAP:
-            out += [(a0 + i, b0 + j) for i, j in _full(a[a0:a1], b[b0:b1])]
         else:
-            while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
-                out.append((a0, b0))
-                a0, b0 = a0 + 1, b0 + 1
-            while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
-                a1, b1 = a1 - 1, b1 - 1
-                out.append((a1, b1))
+            out += [(a0 + i, b0 + j) for i, j in _common(a[a0:a1], b[b0:b1])]
     return sorted(out)
 
 
@@ -127,16 +127,24 @@ class Template:
     def found(self, text: list[str], places: Mapping[str, list[int]]) -> list[tuple[int, int, int]]:
         """Separate places of the license in a text: (first word, last word, words matched).
 
-        Around each sign, a stretch with room for as many words again as the template has is aligned; signs within a
-        place that was found before are passed over.
+        A place spans at most as many words more than the template as the template may miss. Around each sign, the
+        stretch that such a place may take is aligned; what lies in a place found before is left out. Where the
+        stretch reaches into a second copy, the alignment is repeated without what stands before the last matches.
         """
         n, out = len(self.words), []
-        hits = sorted((p, q) for w, q in self.signs.items() for p in places.get(w, ()))
-        for p, q in hits:
+        room = n - int(self.coverage * n)
+        for p, q in sorted((p, q) for w, q in self.signs.items() for p in places.get(w, ())):
             if out and p <= out[-1][1]:
                 continue
-            low = max(out[-1][1] + 1 if out else 0, p - 2 * q - 4)
-            pairs = patience(self.words, text[low : p + 2 * (n - q) + 4])
+            low = max(out[-1][1] + 1 if out else 0, p - q - room)
+            pairs = patience(self.words, text[low : p + (n - q) + room])
+            while len(pairs) >= self.coverage * n - 1e-9:
+                # tighten a stretch that starts in words before the notice: what is left must cover as much
+                start = pairs[0][1] + 1
+                again = patience(self.words, text[low + start : p + (n - q) + room])
+                if len(again) < len(pairs):
+                    break
+                low, pairs = low + start, again
             if len(pairs) >= self.coverage * n - 1e-9:
                 out.append((low + pairs[0][1], low + pairs[-1][1], len(pairs)))
         return out
@@ -145,8 +153,9 @@ class Template:
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """One row for each document and license found: doc_id, license, n_places, first_word, last_word, coverage.
 
-    A license is found where at least `coverage` of its template's words stand in order in a stretch of the text. The
-    row holds the best place, the first of equal ones; n_places counts separate ones. Words are runs of letters and
+    A license is found where at least `coverage` of its template's words stand in order in a stretch of the text with
+    at most as many other words as the template may miss. The row holds the best place, the first of equal ones;
+    n_places counts separate ones. Words are runs of letters and
     digits in lower case. Null, empty and blank texts hold no license; repeated rows give repeated rows; other
     columns are not read; an empty table gives no rows.
 
