@@ -14,6 +14,8 @@ from weftline.llm.shared import hash_bucket, id_key, saved, words
 EPOCHS = 3
 #: Words that a queue sends at a time; long documents are sent in parts, so that targets are met to a part.
 PACKET = 64
+#: Ranges of finish times that are summed at a time around the cut, and parts that are then summed in order.
+RANGES, FEW = 256, 5_000
 #: Copies of one row that one task numbers at most.
 BLOCK = 10_000
 
@@ -72,7 +74,8 @@ def _served(queues: DataFrame, epochs: int) -> DataFrame:
 
     Every part of PACKET words, in every pass, gets its virtual finish time: the source's words up to its end, all
     passes together, divided by the weight. The parts are range-sorted by it (equal times by source and place), their
-    sizes are summed by partition and then within the one partition where the total is spent; the part there is cut.
+    sizes are summed by partition, then by ever smaller ranges of the one partition where the total is spent, and the
+    part there is cut. Parts with equal times are of different sources.
     """
     first = F.explode(F.expr(f"sequence(0L, words - 1, {PACKET}L)")).alias("first")
     parts = queues.where("words > 0").select("source_rank", "source_size", "weight", "start", "words", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
@@ -88,8 +91,18 @@ def _served(queues: DataFrame, epochs: int) -> DataFrame:
     hit = sums.select("part", "n", before.alias("before")).where((F.col("before") < total) & (F.col("before") + F.col("n") >= total)).first()
     if hit is None:  # no words at all
         return queues.select("source_rank", F.lit(0).cast("long").alias("served")).distinct()
-    # one range partition, a small share of all parts, is summed in order
-    own = ranged.where(F.col("part") == hit.part).select(*order, "n", (F.sum("n").over(Window.orderBy(*order)) + hit.before).alias("upto"))
+    own, before = ranged.where(F.col("part") == hit.part), hit.before
+    while True:  # sums over ever smaller ranges of finish times, until few parts are left
+        lo, hi, n = own.agg(F.min("finish"), F.max("finish"), F.count(F.lit(1))).first()
+        if n <= FEW or lo == hi:
+            break
+        step = F.least(F.floor((F.col("finish") - lo) / (hi - lo) * RANGES), F.lit(RANGES - 1))
+        for r in own.groupBy(step.alias("step")).agg(F.sum("n").alias("n"), F.min("finish").alias("lo"), F.max("finish").alias("hi")).orderBy("step").collect():
+            if before + r.n >= total:
+                own = own.where(F.col("finish").between(r.lo, r.hi))
+                break
+            before += r.n
+    own = own.select(*order, "n", (F.sum("n").over(Window.orderBy(*order)) + before).alias("upto"))
     cut = own.where(F.col("upto") >= total).orderBy(*order).first()
     this, last = F.struct(*order), F.struct(F.lit(cut.finish).alias("finish"), F.lit(cut.source_rank).alias("source_rank"), F.lit(cut["at"]).cast("long").alias("at"))
     taken = F.when(this < last, F.col("n")).when(this == last, F.lit(cut.n - (cut.upto - total)).cast("int")).otherwise(0)
