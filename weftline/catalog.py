@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import excluded, front_matter_fields, id_prefixes
-from weftline.operators import board, census, config_merge, documents, events, frontmatter, mirror, search, waves
+from weftline.operators import board, census, config_merge, documents, events, frontmatter, mirror, search, selection, waves
+from weftline.plans import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,7 +113,7 @@ def phase_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH p AS (SELECT p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 48) AS present FROM part) SELECT 'installed' AS state, count(*) FILTER (present) AS n FROM p UNION ALL SELECT 'missing', count(*) FILTER (NOT present) FROM p")
 def census_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 48").select(F.col("l_partkey").alias("p_partkey"), F.lit(True).alias("present")).distinct()
-    return census.counts(table(spark, sf_dir, "part").select("p_partkey").join(used, "p_partkey", "left"))
+    return census.counts(table(spark, sf_dir, "part").select("p_partkey").join(used, "p_partkey", "left").fillna(False, ["present"]))
 
 
 @query("SELECT s_suppkey FROM supplier WHERE s_nationkey IN (1, 2, 3) OR s_acctbal > 9000")
@@ -210,6 +211,32 @@ def emit_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config_merge.emitted(defs, "vscode").select("ord", "transport", "shape")
 
 
+SHAPES_SQL = """SELECT event_id AS ord, t AS target, CASE
+  WHEN event_type NOT IN ('click', 'error', 'view') THEN '{"note":"' || event_type || '"}'
+  WHEN t = 'cursor' AND event_type = 'view' THEN '{"url":"' || user_id || '"}'
+  WHEN t = 'opencode' AND event_type = 'view' THEN '{"enabled":true,"type":"remote","url":"' || user_id || '"}'
+  WHEN t = 'antigravity' AND event_type = 'view' THEN '{"serverUrl":"' || user_id || '"}'
+  WHEN t = 'cursor' THEN '{"type":"stdio","command":"' || event_type || '","args":["a"],"env":{"K":"v"},"cwd":"c"}'
+  WHEN t = 'opencode' THEN '{"enabled":true,"type":"local","command":["' || event_type || '","a"],"environment":{"K":"v"}}'
+  ELSE '{"command":"' || event_type || '","args":["a"],"env":{"K":"v"},"cwd":"c"}' END AS shape FROM events, (SELECT unnest(['cursor', 'opencode', 'antigravity']) AS t)"""
+
+
+@query(SHAPES_SQL)
+def emit_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, url = F.col("event_type"), F.concat(F.lit('{"url":"'), "user_id", F.lit('"}'))
+    local = F.concat(F.lit('{"command":"'), kind, F.lit('","args":["a"],"env":{"K":"v"},"cwd":"c"}'))
+    text = F.when(kind.isin("click", "error"), local).when(kind == "view", url).otherwise(F.concat(F.lit('{"note":"'), kind, F.lit('"}')))
+    defs = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("server"), F.col("event_id").alias("ord"), text.alias("def"))
+    shapes = [config_merge.emitted(defs, t).select("ord", F.lit(t).alias("target"), "shape") for t in ("cursor", "opencode", "antigravity")]
+    return shapes[0].union(shapes[1]).union(shapes[2])
+
+
+@query("""SELECT 'u' || user_id AS server, '{"env":{' || string_agg('"' || event_type || '":"' || last || '"', ',' ORDER BY first) || '}}' AS def FROM (SELECT user_id, event_type, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY ALL) GROUP BY user_id""")
+def deep_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit('{"mcpServers":{"u'), "user_id", F.lit('":{"env":{"'), "event_type", F.lit('":"'), "event_id", F.lit('"}}},"x":1}'))
+    return config_merge.merged(table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), text.alias("text"))).select("server", "def")
+
+
 @query("SELECT page_id, regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1) AS lang, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title FROM pages")
 def header_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", '<html[^>]*lang="([^"]*)"', 1).alias("lang"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
@@ -270,9 +297,14 @@ def failure_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waves.failed_and_blocked(_graph(spark, sf_dir)[1], spark.createDataFrame([(7,)], "id long"))
 
 
-@query(f"WITH RECURSIVE {EDGES_SQL}, r(id) AS (SELECT 150 UNION SELECT g.blocker FROM r JOIN g ON g.id = r.id) SELECT id::BIGINT AS id FROM r")
+@query(f"WITH RECURSIVE {EDGES_SQL}, r(id) AS (SELECT 15 UNION SELECT g.id FROM r JOIN g ON g.blocker = r.id) SELECT id::BIGINT AS id FROM r")
 def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return waves.impact(_graph(spark, sf_dir)[1], spark.createDataFrame([(150,)], "id long"))
+    return waves.impact(_graph(spark, sf_dir)[1], spark.createDataFrame([(15,)], "id long"))
+
+
+@query(f"WITH RECURSIVE {EDGES_SQL}, r(id) AS (SELECT 150 UNION SELECT g.blocker FROM r JOIN g ON g.id = r.id) SELECT id::BIGINT AS id FROM r")
+def needs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return waves.needs(_graph(spark, sf_dir)[1], spark.createDataFrame([(150,)], "id long"))
 
 
 @query("WITH n AS (SELECT max(p_partkey) AS m FROM part), a AS (SELECT p_partkey AS id, p_partkey // 2 AS blocker FROM part WHERE p_partkey > 1), b AS (SELECT 2 * p_partkey AS id, p_partkey AS blocker FROM part WHERE p_partkey % 5 <> 0 AND p_partkey >= 1) SELECT *, 'blockedBy' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'unblocks' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
@@ -417,3 +449,140 @@ def wave_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["waves"] = QUERIES.pop("waves_query")
 ORACLES["waves"] = ORACLES.pop("waves_query")
+
+
+# documents with front matter made of nations: without a header, without a description, with several tools
+HEADED_SQL = """d AS (SELECT n_nationkey AS k, n_name AS name, CASE WHEN k % 5 = 0 THEN 'no tools' WHEN k % 2 = 0 THEN 'Bash, WebSearch' ELSE 'WebFetch' END AS tools, '# ' || n_name || chr(10) AS body FROM nation)"""
+
+
+def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    tools = F.when(k % 5 == 0, "no tools").when(k % 2 == 0, "Bash, WebSearch").otherwise("WebFetch")
+    description = F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("description:  about "), "n_name", F.lit(" \ndescription: second\n")))
+    text = F.concat(F.lit("---\n"), description, F.lit("argument-hint: x\ntools: "), tools, F.lit("\n---\n# "), "n_name", F.lit("\n"))
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.when(k % 11 == 3, F.concat(F.lit("# "), "n_name", F.lit("\n"))).otherwise(text).alias("text"))
+
+
+AGENT_SQL = f"""WITH {HEADED_SQL} SELECT name, CASE WHEN k % 11 = 3 THEN body WHEN k % 7 = 0 THEN NULL ELSE concat_ws(chr(10), '---', 'description: second', 'mode: subagent', 'permission:', '  read: allow', '  glob: allow', '  grep: allow', '  edit: deny', '  task: deny', '  bash: ' || CASE WHEN tools LIKE '%Bash%' THEN 'allow' ELSE 'deny' END, CASE WHEN tools LIKE '%WebSearch%' THEN '  websearch: allow' END, CASE WHEN tools LIKE '%WebFetch%' THEN '  webfetch: allow' END, '---', body) END AS rendered, CASE WHEN k % 11 <> 3 AND k % 7 = 0 THEN 2 ELSE 0 END::INT AS severity FROM d"""
+
+
+@query(AGENT_SQL)
+def agent_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontmatter.agent_text(frontmatter.parsed(_headed(spark, sf_dir)))
+
+
+@query(f"WITH {HEADED_SQL} SELECT name, CASE WHEN k % 11 <> 3 AND k % 7 <> 0 THEN concat_ws(chr(10), '---', 'description: about ' || name, 'argument-hint: x', '---', body) END AS rendered, CASE WHEN k % 11 = 3 OR k % 7 = 0 THEN 2 ELSE 0 END::INT AS severity FROM d")
+def prompt_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontmatter.prompt_text(frontmatter.parsed(_headed(spark, sf_dir), frontmatter.PROMPT))
+
+
+def _rendered_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rendered = frontmatter.agent_text(frontmatter.parsed(_headed(spark, sf_dir)))
+    copies = rendered.where("severity = 0 and name < 'S'").select("name", F.when(F.col("name") < "I", F.col("rendered")).otherwise("old").alias("text"))
+    return mirror.rendered_drift(rendered, copies.union(spark.createDataFrame([("gone", "x")], "name string, text string")))
+
+
+RENDERED_DRIFT_SQL = f"a AS ({AGENT_SQL}), r AS (SELECT name, CASE WHEN severity <> 0 THEN 'INVALID' WHEN name >= 'S' THEN 'MISSING' WHEN name < 'I' THEN 'OK' ELSE 'DRIFT' END AS action FROM a UNION ALL SELECT 'gone', 'ORPHAN')"
+
+
+@query(f"WITH {RENDERED_DRIFT_SQL} SELECT name, action FROM r WHERE action <> 'OK'")
+def check_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mirror.reported(_rendered_drift(spark, sf_dir))
+
+
+@query(f"WITH {RENDERED_DRIFT_SQL} SELECT count(*) FILTER (action <> 'OK') > 0 AS drift, (count(*) FILTER (action <> 'OK') > 0)::INT AS severity FROM r")
+def any_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mirror.any_drift(_rendered_drift(spark, sf_dir))
+
+
+@query("""SELECT '{"servers":{' || string_agg('"' || r_name || '\\"]:b":{"command":"c' || r_regionkey || '"}', ',' ORDER BY r_regionkey) || '}}' AS document, count(*) AS n_servers FROM region""")
+def config_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shapes = table(spark, sf_dir, "region").select(F.concat("r_name", F.lit('"]:b')).alias("server"), F.col("r_regionkey").alias("ord"), F.concat(F.lit('{"command":"c'), "r_regionkey", F.lit('"}')).alias("shape"))
+    return config_merge.document(shapes, "vscode")
+
+
+@query("SELECT (SELECT count(DISTINCT n_regionkey) FROM nation) AS n_files, count(*) AS n_servers, count(*) FILTER (n_nationkey % 2 = 0) AS n_selected FROM nation")
+def merge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    servers = nation.select(F.col("n_name").alias("server"))
+    return config_merge.merge_summary(nation.select(F.col("n_regionkey").alias("ord")), servers, nation.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("server")))
+
+
+@query("SELECT n_name AS server, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000) AS present FROM nation")
+def servers_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, rich = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("n_nationkey"))
+    return config_merge.servers_present(nation.select(F.col("n_name").alias("server")), nation.join(rich, "n_nationkey").select(F.col("n_name").alias("server")))
+
+
+@query("SELECT CASE WHEN acct IS NULL THEN 'installed' ELSE acct END AS state, coalesce(n, 0) AS n FROM (SELECT unnest(['installed', 'missing']) AS acct) LEFT JOIN (SELECT CASE WHEN c_acctbal > 0 THEN 'installed' ELSE 'missing' END AS acct, count(*) AS n FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY 1) USING (acct)")
+def census_unchecked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deps = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_nationkey") % 3 != 0, F.col("c_acctbal") > 0).alias("present"))
+    return census.counts(deps)
+
+
+@query("WITH a AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'x' || c_custkey ELSE (c_custkey % 40)::VARCHAR END AS answer FROM customer) SELECT answer, n_name AS name, n_name IS NOT NULL AS valid FROM a LEFT JOIN nation ON answer = (n_nationkey + 1)::VARCHAR")
+def picked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("position"), F.col("n_name").alias("name"))
+    k = F.col("c_custkey")
+    return selection.picked(options, table(spark, sf_dir, "customer").select(F.when(k % 7 == 0, F.concat(F.lit("x"), k)).otherwise((k % 40).cast("string")).alias("answer")))
+
+
+@query("SELECT n_name FROM nation WHERE n_regionkey = 1 UNION SELECT n_name FROM nation WHERE n_nationkey < 4")
+def with_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    return selection.with_forced(nation.where("n_regionkey = 1"), nation.where("n_nationkey < 4"), "n_name")
+
+
+@query("SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'a/' || n_name WHEN n_nationkey % 3 = 0 THEN 'b/' || n_name ELSE 'none' END AS path FROM nation")
+def first_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    both = nation.select(F.col("n_name").alias("name"), F.posexplode(F.array(F.concat(F.lit("a/"), "n_name"), F.concat(F.lit("b/"), "n_name"))).alias("rank", "path"))
+    listing = nation.where("n_nationkey % 2 = 0").select(F.concat(F.lit("a/"), "n_name").alias("path")).union(nation.where("n_nationkey % 3 = 0").select(F.concat(F.lit("b/"), "n_name")))
+    return selection.first_existing(both, listing, "none")
+
+
+@query("SELECT n_name AS path, 'T' || chr(10) || 'Status: ' || CASE WHEN n_nationkey % 2 = 0 THEN '$1 done' ELSE 'draft' END || chr(10) || 'status: kept' AS text, CASE WHEN n_nationkey % 2 = 0 THEN 'UPDATE' ELSE 'KEEP' END AS action FROM nation")
+def status_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    texts = nation.select(F.col("n_name").alias("path"), F.lit("T\nStatus: draft\nstatus: kept").alias("text"))
+    return tables.status_plan(texts, nation.select(F.col("n_name").alias("path"), F.when(F.col("n_nationkey") % 2 == 0, "$1 done").otherwise("draft").alias("status")))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    tasks, edges = _graph(spark, sf_dir)
+    return tasks.withColumn("label", F.when(F.col("id") % 3 == 0, "HITL").otherwise("AFK")), edges, tasks.where("id % 2 = 0").union(spark.createDataFrame([(0,)], "id long"))
+
+
+AFK_SQL = "WITH e AS (SELECT DISTINCT p_partkey AS id, unnest([p_partkey // 2, p_partkey // 3]) AS blocker FROM part WHERE p_partkey > 1), r AS (SELECT p_partkey AS id, 'AFK' AS label FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 2 = 1 AND NOT EXISTS (SELECT 1 FROM e WHERE e.id = p_partkey AND blocker >= 1 AND blocker % 2 = 1)) "
+
+
+@query(AFK_SQL + "SELECT * FROM r")
+def afk_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return waves.ready(*_labelled(spark, sf_dir), "AFK")
+
+
+@query(AFK_SQL + "SELECT count(*) > 0 AS goes_on FROM r")
+def loop_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return waves.loop_gate(waves.next_unit(*_labelled(spark, sf_dir), ["id"], "AFK"))
+
+
+@query("WITH e AS (SELECT DISTINCT p_partkey AS id, unnest([p_partkey // 2, p_partkey // 3]) AS blocker FROM part WHERE p_partkey > 1) SELECT DISTINCT id, blocker::BIGINT AS blocker FROM e WHERE id % 2 = 1 AND blocker >= 1 AND blocker % 3 = 0 AND blocker % 2 = 1 AND blocker IN (SELECT p_partkey FROM part)")
+def hitl_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return waves.open_blockers(*_labelled(spark, sf_dir), "HITL")
+
+
+@query("WITH t AS (SELECT p_partkey, EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49) AS has_change, EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_discount > 0.09) AS has_task FROM part) SELECT p_partkey, has_change, has_task, concat_ws(',', CASE WHEN NOT has_change THEN 'change' END, CASE WHEN NOT has_task THEN 'task' END) AS gaps FROM t")
+def trace_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
+    links = {"change": items.where("l_quantity > 49"), "task": items.where("l_discount > 0.09")}
+    return board.trace(table(spark, sf_dir, "part").select("p_partkey"), links, "p_partkey").withColumn("gaps", F.concat_ws(",", "gaps"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id = 3 AND event_type = 'error'")
+def activity_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.view(table(spark, sf_dir, "events"), {"user_id": 3, "event_type": "error"}).select("event_id", "user_id")
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source")
+def entries_by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.counts_by(table(spark, sf_dir, "documents"), "source")

@@ -51,6 +51,25 @@ def missing(expected: DataFrame, actual: DataFrame, on: list[str]) -> DataFrame:
     return expected.join(actual.select(*on).distinct(), on, "left_anti")
 
 
+def trace(rows: DataFrame, links: dict[str, DataFrame], key: str) -> DataFrame:
+    """Rows with has_<link> for each of the links, tables with the key, and gaps, the names of the links that are missing."""
+    for name, table in links.items():
+        rows = rows.join(table.select(key, F.lit(True).alias(f"has_{name}")).distinct(), key, "left").fillna(False, [f"has_{name}"])
+    return rows.withColumn("gaps", F.array_compact(F.array(*[F.when(~F.col(f"has_{name}"), F.lit(name)) for name in links])))
+
+
+def view(rows: DataFrame, conditions: dict[str, object]) -> DataFrame:
+    """The rows of a view: those with the given value in every named column, such as a change, a node or a status."""
+    for column, value in conditions.items():
+        rows = rows.where(F.col(column) == value)
+    return rows
+
+
+def counts_by(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n): entries of each project, registry or kind."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
 def failed_rules(rows: DataFrame, rules: dict[str, str]) -> DataFrame:
     """Rows with the names of the rules (SQL conditions) that they don't meet, and passed."""
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(F.expr(c), F.lit(False)), F.lit(name)) for name, c in rules.items()]))

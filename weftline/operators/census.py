@@ -18,9 +18,9 @@ def wanted(deps: DataFrame, selected: DataFrame, key: str, *, all_of_them: bool
 
 
 def counts(deps: DataFrame, present: str = "present") -> DataFrame:
-    """(state, n) for installed and missing, both shown."""
+    """(state, n) for installed and missing, both shown. Entries without a check, whose `present` is null, count as neither."""
     states = F.explode(F.array(F.struct(F.lit("installed").alias("state"), F.col("i").alias("n")), F.struct(F.lit("missing").alias("state"), F.col("m").alias("n"))))
-    return deps.agg(F.count(F.when(F.col(present), 1)).alias("i"), F.count(F.when(~F.coalesce(F.col(present), F.lit(False)), 1)).alias("m")).select(states.alias("s")).select("s.*")
+    return deps.agg(F.count(F.when(F.col(present), 1)).alias("i"), F.count(F.when(~F.col(present), 1)).alias("m")).select(states.alias("s")).select("s.*")
 
 
 def manager(policy: str = "display"):

@@ -117,10 +117,25 @@ def emitted(defs: DataFrame, target: str) -> DataFrame:
 
 def document(shapes: DataFrame, target: str) -> DataFrame:
     """One row with the target's JSON document and its number of servers: one small document, by its nature."""
-    entry = F.struct("ord", F.concat(F.to_json(F.array("server")), F.lit(":"), F.col("shape")).alias("e"))
-    body = shapes.agg(F.array_sort(F.collect_list(entry)).alias("e"), F.count(F.lit(1)).alias("n_servers"))
     # to_json of a one-element array is the quoted name in brackets
-    text = F.concat_ws(",", F.transform("e.e", lambda x: F.regexp_replace(x, r'^\["(.*?)"\]:', '"$1":')))
+    quoted = F.to_json(F.array("server"))
+    entry = F.struct("ord", F.concat(F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit(":"), F.col("shape")).alias("e"))
+    body = shapes.agg(F.array_sort(F.collect_list(entry)).alias("e"), F.count(F.lit(1)).alias("n_servers"))
+    text = F.concat_ws(",", "e.e")
     outer = TARGETS[target]
     whole = F.concat(F.lit("{"), text, F.lit("}"))
     return body.select((whole if outer is None else F.concat(F.lit(f'{{"{outer}":'), whole, F.lit("}"))).alias("document"), "n_servers")
+
+
+def merge_summary(fragments: DataFrame, merged: DataFrame, selected: DataFrame) -> DataFrame:
+    """One row of figures of a merge: files merged, servers found, servers selected among them."""
+    n = merged.select("server").distinct()
+    chosen = n.join(selected.select("server").distinct(), "server", "left_semi")
+    files = fragments.agg(F.count_distinct("ord").alias("n_files"))
+    return files.join(n.agg(F.count(F.lit(1)).alias("n_servers")), F.lit(True)).join(chosen.agg(F.count(F.lit(1)).alias("n_selected")), F.lit(True))
+
+
+def servers_present(expected: DataFrame, merged: DataFrame) -> DataFrame:
+    """(server, present) of expected servers in a merged configuration."""
+    found = merged.select("server", F.lit(True).alias("present")).distinct()
+    return expected.select("server").join(found, "server", "left").select("server", F.coalesce("present", F.lit(False)).alias("present"))

@@ -13,10 +13,10 @@ PROMPT = r"(?s)\A---\n(.*?)\n---\n"
 
 
 def parsed(docs: DataFrame, pattern: str = AGENT) -> DataFrame:
-    """docs (name, text) with has_header, fields and body; without a header the body is the whole text."""
+    """docs (name, text) with has_header, header, fields and body; without a header the body is the whole text."""
     has = F.col("text").rlike(pattern)
     fields = F.when(has, front_matter_fields(F.regexp_extract("text", pattern, 1)))
-    return docs.select("name", "text", has.alias("has_header"), fields.alias("fields"), F.when(has, F.regexp_replace("text", pattern, "")).otherwise(F.col("text")).alias("body"))
+    return docs.select("name", "text", has.alias("has_header"), F.when(has, F.regexp_extract("text", pattern, 1)).alias("header"), fields.alias("fields"), F.when(has, F.regexp_replace("text", pattern, "")).otherwise(F.col("text")).alias("body"))
 
 
 def contract(docs: DataFrame, required: list[str], sections: list[str], prefix: str = "") -> DataFrame:
@@ -27,18 +27,31 @@ def contract(docs: DataFrame, required: list[str], sections: list[str], prefix:
     return out.withColumn("severity", F.when((F.size("missing_fields") > 0) | (F.size("missing_sections") > 0), 2).otherwise(0))
 
 
+# The lines of a rendered agent's header that are the same in all.
+AGENT_LINES = ["mode: subagent", "permission:", "  read: allow", "  glob: allow", "  grep: allow", "  edit: deny", "  task: deny"]
+
+
 def agent_text(docs: DataFrame) -> DataFrame:
-    """(name, rendered) of parsed agents: a header by their tools, then the body; without a header the text itself."""
+    """(name, rendered, severity) of parsed agents: a header by their tools, then the body.
+
+    Without a header the text itself is rendered; a header without a description is an error (severity 2, no text).
+    """
     tools = F.transform(F.split(F.coalesce(F.col("fields")["tools"], F.lit("")), ","), trimmed)
     has = lambda *names: F.arrays_overlap(tools, F.array(*map(F.lit, names)))
     line = lambda k: F.when(F.coalesce(F.col("fields")[k], F.lit("")) != "", F.concat(F.lit(f"{k}: "), F.col("fields")[k]))
-    head = F.concat_ws("\n", F.lit("---"), line("description"), F.lit("mode: subagent"), F.lit("permission:"), F.when(has("Bash"), "  bash: allow").otherwise("  bash: deny"), F.when(has("WebSearch"), "  websearch: allow"), F.when(has("WebFetch"), "  webfetch: allow"), line("color"), F.lit("---"))
-    return docs.select("name", F.when(F.col("has_header"), F.concat(head, F.lit("\n"), F.col("body"))).otherwise(F.col("text")).alias("rendered"))
+    head = F.concat_ws("\n", F.lit("---"), line("description"), *map(F.lit, AGENT_LINES), F.when(has("Bash"), "  bash: allow").otherwise("  bash: deny"), F.when(has("WebSearch"), "  websearch: allow"), F.when(has("WebFetch"), "  webfetch: allow"), line("color"), F.lit("---"))
+    bad = F.col("has_header") & line("description").isNull()
+    rendered = F.when(bad, None).when(F.col("has_header"), F.concat(head, F.lit("\n"), F.col("body"))).otherwise(F.col("text"))
+    return docs.select("name", rendered.alias("rendered"), F.when(bad, 2).otherwise(0).alias("severity"))
 
 
 def prompt_text(docs: DataFrame) -> DataFrame:
-    """(name, rendered, severity) of parsed prompts: description, allowed-tools, argument-hint, then the body. No header is an error."""
-    line = lambda k: F.when(F.col("fields")[k].isNotNull(), F.concat(F.lit(f"{k}: "), F.col("fields")[k]))
+    """(name, rendered, severity) of parsed prompts: description, allowed-tools, argument-hint, then the body.
+
+    The first line of a key in the header counts, trimmed. No header and no or an empty description are errors.
+    """
+    found = lambda k: F.nullif(F.regexp_extract("header", rf"(?m)^{k}:\s*(.+)$", 1), F.lit(""))
+    line = lambda k: F.concat(F.lit(f"{k}: "), trimmed(found(k)))
     head = F.concat_ws("\n", F.lit("---"), line("description"), line("allowed-tools"), line("argument-hint"), F.lit("---"))
-    ok = F.col("has_header") & F.col("fields")["description"].isNotNull()
+    ok = F.col("has_header") & found("description").isNotNull()
     return docs.select("name", F.when(ok, F.concat(head, F.lit("\n"), F.col("body"))).alias("rendered"), F.when(ok, 0).otherwise(2).alias("severity"))

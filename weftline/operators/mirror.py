@@ -33,9 +33,27 @@ def sync_plan(source: DataFrame, mirror: DataFrame, *, delete: bool, key: str =
     return drift(source, mirror, key, value).select(key, plan.alias("action"))
 
 
+def reported(actions: DataFrame) -> DataFrame:
+    """What a check run shows of (key, action): all that is not in order; nothing is written."""
+    return actions.where(F.col("action") != OK)
+
+
+def any_drift(actions: DataFrame) -> DataFrame:
+    """One row: drift, whether anything is not in order, and severity, the exit value 0 or 1."""
+    found = actions.agg(F.coalesce(F.bool_or(F.col("action") != OK), F.lit(False)).alias("drift"))
+    return found.select("drift", F.col("drift").cast("int").alias("severity"))
+
+
+def rendered_drift(rendered: DataFrame, mirror: DataFrame) -> DataFrame:
+    """(name, action) of rendered documents (name, rendered, severity) against a mirror (name, text); INVALID where severity is not 0."""
+    fine = drift(rendered.where("severity = 0").select("name", F.col("rendered").alias("content")), mirror.select("name", F.col("text").alias("content")))
+    bad = rendered.where("severity <> 0").select("name", F.lit("INVALID").alias("action"))
+    return fine.join(bad.select("name"), "name", "left_anti").unionByName(bad)
+
+
 def fan_out(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every row for every target; targets are a list of a few names."""
-    return rows.crossJoin(F.broadcast(targets))
+    """Every row for every target; Spark broadcasts the smaller side if its size allows."""
+    return rows.join(targets)
 
 
 def verdict(checks: DataFrame) -> DataFrame:

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from weftline.plans.tables import written
 
-#: Levels after which a graph is taken to be endless.
-MAX_LEVELS = 10_000
-
 
 def waves(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, wave, in_cycle): wave is 1 + the largest wave of a task's blockers; null on and behind a cycle.
@@ -20,7 +17,7 @@ def waves(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     ids = tasks.select("id").distinct()
     left = written(edges.select("id", "blocker").distinct().join(ids, "id", "left_semi").join(ids.select(F.col("id").alias("blocker")), "blocker", "left_semi"))
     open_ids, placed, level = written(ids), None, 0
-    while level < MAX_LEVELS:
+    while True:
         level += 1
         now = open_ids.join(left.select("id").distinct(), "id", "left_anti").withColumn("wave", F.lit(level))
         now = written(now)
@@ -29,8 +26,6 @@ def waves(tasks: DataFrame, edges: DataFrame) -> DataFrame:
         placed = now if placed is None else placed.unionByName(now)
         left = written(left.join(now.select(F.col("id").alias("blocker")), "blocker", "left_anti"))
         open_ids = written(open_ids.join(now.select("id"), "id", "left_anti"))
-    else:
-        raise RuntimeError(f"the graph has more than {MAX_LEVELS} levels")
     behind = open_ids.select("id", F.lit(None).cast("int").alias("wave"), F.lit(True).alias("in_cycle"))
     return behind if placed is None else placed.withColumn("in_cycle", F.lit(False)).unionByName(behind)
 
@@ -39,12 +34,11 @@ def reach(edges: DataFrame, seeds: DataFrame, source: str = "blocker", target: s
     """(id): the seeds (id) and everything that edges lead to from them, a level at a time over new nodes only."""
     found = new = written(seeds.select("id").distinct())
     step = edges.select(F.col(source).alias("__from"), F.col(target).alias("__to"))
-    for _ in range(MAX_LEVELS):
+    while True:
         new = written(step.join(new.withColumnRenamed("id", "__from"), "__from").select(F.col("__to").alias("id")).distinct().join(found, "id", "left_anti"))
         if new.isEmpty():
             return found
         found = written(found.union(new))
-    raise RuntimeError(f"the graph has more than {MAX_LEVELS} levels")
 
 
 def failed_and_blocked(edges: DataFrame, failed: DataFrame) -> DataFrame:
@@ -53,20 +47,38 @@ def failed_and_blocked(edges: DataFrame, failed: DataFrame) -> DataFrame:
 
 
 def impact(edges: DataFrame, of: DataFrame) -> DataFrame:
-    """What the given nodes depend on, directly or not."""
+    """The given nodes and all that depend on them, directly or not."""
+    return reach(edges, of)
+
+
+def needs(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """The given nodes and all that they depend on, directly or not."""
     return reach(edges, of, source="id", target="blocker")
 
 
-def ready(tasks: DataFrame, edges: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Tasks that are not resolved and whose blockers all are."""
+def ready(tasks: DataFrame, edges: DataFrame, resolved: DataFrame, label: str | None = None) -> DataFrame:
+    """Tasks that are not resolved and whose blockers all are; with a label (AFK, HITL), only those that carry it."""
+    tasks = tasks if label is None else tasks.where(F.col("label") == label)
     done = resolved.select("id").distinct()
     blocked = edges.join(done.select(F.col("id").alias("blocker")), "blocker", "left_anti").select("id").distinct()
     return tasks.join(done, "id", "left_anti").join(blocked, "id", "left_anti")
 
 
-def next_unit(tasks: DataFrame, edges: DataFrame, resolved: DataFrame, order: list[str]) -> DataFrame:
-    """The first ready task, or no row."""
-    return ready(tasks, edges, resolved).orderBy(*order).limit(1)
+def next_unit(tasks: DataFrame, edges: DataFrame, resolved: DataFrame, order: list[str], label: str | None = None) -> DataFrame:
+    """The first ready task, or no row; with a label, the first that carries it. Order by `wave` where tasks have one."""
+    return ready(tasks, edges, resolved, label).orderBy(*order).limit(1)
+
+
+def loop_gate(unit: DataFrame) -> DataFrame:
+    """One row: whether a loop goes on, that is whether there is a next unit."""
+    return unit.agg((F.count(F.lit(1)) > 0).alias("goes_on"))
+
+
+def open_blockers(tasks: DataFrame, edges: DataFrame, resolved: DataFrame, label: str) -> DataFrame:
+    """(id, blocker): blockers with the label that are not resolved and that an open task waits for."""
+    done = resolved.select("id").distinct()
+    blockers = tasks.where(F.col("label") == label).select(F.col("id").alias("blocker")).join(done.withColumnRenamed("id", "blocker"), "blocker", "left_anti")
+    return edges.join(done, "id", "left_anti").join(blockers, "blocker").select("id", "blocker").distinct()
 
 
 def inverse_gaps(blocked_by: DataFrame, unblocks: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which all executors share; a new local folder where it is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weftline-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -48,7 +50,10 @@ def document_with_key(document: DataFrame, key: str, value: DataFrame, policy: s
 
 def write_document(document: DataFrame, path: str, *, apply: bool = False) -> dict[str, str]:
     """Writes one small document by a temporary file and a rename; without apply it only says what it would do."""
-    (row,) = document.take(2)[:1] or [None]
+    rows = document.take(2)
+    if len(rows) > 1:
+        raise ValueError("more than one document for one path; use write_documents")
+    row = rows[0] if rows else None
     if apply and row is not None:
         target = Path(path)
         target.parent.mkdir(parents=True, exist_ok=True)
@@ -58,17 +63,38 @@ def write_document(document: DataFrame, path: str, *, apply: bool = False) -> di
     return {"path": path, "action": "WRITE" if row is not None else "NOTHING", "applied": str(bool(apply and row is not None)).lower()}
 
 
+def write_documents(rendered: DataFrame, *, apply: bool = False) -> DataFrame:
+    """(path, action) of rendered documents (path, text); with apply, each task writes its own documents, folders made first."""
+    plan = rendered.select("path", F.lit("WRITE").alias("action"))
+    if apply:
+
+        def write(rows) -> None:
+            for row in rows:
+                target = Path(row.path)
+                target.parent.mkdir(parents=True, exist_ok=True)
+                temporary = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
+                temporary.write_text(row.text, encoding="utf-8")
+                os.replace(temporary, target)
+
+        rendered.select("path", "text").foreachPartition(write)
+    return plan
+
+
 def delete_plan(orphans: DataFrame, reason: str) -> DataFrame:
     """(path, action, reason): what a deletion would remove; nothing is removed here."""
     return orphans.select("path", F.lit("DELETE").alias("action"), F.lit(reason).alias("reason"))
 
 
 def status_plan(texts: DataFrame, statuses: DataFrame) -> DataFrame:
-    """(path, text, action) of documents (path, text) with the status line set to that of statuses (path, status)."""
-    new = F.regexp_replace("text", r"(?mi)^(status:\s*).+$", F.concat(F.lit("$1"), F.col("status")))
+    """(path, text, action) of documents (path, text) with the first status line set to that of statuses (path, status); a text without one stays."""
+    before = F.regexp_extract("text", r"(?msi)\A(.*?^status:[ \t]*)", 1)
+    rest = F.regexp_replace(F.substring("text", F.length(before) + 1, F.length("text")), r"\A[^\n]*", "")
+    new = F.when(before == "", F.col("text")).otherwise(F.concat(before, "status", rest))
     return texts.join(statuses, "path").select("path", new.alias("text"), F.when(new == F.col("text"), "KEEP").otherwise("UPDATE").alias("action"))
 
 
-def append_events(events: DataFrame, folder: str) -> None:
-    """Appends events to a folder of JSON lines."""
-    events.write.mode("append").json(folder)
+def append_events(events: DataFrame, folder: str, *, apply: bool = False) -> dict[str, str]:
+    """Appends events to a folder of JSON lines; without apply it only says what it would do."""
+    if apply:
+        events.write.mode("append").json(folder)
+    return {"path": folder, "action": "APPEND", "applied": str(apply).lower()}

@@ -65,8 +65,8 @@ def path_check(manifest: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
-    """Events of JSON lines; lines that aren't JSON keep their text in _corrupt_record. change_file is the file's name."""
-    return spark.read.schema(EVENT_SCHEMA).json(path).select("*", F.col("_metadata.file_name").alias("change_file"))
+    """Events of JSON lines; lines that aren't JSON keep their text in _corrupt_record. change_file is the file's name, ord rises along each file."""
+    return spark.read.schema(EVENT_SCHEMA).json(path).select("*", F.col("_metadata.file_name").alias("change_file"), F.monotonically_increasing_id().alias("ord"))
 
 
 def prds(spark: SparkSession, root: str) -> DataFrame:
@@ -88,8 +88,18 @@ def change_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def manifest_counts(spark: SparkSession, path: str) -> DataFrame:
-    """The one row of a JSON manifest; only counts are to be shown, never contents."""
-    return spark.read.option("multiLine", True).json(path)
+    """(name, n) of a JSON manifest: the entries of each list or object, 1 for other values; contents are not shown."""
+    text = spark.read.text(path, wholetext=True).select(F.expr("cast(parse_json(value) as map<string, variant>)").alias("m"))
+    rows = text.select(F.explode("m").alias("name", "v"))
+    size = F.expr("case when schema_of_variant(v) like 'ARRAY%' then size(cast(v as array<variant>)) when schema_of_variant(v) like 'OBJECT%' then size(cast(v as map<string, variant>)) else 1 end")
+    return rows.select("name", size.cast("long").alias("n"))
+
+
+def status_probe(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """(name, present) of expected files of a folder."""
+    wanted = spark.createDataFrame([(n,) for n in names], "name string")
+    found = files(spark, root).select("name", F.lit(True).alias("present"))
+    return wanted.join(found, "name", "left").select("name", F.coalesce("present", F.lit(False)).alias("present"))
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:

@@ -14,10 +14,22 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(EVENT_SCHEMA).json(folder)
 
 
+# Statuses in the order in which a unit of work passes them; of equal times the later one counts.
+STATUS_ORDER = ["started", "dispatched", "created", "baseline_passed", "baseline_failed", "persona_reported", "blocked", "failed", "completed", "decided", "merged", "discarded", "kept"]
+
+
 def latest_state(events: DataFrame, key: str = "changeId") -> DataFrame:
-    """(key, time, status, node) of the last event of each key, by time and then by status; no watermark: a state never closes."""
-    last = F.max(F.struct("time", "status", "node")).alias("l")
-    return events.where(F.col(key).isNotNull()).groupBy(key).agg(last).select(key, "l.*")
+    """(key, time, status, node) of the last event of each key, by time and then by STATUS_ORDER; no watermark: a state never closes."""
+    place = F.array_position(F.array(*map(F.lit, STATUS_ORDER)), F.col("status")).alias("place")
+    last = F.max(F.struct("time", place, "status", "node")).alias("l")
+    return events.where(F.col(key).isNotNull()).groupBy(key).agg(last).select(key, "l.time", "l.status", "l.node")
+
+
+def current(spark: SparkSession, folder: str, key: str = "changeId") -> DataFrame:
+    """One row for each key, that of its last batch, of the folders that to_table wrote."""
+    rows = spark.read.parquet(folder)
+    others = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), "batch").alias("l")).select(key, "l.*")
 
 
 def to_table(states: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
