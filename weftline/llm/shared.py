@@ -1,30 +1,22 @@
-"""What the operators of this subpackage share: the shared folder and plain text helpers."""
+"""What the operators of this subpackage share: written tables and plain text helpers."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.plans.tables import shared_folder
+
 # The white space that separates words, as a Java regular expression and as characters.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read again: lineage ends there, and every reader sees the same rows."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/weftline/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/weftline/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
