@@ -12,23 +12,23 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep."""
+    """The documents that the quality rules keep, as they were. Null, empty and blank texts and those of under 50 words go; repeated rows are judged each."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.kept_documents(docs, labels)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the first row; repeated rows are copies, null ids count as rows. Empty texts are one group."""
     return near_texts.without_near_copies(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, each as often as it is taken."""
+    """The documents that the mix takes, each as often as it is taken; texts without words go."""
     return mix.mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences, with their ids."""
+    """The pieces of all documents in sequences, with their ids; a null text has its end alone. An empty table gives no rows, in every stage."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
@@ -39,7 +39,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The alignments and the tokenizer are beyond SQL. Operators are tested against brute force; the stages and run() are not.
+#: The alignments and the tokenizer are beyond SQL. The stages and run() are tested against brute force.
 ORACLE_SQL: str | None = None
 
 
