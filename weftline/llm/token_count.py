@@ -8,8 +8,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Words whose lengths a worker remembers; beyond it the memory starts afresh.
-CACHE = 400_000
+#: Bytes of words whose lengths a worker remembers, with 150 for each entry; beyond it the memory starts afresh.
+CACHE = 64 << 20
 #: The mark before a word's first piece, as in byte-level vocabularies.
 START = b" "
 
@@ -80,15 +80,18 @@ class Automaton:
 
 
 class _Lengths(dict):
-    """Word to number of pieces; an unknown word is counted once. At CACHE words it starts afresh."""
+    """Word to number of pieces; an unknown word is counted once. At CACHE bytes it starts afresh."""
 
     def __init__(self, automaton: Automaton):
         super().__init__()
         self.automaton = automaton
+        self.held = 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
+        if self.held > CACHE:
             self.clear()
+            self.held = 0
+        self.held += len(word) + 150
         self[word] = n = self.automaton.count(START + word)
         return n
 
