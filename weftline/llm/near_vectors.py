@@ -15,8 +15,10 @@ from weftline.llm.shared import saved
 
 #: Vectors that the codebooks are fitted on at most; they come to the driver.
 SAMPLE = 8192
-#: Vectors that a cell of one label shall hold on average, and the largest codebook.
-CELL, MAX_CODES = 64, 256
+#: Vectors that a cell of one label shall hold on average.
+CELL = 64
+#: Numbers of one array while cells are ranked.
+ARRAY = 1 << 22
 #: Vectors of a cell, and visitors of a cell, that one task compares at a time.
 MEMBERS, VISITORS = 2048, 8192
 
@@ -45,29 +47,32 @@ class MultiIndex:
         """The `visits` nearest cells of each vector, nearest first.
 
         The multi-sequence traversal takes the pair of ranks (r, s) after all pairs below it, so the first n cells
-        are among the pairs with (r + 1) * (s + 1) <= n: these are compared for all vectors at once.
+        are among the pairs with (r + 1) * (s + 1) <= n: these are compared for some vectors at once.
         """
-        one, two = self.distances(unit)
-        by_one, by_two = np.argsort(one, 1, kind="stable"), np.argsort(two, 1, kind="stable")
-        n = min(self.visits, one.shape[1] * two.shape[1])
-        ranks = np.array([(r, s) for r in range(min(n, one.shape[1])) for s in range(min(n // (r + 1), two.shape[1]))])
-        a, b = by_one[:, ranks[:, 0]], by_two[:, ranks[:, 1]]
-        total = np.take_along_axis(one, a, 1) + np.take_along_axis(two, b, 1)
-        order = np.argsort(total, 1, kind="stable")[:, :n]
-        return np.take_along_axis(a * two.shape[1] + b, order, 1).astype(np.int32)
+        k, l = len(self.first), len(self.second)
+        n = min(self.visits, k * l)
+        ranks = np.array([(r, s) for r in range(min(n, k)) for s in range(min(n // (r + 1), l))])
+        found, step = np.empty((len(unit), n), np.int32), max(1, ARRAY // max(len(ranks), k, l))
+        for at in range(0, len(unit), step):
+            one, two = self.distances(unit[at : at + step])
+            a, b = np.argsort(one, 1, kind="stable")[:, ranks[:, 0]], np.argsort(two, 1, kind="stable")[:, ranks[:, 1]]
+            total = np.take_along_axis(one, a, 1) + np.take_along_axis(two, b, 1)
+            order = np.argsort(total, 1, kind="stable")[:, :n]
+            found[at : at + step] = np.take_along_axis(a * l + b, order, 1)
+        return found
 
     def rank(self, unit: np.ndarray, other: np.ndarray) -> np.ndarray:
         """At which place the traversal from each vector comes to the cell of the other one."""
         (one, two), (o1, o2) = self.distances(unit), self.distances(other)
         rows = np.arange(len(unit))
         at = one[rows, o1.argmin(1)] + two[rows, o2.argmin(1)]
-        return ((one[:, :, None] + two[:, None, :]) < at[:, None, None]).sum((1, 2))
+        return np.array([np.searchsorted(np.sort(t), x - o).sum() for o, t, x in zip(one, two, at, strict=True)])
 
 
 def _codebook(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     codes = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        nearest = ((codes**2).sum(1) - 2 * x @ codes.T).argmin(1)
+        nearest = np.concatenate([((codes**2).sum(1) - 2 * x[i : i + 512] @ codes.T).argmin(1) for i in range(0, len(x), 512)])
         sums = np.zeros_like(codes)
         np.add.at(sums, nearest, x)
         n = np.bincount(nearest, minlength=k)
@@ -78,20 +83,23 @@ def _codebook(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12)
 def fit_index(sample: np.ndarray, codes: int, threshold: float, recall: float, seed: int = 7) -> MultiIndex:
     """Codebooks by k-means on the sample, and the visits that find the target share of partners.
 
-    For that, each of up to 1024 sampled vectors gets a partner at the threshold's angle in a random direction, the
-    farthest that may link; visits is where the traversal from one has come to the other's cell for the target share.
+    For that, each of up to 1024 sampled vectors gets two partners at the threshold's angle, the farthest that may
+    link: one in a random direction, one towards another sampled vector, as vectors that fill few dimensions have
+    them. visits is where the traversal from one has come to the other's cell for the target share of either kind.
     """
     rng = np.random.default_rng(seed)
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     half, k = unit.shape[1] // 2, min(codes, len(unit))
     index = MultiIndex(_codebook(unit[:, :half], k, rng), _codebook(unit[:, half:], k, rng))
     some = unit[rng.choice(len(unit), min(1024, len(unit)), replace=False)]
-    aside = rng.normal(size=some.shape)
-    aside -= (aside * some).sum(1, keepdims=True) * some
-    norm = np.linalg.norm(aside, axis=1, keepdims=True)
-    partner = threshold * some + np.sqrt(1 - threshold**2) * np.divide(aside, norm, out=np.zeros_like(aside), where=norm > 0)
-    ranks = np.concatenate([index.rank(some[i : i + 16], partner[i : i + 16]) for i in range(0, len(some), 16)])
-    return MultiIndex(index.first, index.second, int(np.quantile(ranks, recall, method="higher")) + 1)
+    visits = 1
+    for aside in (rng.normal(size=some.shape), unit[rng.integers(0, len(unit), len(some))]):
+        aside = aside - (aside * some).sum(1, keepdims=True) * some
+        norm = np.linalg.norm(aside, axis=1, keepdims=True)
+        partner = threshold * some + np.sqrt(1 - threshold**2) * np.divide(aside, norm, out=np.zeros_like(aside), where=norm > 1e-9)
+        ranks = np.concatenate([index.rank(some[i : i + 16], partner[i : i + 16]) for i in range(0, len(some), 16)])
+        visits = max(visits, int(np.quantile(ranks, recall, method="higher")) + 1)
+    return MultiIndex(index.first, index.second, visits)
 
 
 def _matrix(column: pa.Array, dtype: str, width: int) -> np.ndarray:
@@ -184,7 +192,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.
     if n:
         width = width // np.dtype(dtype).itemsize
         sample = classes.select("vec", F.xxhash64("vec").alias("h")).orderBy("h", "vec").limit(SAMPLE).select("vec").toArrow()["vec"].combine_chunks()
-        codes = int(min(MAX_CODES, max(1, np.sqrt(n / max(labels, 1) / CELL))))
+        codes = int(max(1, np.sqrt(n / max(labels, 1) / CELL)))
         index = fit_index(_unit(_matrix(sample, dtype, max(2, width))), codes, threshold, recall)
         links = _links(classes, index, kind["label"], dtype, threshold)
     else:
@@ -203,7 +211,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.
 
 
 def _links(classes: DataFrame, index: MultiIndex, label_type: str, dtype: str, threshold: float) -> DataFrame:
-    shared = classes.sparkSession.sparkContext.broadcast(index)  # two codebooks of at most MAX_CODES half vectors
+    shared = classes.sparkSession.sparkContext.broadcast(index)  # two codebooks of at most SAMPLE half vectors
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
