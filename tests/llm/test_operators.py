@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -252,6 +253,147 @@ def test_lm_probabilities_sum_to_one_at_most():
     assert (scores < 0).all() and scores[3] > scores[1]
 
 
+def plain_spelling(word, model):
+    """The log10 probability of a word and its space, bit by bit over plain integers."""
+    full, total, before = 2**64 - 1, 0.0, []
+
+    def spread(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & full
+        return x ^ (x >> 31)
+
+    for byte in word.encode() + b" ":
+        contexts, h = [], 0
+        for back in range(1, max(lm_score.ORDERS) + 1):
+            h = (h * 0x100000001B3 + (before[-back] if back <= len(before) else 0) + 1) & full
+            if back in lm_score.ORDERS:
+                contexts.append(spread((h + back) & full))
+        for bit in range(8):
+            node, one = (1 << bit) | (byte >> (8 - bit)), (byte >> (7 - bit)) & 1
+            odds, seen = [], 0
+            for k, (c, size) in enumerate(zip(contexts, lm_score.TABLE_BITS, strict=True)):
+                at = ((c ^ (node * 0x9E3779B97F4A7C15 & full)) * 0xD6E8FEB86659FD93 & full) >> (64 - size)
+                z, o = float(model.zeros[k][at]), float(model.ones[k][at])
+                seen += z + o > 0
+                odds.append(min(max(np.log((o + lm_score.PSEUDO) / (z + lm_score.PSEUDO)), -lm_score.MOST), lm_score.MOST))
+            w = model.weights[bit * (len(lm_score.ORDERS) + 1) + seen]
+            p = 1 / (1 + np.exp(-sum(a * b for a, b in zip(w, odds + [0.3], strict=True))))
+            total += np.log10(p if one else 1 - p)
+        before.append(byte)
+    return total
+
+
+def plain_score(tokens, memory, spelling):
+    """The log10 probability of a document's tokens, one after another; memory and spelling are functions of a token."""
+    counts, last, moved, n = Counter(), {}, defaultdict(lambda: np.zeros(4)), Counter()
+    total, was_hit, foreseen = 0.0, False, None
+    for i, t in enumerate(tokens):
+        if i:  # where the token before stood the last time, before its own place
+            foreseen = last.get(tokens[i - 1])
+            last[tokens[i - 1]] = i - 1
+        hit = foreseen is not None and tokens[foreseen + 1] == t
+        kind = 0 if foreseen is None else 2 if was_hit else 1
+        gate = kind, bool(i and memory(tokens[i - 1]) == 0)
+        prior = lm_score.WEIGHTS[kind]
+        p = np.array([memory(t), counts[t] / max(i, 1), hit, 10.0 ** max(spelling(t), -300)])
+        w = (lm_score.PRIOR * prior + moved[gate]) / (lm_score.PRIOR + n[gate])
+        total += np.log10(w[:3] @ p[:3] + max(w[3], 1e-12) * p[3]) if w[:3] @ p[:3] > 0 else np.log10(max(w[3], 1e-12)) + spelling(t)
+        moved[gate] += prior * p / max((prior * p).sum(), 1e-320)
+        n[gate] += 1
+        counts[t] += 1
+        was_hit = hit
+    return total
+
+
+def trained_model(words):
+    """Counts over words and uneven weights."""
+    rng = np.random.default_rng(11)
+    tables = [[np.zeros(1 << b, np.float32) for b in lm_score.TABLE_BITS] for _ in range(2)]
+    for part in lm_score.letters(pa.array(words), 1000):
+        for bit in range(8):
+            value = (part.byte >> (7 - bit)) & 1
+            for k, at in enumerate(lm_score.slots(part, bit)):
+                for v in (0, 1):
+                    np.add.at(tables[v][k], at[value == v], 1)
+    return lm_score.Predictors(*tables, lm_score._first_weights() + rng.normal(0, 0.05, (lm_score.GATES, len(lm_score.ORDERS) + 1)))
+
+
+def test_lm_score_by_a_plain_model(docs, rows, monkeypatch):
+    lowered = {(i, t): [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words_of(t)] + [""] for i, t, _ in rows}
+    c = Counter(w for i, t, _ in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 10 for w in lowered[i, t])
+    model = trained_model(sorted(w for w in c if w))
+    monkeypatch.setattr(lm_score, "_predictors", lambda lexicon: model)
+    total, spell = sum(c.values()), {}
+
+    def spelling(w):
+        if w not in spell:
+            spell[w] = plain_spelling(w, model)
+        return spell[w]
+
+    want = defaultdict(list)
+    for i, t, _ in rows:
+        want[i].append(plain_score(lowered[i, t], lambda w: c[w] / total, spelling))
+    got = defaultdict(list)
+    for r in lm_score.score_documents(docs).collect():
+        got[r.doc_id].append(r.score)
+    assert got.keys() == want.keys()
+    for i in want:
+        assert np.allclose(sorted(got[i]), sorted(want[i]), rtol=1e-4, atol=1e-3)
+
+
+def test_lm_spelling_of_cut_words():
+    words = ["ab" * 4000, "", "été", "x", "the" * 700]
+    model = trained_model(words)
+    whole = lm_score.spelled(pa.array(words), model)
+    for step in (1, 7, 1000):
+        parts = list(lm_score.letters(pa.array(words), step))
+        full = next(lm_score.letters(pa.array(words), 1 << 20))
+        assert (np.concatenate([p.byte for p in parts]) == full.byte).all() and all((np.concatenate([p.context[k] for p in parts]) == full.context[k]).all() for k in range(len(full.context)))
+    assert np.allclose(whole, [plain_spelling(w, model) for w in words], rtol=1e-4)
+
+
+def test_lm_spelling_of_a_very_long_word(monkeypatch):
+    monkeypatch.setattr(lm_score, "STEP", 1 << 10)
+    tracemalloc.start()
+    score = lm_score.spelled(pa.array(["z" * (1 << 18)]), trained_model(["zoo"]))
+    assert np.isfinite(score).all() and tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("plane", [False, True])
+def test_near_vectors_over_many_cells(spark, monkeypatch, plane):
+    """Exact links of 3,000 vectors, whose index has 144 cells a label, in 16 dimensions or in 3 of these."""
+    monkeypatch.setattr(near_vectors, "CELL", 10)
+    monkeypatch.setattr(near_vectors, "MEMBERS", 16)
+    monkeypatch.setattr(near_vectors, "VISITORS", 32)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(1000, 16))
+    turn = rng.normal(size=(3, 16))
+    if plane:
+        base = rng.normal(size=(1000, 3)) @ turn
+    noise = (lambda: 0.08 * rng.normal(size=3) @ turn) if plane else (lambda: 0.1 * rng.normal(size=16))
+    x = np.array([base[i % 1000] + (noise() if i >= 1000 else 0) for i in range(3000)]).astype(np.float32)
+    x[2990:] = x[:10]  # copies
+    label = [i % 1000 % 2 for i in range(3000)]
+    df = spark.createDataFrame([(i, v.tolist(), lab) for i, (v, lab) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int").repartition(3)
+    got = {r.vec_id: r for r in near_vectors.near_vectors(df).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.98) & (np.array(label)[:, None] == np.array(label)[None, :]) & ~np.eye(len(x), dtype=bool)
+    want = links.sum(1)
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.98 * want.sum()
+    label_of = np.arange(len(x))
+    while True:
+        low = np.where(links, label_of[None, :], len(x)).min(1)
+        new = np.minimum(label_of, low)
+        if (new == label_of).all():
+            break
+        label_of = new
+    component = np.array([got[i].component_id for i in range(len(x))])
+    assert (component >= label_of).all() and (component == label_of).mean() >= 0.98
+    assert all(got[i].kept == (got[i].component_id == i) for i in got)
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 16))

@@ -21,8 +21,8 @@ SEGMENT = 1 << 16
 GATES = 8 * (len(ORDERS) + 1)
 #: Smoothing of a predictor's counts, and most of a log odds.
 PSEUDO, MOST = 0.3, 8.0
-#: Learning rate, words of a learning step, words that are spelled at a time.
-RATE, LEARN, STEP = 0.4, 500, 5_000
+#: Learning rate, letters of a learning step, letters that are spelled or counted at a time.
+RATE, LEARN, STEP = 0.4, 5_000, 50_000
 #: Bytes of text that one block holds.
 BLOCK = 8 << 20
 #: Tokens that the prior weights of a document's experts count as.
@@ -41,28 +41,31 @@ class Letters:
     context: list[np.ndarray]
 
 
-def letters(words: pa.Array) -> Letters:
+def letters(words: pa.Array, most: int) -> Iterator[Letters]:
+    """The letters of words in parts of `most`; a part may end inside a word, and the next still sees what stands before it."""
     raw = words.cast(pa.large_binary())
     _, offsets, data = raw.buffers()
-    bounds = np.frombuffer(offsets, np.int64, len(raw) + 1, raw.offset * 8)
+    bounds = np.frombuffer(offsets, np.int64, len(raw) + 1, raw.offset * 8) if len(raw) else np.zeros(1, np.int64)
+    source = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
     size = np.diff(bounds) + 1
     end = np.cumsum(size)
-    byte = np.full(end[-1] if len(end) else 0, 32, np.uint8)
-    inner = np.ones(len(byte), bool)
-    inner[end - 1] = False
-    if data is not None:
-        byte[inner] = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
-    word = np.repeat(np.arange(len(size)), size)
-    place = np.arange(len(byte)) - np.repeat(end - size, size)
-    context, h = [], np.zeros(len(byte), np.uint64)
-    for back in range(1, max(ORDERS) + 1):
-        before = np.zeros(len(byte), np.uint64)
-        before[back:] = byte[:-back]
-        before[place < back] = 0  # before the word's first letter
-        h = h * np.uint64(0x100000001B3) + before + np.uint64(1)
-        if back in ORDERS:
-            context.append(mix(h + np.uint64(back)))
-    return Letters(byte, word, context)
+    for begin in range(0, int(size.sum()), most):
+        lead = min(begin, max(ORDERS))
+        at = np.arange(begin - lead, min(begin + most, end[-1]))
+        word = np.searchsorted(end, at, "right")
+        inner = at < end[word] - 1
+        byte = np.full(len(at), 32, np.uint8)
+        byte[inner] = source[(at - word)[inner]]  # each word before has added one space
+        place = at - (end - size)[word]
+        context, h = [], np.zeros(len(at), np.uint64)
+        for back in range(1, max(ORDERS) + 1):
+            before = np.zeros(len(at), np.uint64)
+            before[back:] = byte[:-back]
+            before[place < back] = 0  # before the word's first letter
+            h = h * np.uint64(0x100000001B3) + before + np.uint64(1)
+            if back in ORDERS:
+                context.append(mix(h + np.uint64(back))[lead:])
+        yield Letters(byte[lead:], word[lead:], context)
 
 
 def slots(part: Letters, bit: int) -> list[np.ndarray]:
@@ -114,8 +117,7 @@ def _segments(lexicon: DataFrame) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.zeros((2, 1 << b), np.float32) for b in TABLE_BITS]
         for batch in batches:
-            for at in range(0, batch.num_rows, 20_000):
-                part = letters(batch["word"].slice(at, 20_000))
+            for part in letters(batch["word"], STEP):
                 for bit in range(8):
                     value = (part.byte >> np.uint8(7 - bit)) & np.uint8(1)
                     for table, slot in zip(tables, slots(part, bit), strict=True):
@@ -154,8 +156,7 @@ def _predictors(lexicon: DataFrame) -> Predictors:
     def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n = Predictors(sent.value.zeros, sent.value.ones, sent.value.weights.copy()), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, LEARN):
-                part = letters(batch["word"].slice(at, LEARN))
+            for part in letters(batch["word"], LEARN):
                 for odds, gate, value in own.bits(part, itself=True):
                     wrong = value - own.mixed(odds, gate)
                     seen = np.bincount(gate, minlength=GATES)
@@ -173,13 +174,13 @@ def _predictors(lexicon: DataFrame) -> Predictors:
 def spelled(words: pa.Array, model: Predictors) -> np.ndarray:
     """The log10 probability of each word's bits, with the space behind it."""
     out = np.zeros(len(words))
-    for at in range(0, len(words), STEP):
-        part = letters(words.slice(at, STEP))
+    for part in letters(words, STEP):
         total = np.zeros(len(part.byte))
         for odds, gate, value in model.bits(part, itself=False):
             p = model.mixed(odds, gate)
             total += np.log10(np.where(value == 1, p, 1 - p))
-        out[at : at + STEP] = np.bincount(part.word, total, len(out[at : at + STEP]))
+        first, last = part.word[0], part.word[-1]
+        out[first : last + 1] += np.bincount(part.word - first, total)
     return out
 
 
