@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from weftline.llm import catalog, license_scan, lm_score, mix, near_texts, near_vectors, packing, quality, shard, token_count, url_filter  # noqa: E402
+from weftline.llm import catalog, license_scan, lm_score, mix, near_texts, near_vectors, packing, quality, shard, token_bits, token_count, url_filter  # noqa: E402
 from weftline.llm.graph import components  # noqa: E402
 
 SPACE = "[\x20\x09-\x0d]+"
@@ -247,10 +247,6 @@ def test_lm_probabilities_sum_to_one_at_most():
     words = pa.array([bytes([b]).decode("latin-1") for b in range(128) if b != 32])
     p = 10 ** lm_score.spelled(words, model)
     assert 0 < p.sum() <= 1
-    token = np.array([1, 2, 1, 2, 3])
-    share = np.array([0.4, 0.3, 0.2])[token - 1]
-    scores = lm_score.mix_document_experts(np.zeros(5, int), token, share, np.full(5, -6.0))
-    assert (scores < 0).all() and scores[3] > scores[1]
 
 
 def plain_spelling(word, model):
@@ -283,26 +279,116 @@ def plain_spelling(word, model):
     return total
 
 
-def plain_score(tokens, memory, spelling):
-    """The log10 probability of a document's tokens, one after another; memory and spelling are functions of a token."""
-    counts, last, moved, n = Counter(), {}, defaultdict(lambda: np.zeros(4)), Counter()
-    total, was_hit, foreseen = 0.0, False, None
-    for i, t in enumerate(tokens):
-        if i:  # where the token before stood the last time, before its own place
-            foreseen = last.get(tokens[i - 1])
-            last[tokens[i - 1]] = i - 1
-        hit = foreseen is not None and tokens[foreseen + 1] == t
-        kind = 0 if foreseen is None else 2 if was_hit else 1
-        gate = kind, bool(i and memory(tokens[i - 1]) == 0)
-        prior = lm_score.WEIGHTS[kind]
-        p = np.array([memory(t), counts[t] / max(i, 1), hit, 10.0 ** max(spelling(t), -300)])
-        w = (lm_score.PRIOR * prior + moved[gate]) / (lm_score.PRIOR + n[gate])
-        total += np.log10(w[:3] @ p[:3] + max(w[3], 1e-12) * p[3]) if w[:3] @ p[:3] > 0 else np.log10(max(w[3], 1e-12)) + spelling(t)
-        moved[gate] += prior * p / max((prior * p).sum(), 1e-320)
-        n[gate] += 1
-        counts[t] += 1
-        was_hit = hit
-    return total
+def log_odds(one, zero):
+    return min(max(np.log((one + token_bits.PSEUDO) / (zero + token_bits.PSEUDO)), -token_bits.MOST), token_bits.MOST)
+
+
+def plain_spread(x):
+    full = 2**64 - 1
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & full
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & full
+    return x ^ (x >> 31)
+
+
+def plain_slots(words, i, node):
+    """The slot of each hashed context of words[i] for a node."""
+    full, h, out = 2**64 - 1, 0, []
+    for back in range(1, max(token_bits.WORDS_BEFORE) + 1):
+        h = plain_spread((h + (zlib.crc32(words[i - back].encode()) + 1 if i >= back else 0) + back) & full)
+        if back in token_bits.WORDS_BEFORE:
+            size = token_bits.TABLE_BITS[len(out)]
+            out.append(((h ^ (node * 0x9E3779B97F4A7C15 & full)) * 0xD6E8FEB86659FD93 & full) >> (64 - size))
+    return out
+
+
+def code_of(word):
+    return zlib.crc32(word.encode()) % token_bits.NODES
+
+
+def plain_tables(texts):
+    """Zeros and ones by table and slot, over the words of all training texts."""
+    tables = [defaultdict(lambda: [0, 0]) for _ in token_bits.TABLE_BITS]
+    for words in texts:
+        for i, w in enumerate(words):
+            for b in range(token_bits.CODE):
+                node = (1 << b) | (code_of(w) >> (token_bits.CODE - b))
+                for table, at in zip(tables, plain_slots(words, i, node), strict=True):
+                    table[at][(code_of(w) >> (token_bits.CODE - 1 - b)) & 1] += 1
+    return tables
+
+
+def plain_score(words, c, tables, spelling):
+    """The log10 probability of a document's words, one after another; weights and counters move after each step."""
+    by_code = Counter()
+    for w, n in c.items():
+        by_code[code_of(w)] += n
+    once, total = sum(n == 1 for n in c.values()), sum(c.values())
+    ends = [*token_bits.STEPS]
+    while ends[-1] <= len(words):
+        ends.append(ends[-1] + token_bits.LAST_STEP)
+    weights, counters = token_bits.START.astype(float), np.zeros((token_bits.COUNTERS, 2))
+    taught, score, was_hit = [], 0.0, False
+
+    def decide(gate, corpus, hashed, counter, hint, value):
+        x = np.array([corpus, *hashed, log_odds(counters[counter][1], counters[counter][0]), hint])
+        p = 1 / (1 + np.exp(-min(max(weights[gate] @ x, -20), 20)))
+        taught.append((gate, (value - p) * x, counter, value))
+        return np.log10(p if value else 1 - p)
+
+    for i, w in enumerate(words):
+        before = [j for j in range(i - 1) if words[j] == words[i - 1]] if i else []
+        foreseen = words[before[-1] + 1] if before else None
+        state, f_known = 0 if foreseen is None else 2 if was_hit else 1, foreseen is not None and c[foreseen] > 0
+        score += decide(token_bits.KNOWN + state, log_odds(total - once, once), (0, 0), token_bits.DOC_KNOWN, 0 if foreseen is None else 1 if f_known else -1, int(c[w] > 0))
+        if c[w]:
+            agrees = f_known
+            for b in range(token_bits.CODE):
+                shift = token_bits.CODE - b
+                node, value = (1 << b) | (code_of(w) >> shift), (code_of(w) >> (shift - 1)) & 1
+                told = (code_of(foreseen) >> (shift - 1)) & 1 if agrees else None
+                ones, zeros = (sum(n for k, n in by_code.items() if k >> (shift - 1) == ((node << 1) | v) - (2 << b)) for v in (1, 0))
+                hashed = [log_odds(t[at][1], t[at][0]) if at in t else 0 for t, at in zip(tables, plain_slots(words, i, node), strict=True)]
+                score += decide(3 * b + (state if agrees else 0), log_odds(ones, zeros), hashed, node, 0 if told is None else 2 * told - 1, value)
+                agrees = agrees and told == value
+            same = [v for v in words[:i] if c[v] and code_of(v) == code_of(w)]
+            rest = by_code[code_of(w)]
+            if same:
+                its = c[same[-1]]
+                score += decide(token_bits.AGAIN + (same[-1] == foreseen), log_odds(its, rest - its), (0, 0), 0, int(same[-1] == foreseen), int(same[-1] == w))
+                rest -= its
+            if not same or same[-1] != w:
+                score += np.log10(c[w] / rest)
+        else:
+            new = [v for v in words[:i] if not c[v]]
+            if new:
+                score += decide(token_bits.UNKNOWN_AGAIN, -1.0, (0, 0), token_bits.DOC_UNKNOWN_AGAIN, int(foreseen is not None and not f_known), int(w in new))
+            score += np.log10(new.count(w) / len(new)) if w in new else spelling(w)
+        was_hit = foreseen == w
+        if i + 1 in ends:
+            times = Counter(gate for gate, *_ in taught)
+            for gate, move, counter, value in taught:
+                weights[gate] += token_bits.RATE * move / (times[gate] + token_bits.PRIOR)
+                counters[counter][value] += 1
+            taught.clear()
+    return score
+
+
+def test_lm_token_probabilities_sum_to_one():
+    """Over all words that may come next after a text: the known ones, which hold every code, and the unknown ones as one."""
+    rng, n = np.random.default_rng(5), 2500
+    words = np.array([zlib.crc32(b"w%d" % i) for i in range(n + 1)], np.uint32)
+    c = np.append(rng.integers(1, 50, n), 0)
+    codes = words & np.uint32(token_bits.NODES - 1)
+    assert len(set(codes[:n])) == token_bits.NODES
+    tables = [rng.integers(0, 9, (2, 1 << b)) for b in token_bits.TABLE_BITS]
+    corpus = token_bits.Corpus.of(tables, np.bincount(codes, c, token_bits.NODES).astype(np.int64), int((c == 1).sum()))
+    text = rng.integers(0, 40, 70)
+    text[40:50] = text[10:20]
+    text[69] = text[15]
+    tails = np.arange(n + 1)  # an unknown word would be spelled, here with certainty, as the text holds no other
+    token = np.concatenate([np.append(text, t) for t in tails])
+    score = token_bits.token_scores(np.repeat(tails, 71), token, words, c, np.zeros(n + 1), corpus)
+    assert np.isclose((10 ** score.reshape(n + 1, 71)[:, -1]).sum(), 1, atol=1e-4)
 
 
 def trained_model(words):
@@ -323,16 +409,17 @@ def test_lm_score_by_a_plain_model(docs, rows, monkeypatch):
     c = Counter(w for i, t, _ in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 10 for w in lowered[i, t])
     model = trained_model(sorted(w for w in c if w))
     monkeypatch.setattr(lm_score, "_predictors", lambda lexicon: model)
-    total, spell = sum(c.values()), {}
+    spell = {}
 
     def spelling(w):
         if w not in spell:
             spell[w] = plain_spelling(w, model)
         return spell[w]
 
+    tables = plain_tables(lowered[i, t] for i, t, _ in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 10)
     want = defaultdict(list)
     for i, t, _ in rows:
-        want[i].append(plain_score(lowered[i, t], lambda w: c[w] / total, spelling))
+        want[i].append(plain_score(lowered[i, t], c, tables, spelling))
     got = defaultdict(list)
     for r in lm_score.score_documents(docs).collect():
         got[r.doc_id].append(r.score)

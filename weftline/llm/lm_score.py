@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,8 +13,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm import token_bits
 from weftline.llm.shared import id_key, saved
-from weftline.llm.wordhash import by_bytes, mix, occurrence
+from weftline.llm.wordhash import by_bytes, mix
 
 #: Letters before a bit that each predictor hashes, and the bits of its table's size: a bound for what is broadcast.
 ORDERS, TABLE_BITS = (1, 2, 3, 5), (16, 18, 20, 20)
@@ -25,11 +27,10 @@ PSEUDO, MOST = 0.3, 8.0
 RATE, LEARN, STEP = 0.4, 5_000, 50_000
 #: Bytes of text that one block holds.
 BLOCK = 8 << 20
-#: Tokens that the prior weights of a document's experts count as.
-PRIOR = 16.0
-# Prior weights of the experts (memory, document, next word, spelling) without a prediction of the next
-# word, with one after a miss, and with one after a hit.
-WEIGHTS = np.array([[0.80, 0.16, 0.0, 0.04], [0.77, 0.16, 0.03, 0.04], [0.08, 0.02, 0.89, 0.01]])
+#: Tokens of a block that are counted at a time, and that are scored at a time, or one longer document.
+RUN, SCORED = 1 << 20, 200_000
+#: Segments of tables on their way to the driver.
+SEGMENTS = "k int, segment int, zeros binary, ones binary"
 
 
 @dataclass(frozen=True)
@@ -110,34 +111,49 @@ def _first_weights() -> np.ndarray:
     return weights
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts by byte planes, compressed: most planes are zero."""
+    return pa.compress(np.ascontiguousarray(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, SEGMENT * 8, codec="zstd", asbytes=True), np.uint8).reshape(8, SEGMENT)
+    return np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
+
+
+def _cut_tables(tables: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The segments of tables that hold a count."""
+    for k, table in enumerate(tables):
+        cut = [(s, *table[:, s : s + SEGMENT]) for s in range(0, table.shape[1], SEGMENT)]
+        cut = [(s // SEGMENT, _packed(z), _packed(o)) for s, z, o in cut if z.any() or o.any()]
+        if cut:
+            seg, z, o = zip(*cut, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(seg), pa.int32()), pa.array(seg, pa.int32()), pa.array(z, pa.binary()), pa.array(o, pa.binary())], ["k", "segment", "zeros", "ones"])
+
+
+def _summed(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((2, SEGMENT), np.int64)
+    for t in tables:
+        for z, o in zip(t["zeros"], t["ones"], strict=True):
+            total[0] += _unpacked(z.as_py())
+            total[1] += _unpacked(o.as_py())
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([_packed(total[0])], pa.binary()), pa.array([_packed(total[1])], pa.binary())], ["k", "segment", "zeros", "ones"])
+
+
 def _segments(lexicon: DataFrame) -> DataFrame:
     """Counts of each predictor's slots over all known words, in segments of the tables."""
-    schema = "k int, segment int, zeros binary, ones binary"
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros((2, 1 << b), np.float32) for b in TABLE_BITS]
+        tables = [np.zeros((2, 1 << b), np.int64) for b in TABLE_BITS]
         for batch in batches:
             for part in letters(batch["word"], STEP):
                 for bit in range(8):
                     value = (part.byte >> np.uint8(7 - bit)) & np.uint8(1)
                     for table, slot in zip(tables, slots(part, bit), strict=True):
-                        np.add.at(table.reshape(-1), slot + value * np.int64(table.shape[1]), np.float32(1))
-        for k, table in enumerate(tables):
-            cut = [(s, *table[:, s : s + SEGMENT]) for s in range(0, table.shape[1], SEGMENT)]
-            cut = [(s // SEGMENT, z.tobytes(), o.tobytes()) for s, z, o in cut if z.any() or o.any()]
-            if cut:
-                seg, z, o = zip(*cut, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(seg), pa.int32()), pa.array(seg, pa.int32()), pa.array(z, pa.binary()), pa.array(o, pa.binary())], ["k", "segment", "zeros", "ones"])
-
-    def summed(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, SEGMENT))
-        for t in tables:
-            for z, o in zip(t["zeros"], t["ones"], strict=True):
-                total += np.frombuffer(z.as_py() + o.as_py(), np.float32).reshape(2, SEGMENT)
-        total = total.astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([total[0].tobytes()], pa.binary()), pa.array([total[1].tobytes()], pa.binary())], ["k", "segment", "zeros", "ones"])
+                        np.add.at(table.reshape(-1), slot + value * np.int64(table.shape[1]), 1)
+        yield from _cut_tables(tables)
 
-    return lexicon.where("c > 0").select("word").mapInArrow(counted, schema).groupBy("k", "segment").applyInArrow(summed, schema)
+    return lexicon.where("c > 0").select("word").mapInArrow(counted, SEGMENTS).groupBy("k", "segment").applyInArrow(_summed, SEGMENTS)
 
 
 def _predictors(lexicon: DataFrame) -> Predictors:
@@ -149,7 +165,7 @@ def _predictors(lexicon: DataFrame) -> Predictors:
     zeros, ones = ([np.zeros(1 << b, np.float32) for b in TABLE_BITS] for _ in range(2))
     for r in _segments(lexicon).collect():
         at = slice(r.segment * SEGMENT, (r.segment + 1) * SEGMENT)
-        zeros[r.k][at], ones[r.k][at] = np.frombuffer(r.zeros, np.float32), np.frombuffer(r.ones, np.float32)
+        zeros[r.k][at], ones[r.k][at] = _unpacked(r.zeros), _unpacked(r.ones)
     start = Predictors(zeros, ones, _first_weights())
     sent = lexicon.sparkSession.sparkContext.broadcast(start)
 
@@ -184,49 +200,35 @@ def spelled(words: pa.Array, model: Predictors) -> np.ndarray:
     return out
 
 
-def mix_document_experts(doc: np.ndarray, token: np.ndarray, memory: np.ndarray, spelling: np.ndarray) -> np.ndarray:
-    """The log10 probability of each token from four experts whose weights adapt along its document.
+def _running_words(tokens: bytes, lengths: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token of a block, ends included: its document, its place there and the hash of its word."""
+    token = np.insert(np.frombuffer(tokens, "<u4").astype(np.int64), np.cumsum(lengths), 0)
+    doc = np.repeat(np.arange(len(lengths)), lengths + 1)
+    return doc, np.arange(len(doc)) - np.searchsorted(doc, doc), words[token]
 
-    memory is the token's share of the training tokens, spelling its spelled log10 probability. The third expert is
-    the token's share of the document so far; the fourth is certain of the word that followed the last time the word
-    before stood there. A gate, from what came before, picks a set of weights; each set starts from WEIGHTS and moves
-    to the shares that each expert had in the tokens under that gate so far in the document.
-    """
-    n = len(token)
-    if not n:
-        return np.zeros(0)
-    index = np.arange(n)
-    start = np.searchsorted(doc, doc)  # doc ascends
-    place = index - start
-    order = np.lexsort((token, doc))
-    earlier = np.full(n, -1)
-    same = (token[order][1:] == token[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-    earlier[order[1:][same]] = order[:-1][same]
-    before = np.where(place > 0, index - 1, 0)
-    follows = np.where(place > 0, earlier[before], -1)
-    foreseen = follows >= 0
-    hit = foreseen & (token[np.minimum(follows + 1, n - 1)] == token)
-    gate = np.where(foreseen, np.where((place > 0) & hit[before], 2, 1), 0)
-    gate = gate * 2 + ((place > 0) & (memory[before] == 0))
-    p = np.stack([memory, occurrence(doc, token) / np.maximum(place, 1), hit.astype(float), 10 ** np.maximum(spelling, -300)])
-    prior = WEIGHTS[gate // 2].T
-    share = prior * p
-    share /= np.maximum(share.sum(0), 1e-320)
-    weight = PRIOR * prior
-    count = np.full(n, PRIOR)
-    for g in range(2 * len(WEIGHTS)):
-        under = gate == g
-        if under.any():
-            at = np.flatnonzero(under)
-            sums = np.concatenate([np.zeros((4, 1)), np.cumsum(share[:, at], 1)], 1)
-            first = np.searchsorted(at, start[at])  # the first token of the document under this gate
-            rank = np.arange(len(at))
-            weight[:, at] += sums[:, rank] - sums[:, first]
-            count[at] += rank - first
-    weight /= count
-    others = (weight[:3] * p[:3]).sum(0)
-    tail = np.maximum(weight[3], 1e-12)
-    return np.where(others > 0, np.log10(np.maximum(others + tail * p[3], 1e-320)), np.log10(tail) + spelling)
+
+def _context_tables(blocks: DataFrame) -> list[np.ndarray]:
+    """Counts of the bits of all training text under each hashed context, (2, slots) each: tables of a fixed size, to the driver."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [np.zeros((2, 1 << b), np.int64) for b in token_bits.TABLE_BITS]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = np.array([zlib.crc32(w.encode()) for w in batch["words"][i].as_py()], np.uint32)
+                held, lengths = (batch[name][i].values.to_numpy(zero_copy_only=False) for name in ("held", "lengths"))
+                doc, place, word = _running_words(batch["tokens"][i].as_py(), lengths, words)
+                for at in range(0, len(doc), RUN):
+                    lead = max(0, at - max(token_bits.WORDS_BEFORE))
+                    run = slice(lead, at + RUN)
+                    counts = ~held[doc[run]]
+                    counts[: at - lead] = False
+                    token_bits.count_bits(tables, word[run], place[run], counts)
+        yield from _cut_tables(tables)
+
+    tables = [np.zeros((2, 1 << b), np.int64) for b in token_bits.TABLE_BITS]
+    for r in blocks.select("held", "lengths", "tokens", "words").mapInArrow(counted, SEGMENTS).groupBy("k", "segment").applyInArrow(_summed, SEGMENTS).collect():
+        tables[r.k][:, r.segment * SEGMENT : (r.segment + 1) * SEGMENT] = _unpacked(r.zeros), _unpacked(r.ones)
+    return tables
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -268,39 +270,40 @@ def score_documents(docs: DataFrame) -> DataFrame:
     columns are not read; an empty table gives no rows. score is the log10 probability of the tokens, bits_per_byte
     the same in bits over the text's UTF-8 bytes and one.
 
-    The memory is the count of every training token, exact, and is joined to each block's words by a shuffle. Words
-    are also spelled, bit by bit: predictors of hashed contexts, counted over all known words, are mixed by weights
-    of a gate, learnt online. Along a document, gated weights of memory, spelling, the document's own words and the
-    next foreseen word adapt after every token.
+    The corpus memory is the count of every training token, exact, and is joined to each block's words by a shuffle;
+    tables of hashed contexts of one and two words count the bits of all training text. Along a document, gated
+    logistic weights mix these with the document's own words and the next foreseen word, bit by bit, and adapt (see
+    token_bits). Words without a training count are spelled: predictors of hashed letters, counted over all known
+    words, are mixed the same way.
     """
     blocks = saved(_blocks(docs), "lm-blocks")
     vocabulary = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     lexicon = saved(vocabulary.groupBy("word").agg(F.sum("n").alias("c")), "lm-lexicon")
-    tokens, kinds = lexicon.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    sent = lexicon.sparkSession.sparkContext.broadcast(_predictors(lexicon))
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spelled(batch["word"], sent.value))], ["word", "c", "spelling"])
-
-    known = saved(lexicon.mapInArrow(spell, "word string, c long, spelling double"), "lm-spelled")
-    stats = vocabulary.select("block", "pos", "word").join(known, "word").select(F.col("block").alias("of"), "pos", "c", "spelling")
+    code = F.crc32(F.col("word").cast("binary"))
+    by_code, kinds, once = np.zeros(token_bits.NODES, np.int64), 0, 0
+    for r in lexicon.groupBy((code % token_bits.NODES).alias("code")).agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("kinds"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).collect():
+        by_code[r.code], kinds, once = r.n, kinds + r.kinds, once + r.once
+    tokens = int(by_code.sum())
+    model = _predictors(lexicon), token_bits.Corpus.of(_context_tables(blocks), by_code, once)
+    sent = lexicon.sparkSession.sparkContext.broadcast(model)
+    stats = vocabulary.select("block", "pos", "word").join(lexicon, "word").select(F.col("block").alias("of"), "pos", "c", code.alias("hash"), F.when(F.col("c") == 0, F.col("word")).alias("unknown"))
     kind = dict(docs.dtypes)["doc_id"]
 
     def score(block: pa.Table, words: pa.Table) -> pa.Table:
         order = np.argsort(words["pos"].to_numpy())
-        c, spelling = words["c"].to_numpy()[order], words["spelling"].to_numpy()[order]
+        c, crc = words["c"].to_numpy()[order], words["hash"].to_numpy()[order].astype(np.uint32)
+        letters_model, corpus = sent.value
+        spelling = np.zeros(len(c))
+        spelling[c == 0] = spelled(pa.concat_arrays(words["unknown"].take(pa.array(order[c == 0])).cast(pa.large_string()).chunks or [pa.array([], pa.large_string())]), letters_model)
         row = {name: block[name][0].values for name in ("doc_ids", "held", "lengths", "sizes")}
         lengths = row["lengths"].to_numpy()
-        tokens_of = np.frombuffer(block["tokens"][0].as_py(), "<u4").astype(np.int64)
-        ends = np.cumsum(lengths)
-        token = np.insert(tokens_of, ends, 0)
+        token = np.insert(np.frombuffer(block["tokens"][0].as_py(), "<u4").astype(np.int64), np.cumsum(lengths), 0)
         doc = np.repeat(np.arange(len(lengths)), lengths + 1)
         base = np.log10((c + 0.1) / (tokens + 0.1 * (kinds + 1)))
         # some documents at a time
-        cuts = np.searchsorted(doc, np.append(np.unique(doc[:: 200_000]), len(lengths))) if len(doc) else [0]
+        cuts = np.searchsorted(doc, np.append(np.unique(doc[::SCORED]), len(lengths))) if len(doc) else [0]
         parts = [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
-        mixed = np.concatenate([mix_document_experts(doc[x], token[x], c[token[x]] / max(tokens, 1), spelling[token[x]]) for x in parts])
+        mixed = np.concatenate([token_bits.token_scores(doc[x], token[x], crc, c, spelling, corpus) for x in parts])
         add = lambda x: np.bincount(doc, x, len(lengths))
         total, size = add(mixed), row["sizes"].to_numpy() + 1
         return pa.table(
