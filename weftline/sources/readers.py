@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,15 +13,19 @@ EVENT_SCHEMA = "time timestamp, changeId string, phase string, node string, stat
 
 
 def files(spark: SparkSession, root: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
-    """path, name, content, length and modificationTime of the files of a folder. Pass a dot folder itself as the root."""
+    """path, name, content, length and modificationTime of the files of a folder. Pass a dot folder itself as the root.
+
+    A scan leaves out files without a byte; they are added from Spark's own listing of it, without a modificationTime.
+    """
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(root)
-    return found.withColumn("name", file_name("path"))
+    listed = spark.createDataFrame([(unquote(p).replace("file:///", "file:/", 1),) for p in found.inputFiles()], "path string")
+    empty = listed.join(found.select("path"), "path", "left_anti").select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    return found.unionByName(empty).withColumn("name", file_name("path"))
 
 
 def texts(spark: SparkSession, root: str, pattern: str = "*.md", recursive: bool = False) -> DataFrame:
-    """path, name and text of text files, one row for each."""
-    found = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).text(root, wholetext=True)
-    return found.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+    """path, name and text of text files, one row for each, empty ones too."""
+    return files(spark, root, pattern, recursive).select("path", "name", F.decode("content", "UTF-8").alias("text"))
 
 
 def fragments(spark: SparkSession, folder: str, main: str | None = None) -> DataFrame:
