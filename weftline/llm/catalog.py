@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import license_scan, lm_score, mix, near_texts, near_vectors, packing, quality, shard, token_count, url_filter
+from weftline.llm import centroids, license_scan, lm_score, mix, near_texts, near_vectors, packing, quality, shard, token_count, url_filter
 
 #: Folder of public tokenizer files; every executor has it.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -78,6 +78,10 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def _values(rules: list[url_filter.Rule]) -> str:
     return ", ".join(f"('{r.name}', '{r.host}', '{r.path}', '{r.action}')" for r in rules)
 
@@ -180,6 +184,26 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS
 FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
+
+def _cluster_sql(k: int = centroids.K, rounds: int = centroids.ROUNDS) -> str:
+    """The rounds one after another; sums are exact, and their quotients floored."""
+    far = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    steps = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v, embedding FROM embeddings
+  WHERE len(embedding) = {centroids.WIDTH} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), embedding) - 1 AS i, v AS c FROM v QUALIFY i < {k})",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT rid, arg_min(i, (d, i)) AS i, min(d) AS d FROM (SELECT rid, i, {far} AS d FROM v, c{n}) GROUP BY rid)")
+        if n < rounds:
+            steps.append(f"s{n} AS (SELECT i, place, sum(x) AS s, count(*) AS n FROM (SELECT i, unnest(v) AS x, unnest(range({centroids.WIDTH})) AS place FROM a{n} JOIN v USING (rid)) GROUP BY i, place)")
+            steps.append(f"m{n} AS (SELECT i, list((s - (s % n + n) % n) // n ORDER BY place) AS c FROM s{n} GROUP BY i)")
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT i, coalesce(m{n}.c::BIGINT[], c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (i))")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, i::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY i))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (rid) JOIN c{rounds} USING (i)"""
+
+
 def _rendezvous_sql(shards: dict[int, float]) -> str:
     """The shard whose MD5 gives the highest score."""
     unit = "((('0x' || substr(md5('shard:{0}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
@@ -201,7 +225,7 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITI
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_url_filter, op3_lm_score, op4_token_counts, op5_sharding, op6_packing, op7_mixing, op8_near_texts, op9_quality, op10_near_vectors)
+    for f in (op1_license_scan, op2_url_filter, op3_lm_score, op4_token_counts, op5_sharding, op6_packing, op7_mixing, op8_near_texts, op9_quality, op10_near_vectors, op12_centroids)
 }
 
-ORACLES: dict[str, str] = {"op2_url_filter": URL_SQL, "op5_sharding": SHARD_SQL, "op7_mixing": MIX_SQL, "op9_quality": QUALITY_SQL, "op10_near_vectors": VECTOR_SQL}
+ORACLES: dict[str, str] = {"op2_url_filter": URL_SQL, "op5_sharding": SHARD_SQL, "op7_mixing": MIX_SQL, "op9_quality": QUALITY_SQL, "op10_near_vectors": VECTOR_SQL, "op12_centroids": _cluster_sql()}
