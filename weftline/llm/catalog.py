@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import centroids, license_scan, lm_score, mix, near_texts, near_vectors, packing, quality, shard, token_count, url_filter
+from weftline.llm import align, centroids, license_scan, lm_score, mix, near_texts, near_vectors, packing, quality, shard, token_count, url_filter
 
 #: Folder of public tokenizer files; every executor has it.
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SHARDS = {i: 1.0 for i in range(8)}
 GROWN = SHARDS | {8: 1.0}
 
@@ -78,6 +78,10 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(_read(spark, sf_dir, "embeddings"))
 
@@ -225,7 +229,7 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITI
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_url_filter, op3_lm_score, op4_token_counts, op5_sharding, op6_packing, op7_mixing, op8_near_texts, op9_quality, op10_near_vectors, op12_centroids)
+    for f in (op1_license_scan, op2_url_filter, op3_lm_score, op4_token_counts, op5_sharding, op6_packing, op7_mixing, op8_near_texts, op9_quality, op10_near_vectors, op11_alignment, op12_centroids)
 }
 
 ORACLES: dict[str, str] = {"op2_url_filter": URL_SQL, "op5_sharding": SHARD_SQL, "op7_mixing": MIX_SQL, "op9_quality": QUALITY_SQL, "op10_near_vectors": VECTOR_SQL, "op12_centroids": _cluster_sql()}
