@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import align, centroids, license_scan, lm_score, mix, near_texts, near_vectors, packing, quality, shard, token_count, url_filter
+from weftline.llm import align, centroids, license_scan, lm_score, mix, near_texts, near_vectors, packing, pii, quality, shard, token_count, url_filter
 
 #: Folder of public tokenizer files; every executor has it.
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -86,6 +86,10 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_read(spark, sf_dir, "documents"))
+
+
 def _values(rules: list[url_filter.Rule]) -> str:
     return ", ".join(f"('{r.name}', '{r.host}', '{r.path}', '{r.action}')" for r in rules)
 
@@ -229,7 +233,7 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITI
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_url_filter, op3_lm_score, op4_token_counts, op5_sharding, op6_packing, op7_mixing, op8_near_texts, op9_quality, op10_near_vectors, op11_alignment, op12_centroids)
+    for f in (op1_license_scan, op2_url_filter, op3_lm_score, op4_token_counts, op5_sharding, op6_packing, op7_mixing, op8_near_texts, op9_quality, op10_near_vectors, op11_alignment, op12_centroids, op13_pii)
 }
 
 ORACLES: dict[str, str] = {"op2_url_filter": URL_SQL, "op5_sharding": SHARD_SQL, "op7_mixing": MIX_SQL, "op9_quality": QUALITY_SQL, "op10_near_vectors": VECTOR_SQL, "op12_centroids": _cluster_sql()}
