@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +29,39 @@ def test_merge_is_deep_ordered_and_replaces_arrays(spark):
     assert [r.server for r in config_merge.server_names(fragments(spark, MAIN, NEXT)).orderBy("rank").collect()] == ["d", "c", "b", "a", "$schema"]
 
 
+def fold(left, right):
+    if isinstance(left, dict) and isinstance(right, dict):
+        return left | {k: fold(left[k], v) if k in left else v for k, v in right.items()}
+    return right
+
+
+def test_merge_equals_a_fold(spark):
+    r = random.Random(7)
+
+    def value(depth):
+        kind = r.random()
+        if depth < 4 and kind < 0.6:
+            return {r.choice('abc"\u00e9.$'): value(depth + 1) for _ in range(r.randint(0, 3))}
+        return r.choice([None, True, False, 0, 1.5, "", "x/\u00e9\n\"{", [], [{"z": None, "a": [1]}], "{}", {}, -7])
+
+    docs = [{"mcpServers": {s: value(1) for s in r.sample(["s", "t", "u v", "}{"], r.randint(0, 3))}, "x": 1} for _ in range(60)]
+    want = {}
+    for d in docs:
+        want = fold(want, d["mcpServers"])
+    rows = config_merge.merged(fragments(spark, *docs)).orderBy("ord").collect()
+    assert json.dumps({x.server: json.loads(x["def"]) for x in rows}) == json.dumps(want)  # with the order of members
+    assert config_merge.merged(fragments(spark, {"mcpServers": {}})).collect() == []
+    assert config_merge.merged(spark.createDataFrame([], "ord long, text string")).collect() == []
+    (row,) = config_merge.merged(fragments(spark, {"z": {"b": 1, "a": {"d": 1, "c": 2}}}, {"z": {"a": {"e": [2, 1]}, "0": {}}})).collect()
+    assert row["def"] == '{"b":1,"a":{"d":1,"c":2,"e":[2,1]},"0":{}}'
+
+
+def test_merge_runs_no_python(spark):
+    defs = config_merge.merged(fragments(spark, MAIN, NEXT))
+    plan = config_merge.emitted(defs, "cursor")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "collect_list" not in plan
+
+
 def test_filter_before_merge_equals_filter_after(spark):
     keep = spark.createDataFrame([("a",)], "server string")
     (row,) = config_merge.merged(fragments(spark, MAIN, NEXT), keep).collect()

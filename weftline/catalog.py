@@ -177,8 +177,9 @@ def fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_brand, (row_number() OVER (ORDER BY p_brand DESC))::INT AS rank FROM (SELECT DISTINCT p_brand FROM part)")
 def distinct_keys_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a row for each brand
-    return table(spark, sf_dir, "part").select("p_brand").distinct().withColumn("rank", F.row_number().over(Window.orderBy(F.col("p_brand").desc())))
+    text = F.concat(F.lit('{"mcpServers":{"'), "p_brand", F.lit('":{}}}'))
+    fragments = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), text.alias("text"))
+    return config_merge.server_names(fragments).withColumnRenamed("server", "p_brand")
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,10 +232,47 @@ def emit_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes[0].union(shapes[1]).union(shapes[2])
 
 
-@query("""SELECT 'u' || user_id AS server, '{"env":{' || string_agg('"' || event_type || '":"' || last || '"', ',' ORDER BY first) || '}}' AS def FROM (SELECT user_id, event_type, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY ALL) GROUP BY user_id""")
+# what each event says of its user's server: members of env at two depths, an array, nulls, an env that is no object, and a server that is none
+MERGE_SQL = """
+WITH e AS (SELECT user_id, event_id AS id, event_type AS t, event_id % 4 = 0 AS fourth, event_id % 3 AS third FROM events),
+gone AS (SELECT user_id, max(id) FILTER (t = 'signup' AND fourth) AS s, max(id) AS last FROM e GROUP BY user_id),
+live AS (SELECT e.* FROM e JOIN gone USING (user_id) WHERE id > coalesce(s, -1)),
+reset AS (SELECT user_id, max(id) FILTER (t = 'error') AS r, max(id) FILTER (t IN ('view', 'click', 'purchase', 'error')) AS env, min(id) FILTER (t IN ('view', 'click', 'purchase', 'error')) AS first_env FROM live GROUP BY user_id),
+within AS (SELECT live.* FROM live JOIN reset USING (user_id) WHERE id > coalesce(r, -1)),
+ks AS (SELECT user_id, third, min(id) AS pos, max(id) AS last FROM within WHERE t = 'purchase' GROUP BY ALL),
+inner_members AS (
+  SELECT user_id, min(id) AS pos, '"view":"' || max(id) || '"' AS x FROM within WHERE t = 'view' GROUP BY user_id
+  UNION ALL SELECT user_id, min(id), '"click":{"last":' || max(id) || ',"none":null}' FROM within WHERE t = 'click' GROUP BY user_id
+  UNION ALL SELECT user_id, min(pos), '"purchase":{' || string_agg('"k' || third || '":' || last, ',' ORDER BY pos) || '}' FROM ks GROUP BY user_id),
+env AS (SELECT user_id, '{' || string_agg(x, ',' ORDER BY pos) || '}' AS x FROM inner_members GROUP BY user_id),
+members AS (
+  SELECT user_id, first_env AS pos, 0 AS place, '"env":' || CASE WHEN env = r THEN r::VARCHAR ELSE env.x END AS x FROM reset LEFT JOIN env USING (user_id) WHERE reset.env IS NOT NULL
+  UNION ALL SELECT user_id, min(id), 1, '"args":["' || max(id) || '",{"n":null}]' FROM live WHERE t = 'view' GROUP BY user_id
+  UNION ALL SELECT user_id, min(id), 0, '"cwd":null' FROM live WHERE t = 'signup' GROUP BY user_id)
+SELECT 'u' || user_id AS server, coalesce('{' || string_agg(x, ',' ORDER BY pos, place) || '}', 'null') AS def FROM gone LEFT JOIN members USING (user_id) GROUP BY user_id
+"""
+
+
+def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    kind, own = F.col("event_type"), F.col("event_id").cast("string")
+    j = lambda *parts: F.concat(*[(own if p == "@" else F.lit(p)) if isinstance(p, str) else p for p in parts])
+    said = (
+        F.when(kind == "view", j('{"env":{"view":"', "@", '"},"args":["', "@", '",{"n":null}]}'))
+        .when(kind == "click", j('{"env":{"click":{"last":', "@", ',"none":null}}}'))
+        .when(kind == "purchase", j('{"env":{"purchase":{"k', (F.col("event_id") % 3).cast("string"), '":', "@", "}}}"))
+        .when(kind == "error", j('{"env":', "@", "}"))
+        .otherwise(F.when(F.col("event_id") % 4 == 0, "null").otherwise('{"cwd":null}'))
+    )
+    user = j('"u', F.col("user_id").cast("string"), '":', said)
+    # half of the fragments wrap their servers
+    text = F.when(F.col("event_id") % 2 == 0, j('{"mcpServers":{', user, '},"x":1}')).otherwise(j("{", user, "}"))
+    return e.select(F.col("event_id").alias("ord"), text.alias("text"))
+
+
+@query(MERGE_SQL)
 def deep_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit('{"mcpServers":{"u'), "user_id", F.lit('":{"env":{"'), "event_type", F.lit('":"'), "event_id", F.lit('"}}},"x":1}'))
-    return config_merge.merged(table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), text.alias("text"))).select("server", "def")
+    return config_merge.merged(_fragments(spark, sf_dir)).select("server", "def")
 
 
 @query("SELECT page_id, regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1) AS lang, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title FROM pages")

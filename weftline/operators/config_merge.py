@@ -2,69 +2,99 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from weftline.plans.tables import written
 
 #: Targets and the outer key of their documents; null means none.
 TARGETS = {"cursor": "mcpServers", "vscode": "servers", "opencode": None, "antigravity": "mcpServers"}
 
 
-def servers(fragments: DataFrame) -> DataFrame:
-    """(ord, server, position, def) of fragments (ord, text): the entries under mcpServers if that key is present, else all top-level ones.
+def entries(text: Column) -> Column:
+    """The members of a JSON object's text in their order, as structs (key, value) with the value as JSON text; null if it is no object.
 
-    def is JSON text. A fragment, or a wrapper, that is not an object fails the query.
+    Values that are no strings keep their text, so nested keys keep their order.
     """
-    keys = F.json_object_keys("text")
-    wrapped = F.coalesce(F.array_contains(keys, "mcpServers"), F.lit(False))
-    inner = F.when(wrapped, F.get_json_object("text", "$.mcpServers")).otherwise(F.col("text"))
-    rows = fragments.select("ord", inner.alias("inner"))
-    names = F.coalesce(F.json_object_keys("inner"), F.raise_error(F.concat(F.lit("fragment "), F.col("ord").cast("string"), F.lit(" is not an object"))).cast("array<string>"))
-    rows = rows.select("ord", F.posexplode(names).alias("position", "server"), F.parse_json("inner").alias("v"))
-    rows = rows.withColumn("def", F.to_json(F.expr("cast(v as map<string, variant>)")[F.col("server")]))
-    return rows.select("ord", "server", "position", "def")
+    raw, typed = F.from_json(text, "map<string,string>"), F.try_parse_json(text).cast("map<string,variant>")
 
+    def member(key: Column) -> Column:
+        value = typed[key]
+        is_text = F.schema_of_variant(value) == "STRING"
+        return F.struct(key.alias("key"), F.when(is_text, F.to_json(value)).otherwise(F.coalesce(raw[key], F.lit("null"))).alias("value"))
 
-def server_names(fragments: DataFrame) -> DataFrame:
-    """Distinct names, and their rank in descending order."""
-    from pyspark.sql import Window
+    return F.transform(F.json_object_keys(text), member)
 
-    return servers(fragments).select("server").distinct().withColumn("rank", F.row_number().over(Window.orderBy(F.col("server").desc())))
 
+def is_object(value: str | Column) -> Column:
+    return F.startswith(F.col(value) if isinstance(value, str) else value, F.lit("{"))
 
-def _merge(left: object, right: object) -> object:
-    """Objects are merged key by key, anything else is replaced."""
-    if isinstance(left, dict) and isinstance(right, dict):
-        return left | {k: _merge(left[k], v) if k in left else v for k, v in right.items()}
-    return right
 
+def servers(fragments: DataFrame) -> DataFrame:
+    """(ord, server, position, def) of fragments (ord, text): the entries under mcpServers if that key is present, else all top-level ones.
 
-@F.pandas_udf(StringType())
-def _fold(defs: pd.Series) -> pd.Series:
-    def one(texts: list[str]) -> str:
-        out = json.loads(texts[0])
-        for t in texts[1:]:
-            out = _merge(out, json.loads(t))
-        return json.dumps(out, ensure_ascii=False, separators=(",", ":"))
+    def is JSON text. A fragment, or a wrapper, that is not an object fails the query.
+    """
+    top = F.filter("members", lambda m: m["key"] == "mcpServers")
+    inner = F.when(F.size(top) > 0, entries(top[0]["value"])).otherwise(F.col("members"))
+    bad = F.raise_error(F.concat(F.lit("fragment "), F.col("ord").cast("string"), F.lit(" is not an object")))
+    rows = fragments.select("ord", entries(F.col("text")).alias("members")).select("ord", inner.alias("inner"))
+    rows = rows.select("ord", F.posexplode(F.coalesce("inner", bad.cast("array<struct<key:string,value:string>>"))).alias("position", "m"))
+    return rows.select("ord", F.col("m.key").alias("server"), "position", F.col("m.value").alias("def"))
 
-    return defs.map(one)
+
+def server_names(fragments: DataFrame) -> DataFrame:
+    """Distinct names, and their rank in descending order."""
+    return servers(fragments).select("server").distinct().withColumn("rank", F.row_number().over(Window.orderBy(F.col("server").desc())))
 
 
 def merged(fragments: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     """(server, def, ord) of all fragments merged in order; with keep (server), only those servers.
 
-    The merge is by server, so the filter goes below it. A server's fragments meet in one row: their number is that
-    of the files that name it.
+    Objects are merged member by member, anything else replaces what came before it, an object too; a member keeps the
+    place of its first mention since the last replacement above it. The merge goes down the documents a level at a
+    time: a path's last value decides what it is, and if that is an object, members are taken from the objects behind
+    the last value that was none. So a round shuffles what is left of the paths of one depth, and the largest ordinals
+    are combined before. The document of a server is put together from its paths, sorted by their places.
     """
     rows = servers(fragments)
     if keep is not None:
         rows = rows.join(keep.select("server").distinct(), "server", "left_semi")
-    entry = F.struct("ord", "position", "def")
-    folded = rows.groupBy("server").agg(F.array_sort(F.collect_list(entry)).alias("e"))
-    return folded.select("server", _fold(F.col("e.def")).alias("def"), F.struct(F.col("e")[0]["ord"], F.col("e")[0]["position"]).alias("ord"))
+    level = rows.select("server", F.array().cast("array<string>").alias("path"), F.array().cast("array<struct<ord:bigint,position:int>>").alias("above"), F.col("ord").cast("bigint").alias("ord"), "position", F.col("def").alias("value"))
+    level, paths, key = written(level), [], ["server", "path"]
+    while not level.isEmpty():
+        last = F.max_by("value", F.struct("ord", "position")).alias("last")
+        reset = F.max(F.when(~is_object("value"), F.col("ord"))).alias("reset")
+        stats = level.groupBy(*key).agg(F.min(F.struct("ord", "position")).alias("first"), last, reset, F.min("above").alias("above"))
+        stats = written(stats.select(*key, F.concat("above", F.array("first")).alias("place"), F.when(~is_object("last"), F.col("last")).alias("leaf"), "reset"))
+        paths.append(stats)
+        open_paths = stats.where("leaf is null").select(*key, "place", "reset")
+        members = level.where(is_object("value")).join(open_paths, key).where("reset is null or ord > reset")
+        members = members.select("server", "path", "place", "ord", F.posexplode(entries(F.col("value"))).alias("at", "m"))
+        level = written(members.select("server", F.concat("path", F.array("m.key")).alias("path"), F.col("place").alias("above"), "ord", F.col("at").alias("position"), "m.value"))
+    if not paths:
+        return level.select("server", F.col("value").alias("def"), F.struct("ord", "position").alias("ord"))
+    nodes = paths[0]
+    for p in paths[1:]:
+        nodes = nodes.unionByName(p)
+    return _documents(nodes)
+
+
+def _documents(nodes: DataFrame) -> DataFrame:
+    """(server, def, ord) from all paths of the servers: (server, path, place, leaf), a null leaf for an object.
+
+    Sorted by place, a path stands before those below it; each writes its name, what it is, and the ends of the
+    objects that no later path belongs to.
+    """
+    depth = F.size("path")
+    after = F.lead(depth).over(Window.partitionBy("server").orderBy("place"))
+    rows = nodes.select("server", "place", "leaf", depth.alias("depth"), after.alias("after"), F.to_json(F.array(F.try_element_at("path", F.lit(-1)))).alias("quoted"))
+    name = F.when(F.col("depth") > 0, F.concat(F.expr("substring(quoted, 2, length(quoted) - 2)"), F.lit(":"))).otherwise("")
+    below = F.coalesce(F.col("after") > F.col("depth"), F.lit(False))
+    own = F.coalesce("leaf", F.when(below, "{").otherwise("{}"))
+    ends = F.when(below, "").otherwise(F.concat(F.repeat(F.lit("}"), F.col("depth") - F.coalesce("after", F.lit(0))), F.when(F.col("after").isNotNull(), ",").otherwise("")))
+    pieces = rows.select("server", "place", F.concat(name, own, ends).alias("piece"))
+    return pieces.groupBy("server").agg(F.expr("listagg(piece, '') within group (order by place)").alias("def"), F.min("place")[0].alias("ord"))
 
 
 def last_values(rows: DataFrame) -> DataFrame:
@@ -84,35 +114,50 @@ def transport(text: Column) -> Column:
     return F.when(has("command"), "local").when(has("url"), "remote").otherwise("passthrough")
 
 
-def _shape(target: str, kind: str, d: dict) -> dict:
-    pick = lambda *names: {n: d[n] for n in names if n in d}  # noqa: E731  present though null
-    args = d.get("args") or []  # missing, null or false
-    if target == "antigravity" and "serverUrl" in d:
-        return d
-    if kind == "remote":
-        return {
-            "cursor": lambda: {"url": d["url"]} | pick("headers", "auth"),
-            "vscode": lambda: {"type": "sse" if d.get("type") == "sse" else "http", "url": d["url"]} | pick("headers"),
-            "opencode": lambda: {"enabled": True, "type": "remote", "url": d["url"]} | pick("headers"),
-            "antigravity": lambda: {"serverUrl": d["url"]} | pick("headers", "env"),
-        }[target]()
-    return {
-        "cursor": lambda: {"type": "stdio", "command": d["command"], "args": args} | pick("env", "envFile", "cwd"),
-        "vscode": lambda: {"type": "stdio", "command": d["command"], "args": args} | pick("env", "cwd"),
-        "opencode": lambda: {"enabled": True, "type": "local", "command": [d["command"], *args]} | ({"environment": d["env"]} if "env" in d else {}),
-        "antigravity": lambda: {"command": d["command"], "args": args} | pick("env", "cwd"),
-    }[target]()
+# The members that a server has in each target's shape, with the server's member that gives the value.
+# A name that ends with ? is left out where the server lacks it; a value that starts with = is the text behind it.
+REMOTE = {
+    "cursor": [("url", "url"), ("headers?", "headers"), ("auth?", "auth")],
+    "vscode": [("type", "http or sse"), ("url", "url"), ("headers?", "headers")],
+    "opencode": [("enabled", "=true"), ("type", '="remote"'), ("url", "url"), ("headers?", "headers")],
+    "antigravity": [("serverUrl", "url"), ("headers?", "headers"), ("env?", "env")],
+}
+LOCAL = {
+    "cursor": [("type", '="stdio"'), ("command", "command"), ("args", "args or []"), ("env?", "env"), ("envFile?", "envFile"), ("cwd?", "cwd")],
+    "vscode": [("type", '="stdio"'), ("command", "command"), ("args", "args or []"), ("env?", "env"), ("cwd?", "cwd")],
+    "opencode": [("enabled", "=true"), ("type", '="local"'), ("command", "command and args"), ("environment?", "env")],
+    "antigravity": [("command", "command"), ("args", "args or []"), ("env?", "env"), ("cwd?", "cwd")],
+}
+
+
+def _shape(members: list[tuple[str, str]]) -> Column:
+    """JSON text of an object with these members, from the map `own` of a server's members to JSON text."""
+    own = lambda k: F.col("own")[k]
+    args = F.when(F.coalesce(own("args"), F.lit("null")).isin("null", "false"), "[]").otherwise(own("args"))
+    no_list = F.raise_error(F.concat(F.lit("args of "), F.col("server"), F.lit(" is no array"))).cast("string")
+    made = {
+        "http or sse": F.when(own("type") == '"sse"', '"sse"').otherwise('"http"'),
+        "args or []": args,
+        "command and args": F.when(args == "[]", F.concat(F.lit("["), own("command"), F.lit("]"))).when(F.startswith(args, F.lit("[")), F.concat(F.lit("["), own("command"), F.lit(","), F.expr("substring(own['args'], 2)"))).otherwise(no_list),
+    }
+    parts = []
+    for name, of in members:
+        value = F.lit(of[1:]) if of.startswith("=") else made.get(of, own(of))
+        text = F.concat(F.lit(f'"{name.rstrip("?")}":'), value)
+        parts.append(F.when(F.map_contains_key("own", of), text) if name.endswith("?") else text)
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
 def emitted(defs: DataFrame, target: str) -> DataFrame:
-    """(server, ord, transport, shape) of merged servers in the shape of a target; what is not an object passes through."""
+    """(server, ord, transport, shape) of merged servers in the shape of a target; what is not an object passes through.
 
-    @F.pandas_udf(StringType())
-    def shaped(kinds: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([t if k == "passthrough" else json.dumps(_shape(target, k, json.loads(t)), ensure_ascii=False, separators=(",", ":")) for k, t in zip(kinds, texts, strict=True)], dtype=object)
-
-    kinds = defs.withColumn("transport", transport(F.col("def")))
-    return kinds.select("server", "ord", "transport", shaped("transport", "def").alias("shape"))
+    args that are missing, null or false become an empty list. args that are no list fail where they are joined to the command.
+    """
+    rows = defs.select("server", "ord", F.col("def"), transport(F.col("def")).alias("transport"), F.map_from_entries(entries(F.col("def"))).alias("own"))
+    shape = F.when(F.col("transport") == "remote", _shape(REMOTE[target])).when(F.col("transport") == "local", _shape(LOCAL[target])).otherwise(F.col("def"))
+    if target == "antigravity":
+        shape = F.when(F.coalesce(F.map_contains_key("own", "serverUrl"), F.lit(False)), F.col("def")).otherwise(shape)
+    return rows.select("server", "ord", "transport", shape.alias("shape"))
 
 
 def document(shapes: DataFrame, target: str) -> DataFrame:
