@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import excluded, front_matter_fields, id_prefixes
-from weftline.operators import board, census, config_merge, documents, events, frontmatter, mirror, search, selection, waves
+from weftline.operators import automaton, board, census, config_merge, documents, events, frontmatter, mirror, search, selection, waves
 from weftline.plans import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,50 @@ def illegal_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.illegal_jumps(table(spark, sf_dir, "events"), "user_id", ORDER, "event_type", allowed).select("event_id", "before", "event_type")
 
 
+SAYS = {
+    "review": (automaton.REVIEW, {"view": "spec_passed", "click": "spec_changes", "purchase": "quality_passed", "error": "quality_changes", "signup": "new_slice"}),
+    "worktree": (automaton.WORKTREE, {"view": "created", "click": "baseline_passed", "signup": "baseline_failed", "purchase": "merged", "error": "discarded"}),
+}
+
+
+def _run_sql(name: str) -> str:
+    """Every user's events one after the other."""
+    machine, says = SAYS[name]
+    steps = ", ".join(f"('{s}', '{event}', '{machine.steps[s, a]}')" for s in machine.states for event, a in says.items() if (s, a) in machine.steps)
+    return f"""WITH RECURSIVE t(before, event_type, state) AS (VALUES {steps}),
+e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (
+  SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::VARCHAR AS event_type, NULL::VARCHAR AS before, '{machine.start}' AS state, NULL::BOOLEAN AS legal, 0::BIGINT AS step FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.user_id, e.n, e.event_id, e.event_type, r.state, coalesce(t.state, r.state), t.state IS NOT NULL, r.step + (t.state IS NOT NULL)::BIGINT
+  FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1 LEFT JOIN t ON t.before = r.state AND t.event_type = e.event_type)
+"""
+
+
+def _ran(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    machine, says = SAYS[name]
+    said = F.create_map(*[F.lit(x) for pair in says.items() for x in pair])[F.col("event_type")]
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", said.alias("said"))
+    return automaton.run(rows, "user_id", ORDER, "said", machine)
+
+
+@query(_run_sql("review") + "SELECT user_id, event_id, before, state, legal, step FROM r WHERE n > 0")
+def review_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ran(spark, sf_dir, "review").select("user_id", "event_id", "before", "state", "legal", "step")
+
+
+@query(_run_sql("review") + "SELECT user_id, arg_max(state, n) AS state, arg_max(state, n) = 'passed' AS passed, count(*) FILTER (NOT legal) AS n_illegal, count(*) FILTER (legal AND state IN ('spec_again', 'quality_again')) AS n_repeats FROM r WHERE n > 0 GROUP BY user_id")
+def review_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = automaton.outcomes(_ran(spark, sf_dir, "review"), "user_id", ORDER, ["spec_again", "quality_again"])
+    return found.withColumn("passed", F.col("state") == "passed")
+
+
+@query(_run_sql("worktree") + "SELECT user_id, step, state, arg_min(event_id, n) AS first_event, count(*) AS length, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS event_types FROM r WHERE NOT legal GROUP BY user_id, step, state")
+def worktree_illegal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = automaton.illegal_runs(_ran(spark, sf_dir, "worktree"), "user_id", ORDER, "event_type")
+    return runs.select("user_id", "step", "state", F.col("first.event_id").alias("first_event"), "length", F.array_join("symbols", ",").alias("event_types"))
+
+
 @query("SELECT user_id, count(*) FILTER (event_type = 'error') AS error FROM events GROUP BY user_id")
 def blocked_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.activity(table(spark, sf_dir, "events"), "user_id", "event_type", ["error"])
