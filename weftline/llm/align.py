@@ -22,9 +22,9 @@ from weftline.llm.token_count import byte_symbols
 from weftline.llm.wordhash import by_bytes
 
 #: Bytes of texts that are aligned together at most, but for a longer text alone, and that are cut at a time.
-BLOCK, STEP = 8 << 20, 1 << 20
-#: Parts that a worker remembers at most between two blocks, some 300 bytes each; beyond it the memory starts afresh.
-REMEMBERED = 400_000
+BLOCK, STEP = 4 << 20, 1 << 20
+#: Parts that a task remembers at most between two blocks, some 300 bytes each; beyond it the memory starts afresh.
+REMEMBERED = 200_000
 #: Groups of more links count equal ids before they are multiplied.
 LARGE = 64
 #: Labels of a byte: no token ends behind it, one of A, one of B, one of each.
@@ -212,15 +212,16 @@ class Block:
         at = np.array(self.parts.at, np.int64)
         p_at = np.concatenate([[0], np.cumsum(at[used + 1] - at[used])])
         pairs, p_pair = np.unique(_slices(np.array(self.parts.keys, np.int64), at, used), return_inverse=True)
-        p_n = _slices(np.array(self.parts.times, np.int64), at, used)
+        times = _slices(np.array(self.parts.times, np.int64), at, used)
+        more = np.flatnonzero(times > 1)
         d_at = np.cumsum([0, *(len(e) for e, _ in self.doc_parts)])
         seen = np.zeros(len(pairs), np.int64)
         for a, b in zip(d_at, d_at[1:], strict=False):
             seen[np.unique(_slices(p_pair, p_at, d_part[a:b]))] += 1
         rows = list(zip(*self.rows, strict=True))
         columns = [pa.array([number], pa.int64()), raw(pairs, np.int64), raw(seen, np.int64), pa.array([self.doc_ids], pa.list_(kind)), raw(np.array(rows[:4], np.int64).T, np.int64), pa.array([list(rows[4])], pa.list_(pa.string()))]
-        columns += [raw(d_at, np.int64), raw(d_part, np.int32), raw(np.concatenate([n for _, n in self.doc_parts]), np.int32), raw(p_at, np.int64), raw(p_pair, np.int32), raw(p_n, np.int64)]
-        return pa.RecordBatch.from_arrays(columns, ["block", "pairs", "seen", "doc_ids", "figures", "digests", "d_at", "d_part", "d_n", "p_at", "p_pair", "p_n"])
+        columns += [raw(d_at, np.int64), raw(d_part, np.int32), raw(np.concatenate([n for _, n in self.doc_parts]), np.int32), raw(p_at, np.int64), raw(p_pair, np.int32), raw([more, times[more]], np.int64)]
+        return pa.RecordBatch.from_arrays(columns, ["block", "pairs", "seen", "doc_ids", "figures", "digests", "d_at", "d_part", "d_n", "p_at", "p_pair", "p_more"])
 
 
 def _slices(values: np.ndarray, at: np.ndarray, entries: np.ndarray) -> np.ndarray:
@@ -240,16 +241,6 @@ def pair_of(a: str, b: str) -> Pair:
     return _pairs[a, b]
 
 
-_memory: dict[Pair, Parts] = {}
-
-
-def _remembered(pair: Pair) -> Parts:
-    """The parts that this worker knows, or a new memory."""
-    if pair not in _memory or len(_memory[pair].known) > REMEMBERED:
-        _memory[pair] = Parts(pair)
-    return _memory[pair]
-
-
 def token_groups(docs: DataFrame, a: str, b: str) -> DataFrame:
     """(doc_id, start, end, a_ids, b_ids) of every group of every document: byte offsets in the text with a space before it.
 
@@ -275,19 +266,19 @@ def _blocks(docs: DataFrame, a: str, b: str) -> DataFrame:
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, task, made, held = pair_of(a, b), TaskContext.get().partitionId(), 0, 0
-        block, kept = Block(_remembered(pair)), None
+        block, kept = Block(Parts(pair)), None
         for batch in (part for x in batches for part in by_bytes(x, STEP)):
             size = batch["text"].nbytes
             if held and held + size > BLOCK:
                 yield block.packed(task << 32 | made, kept)
-                block, made, held = Block(_remembered(pair)), made + 1, 0
+                block, made, held = Block(Parts(pair) if len(block.parts.known) > REMEMBERED else block.parts), made + 1, 0
             kept = batch["doc_id"].type
             block.add(batch["doc_id"].to_pylist(), batch["text"].to_pylist())
             held += size
         if block.doc_ids:
             yield block.packed(task << 32 | made, kept)
 
-    schema = f"block long, pairs binary, seen binary, doc_ids array<{kind}>, figures binary, digests array<string>, d_at binary, d_part binary, d_n binary, p_at binary, p_pair binary, p_n binary"
+    schema = f"block long, pairs binary, seen binary, doc_ids array<{kind}>, figures binary, digests array<string>, d_at binary, d_part binary, d_n binary, p_at binary, p_pair binary, p_more binary"
     return docs.select("doc_id", "text").mapInArrow(aligned, schema)
 
 
@@ -349,7 +340,10 @@ def _figures(row: dict, counts: pa.Table) -> list:
     n_docs, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
     where = order[np.searchsorted(pairs, counts["pair"].to_numpy(), sorter=order)] if len(pairs) else []
     n_docs[where], best[where] = counts["n_docs"].to_numpy(), counts["is_best"].to_numpy()
-    p_at, p_pair, p_n = at("p_at", np.int64), at("p_pair", np.int32), at("p_n", np.int64)
+    p_at, p_pair = at("p_at", np.int64), at("p_pair", np.int32)
+    where, times = at("p_more", np.int64).reshape(2, -1)  # links of a part that come more than once
+    p_n = np.ones(len(p_pair), np.int64)
+    p_n[where] = times
     sums = lambda x, ends: np.diff(np.concatenate([[0], np.cumsum(x)])[ends])  # noqa: E731  of runs
     part_best, part_sum = sums(p_n * best[p_pair], p_at), sums(p_n * n_docs[p_pair], p_at)
     d_at, d_part, d_n = at("d_at", np.int64), at("d_part", np.int32), at("d_n", np.int32)
