@@ -181,3 +181,28 @@ def test_documents(spark):
     items = spark.createDataFrame([("a", 0, True), ("b", 1, None), ("c", 2, True)], "id string, position int, verified boolean")
     assert [r.id for r in waves.in_dependency_order(levels, items).collect()] == ["b", "a", "c"]
     assert {r.wave: (r.n_tasks, r.n_failed, r.all_verified) for r in waves.wave_summary(levels, items).collect()}[1] == (1, 1, False)
+
+
+def test_top_per_query_against_all_pairs(spark):
+    import numpy as np
+
+    from weftline.operators import search
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 5)).astype("f4")
+    x[200:220] = x[7]  # ties
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [0.0] * 5), (902, [1.0, None, 0.0, 0.0, 0.0]), (903, [1.0, 2.0]), (904, [2.0, 4.0]), (905, [float("nan")] * 5)]
+    frame = spark.createDataFrame(rows, "vec_id long, e array<float>").repartition(3)
+    ids = [0, 7, 100, 205, 900, 901, 904]
+    found = search.top_per_query(frame, frame.where(F.col("vec_id").isin(ids)), "vec_id", "e", 8, rows=64, asked=2)
+    assert "WindowGroupLimit" in found._jdf.queryExecution().toString()
+    fine = {i: np.array(v, float) for i, v in rows if v and None not in v and np.isfinite(v).all() and any(v)}
+    for q in ids:
+        got = [(r.hit, round(r.score, 6)) for r in found.where(F.col("query") == q).orderBy("rank").collect()]
+        if q not in fine:
+            assert got == []
+            continue
+        a = fine[q]
+        score = {i: round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 9) for i, b in fine.items() if len(b) == len(a)}
+        assert got == [(i, round(s, 6)) for i, s in sorted(score.items(), key=lambda t: (-t[1], t[0]))[:8]]
+    assert search.top_per_query(frame.where("false"), frame, "vec_id", "e", 3).collect() == []

@@ -440,11 +440,11 @@ def preview_then_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.full(F.broadcast(ids), docs, "doc_id").select("doc_id", F.length("text").cast("long").alias("n_full"))
 
 
-@query("WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q) SELECT vec_id, round(score, 4) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 10")
+@query("WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query, vec_id AS hit, round(list_cosine_similarity(embedding::DOUBLE[], q), 9) AS score FROM embeddings, q) SELECT query, hit, round(score, 4) AS score, (row_number() OVER (PARTITION BY query ORDER BY s.score DESC, hit))::INT AS rank FROM s QUALIFY rank <= 10")
 def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id = 0").select("embedding").first().embedding
-    return search.top(search.cosine_to(vectors, "embedding", asked), "score", "vec_id", 10).select("vec_id", F.round("score", 4).alias("score"))
+    found = search.top_per_query(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", 10)
+    return found.withColumn("score", F.round("score", 4))
 
 
 @query("SELECT doc_id, CASE WHEN quality = 1 AND toxic = 1 THEN 'both' WHEN quality = 1 THEN 'left' ELSE 'right' END AS side FROM labels WHERE quality = 1 OR toxic = 1")

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.plans.tables import written
+
 
 def exact(docs: DataFrame, column: str, literal: str | None = None, regex: str | None = None) -> DataFrame:
     """Rows that hold a literal, or match a regular expression."""
@@ -24,6 +31,66 @@ def cosine_to(vectors: DataFrame, vector: str, query: list[float]) -> DataFrame:
     return vectors.withColumn("score", F.when(size > 0, dot(F.col(vector), q) / size))
 
 
+def _blocks(vectors: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
+    """Unit vectors of one length in blocks: (width, ids, units), the units as bytes of doubles. Vectors that are null, empty, zero or hold null or non-finite components are left out."""
+    kind = dict(vectors.dtypes)[key]
+    fine = f"`{vector}` is not null and size(`{vector}`) > 0 and forall(`{vector}`, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(`{vector}`, x -> x <> 0)"
+    kept = vectors.where(fine).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+
+    def block(width: int, ids: list, parts: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type)), pa.array([np.concatenate(parts).tobytes()], pa.binary())], ["width", "ids", "units"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+        for batch in batches:
+            n = pc.list_value_length(batch["v"]).to_numpy(zero_copy_only=False)
+            for width in np.unique(n).tolist():
+                own = batch.filter(pa.array(n == width))
+                x = own["v"].flatten().to_numpy().reshape(-1, width)
+                x = x / np.abs(x).max(axis=1, keepdims=True)  # squares stay finite
+                ids, parts = held.setdefault(width, ([], []))
+                ids.append(own["id"])
+                parts.append(x / np.linalg.norm(x, axis=1, keepdims=True))
+                if sum(map(len, ids)) >= rows:
+                    yield block(width, *held.pop(width))
+        for width, (ids, parts) in held.items():
+            yield block(width, ids, parts)
+
+    return kept.mapInArrow(packed, f"width int, ids array<{kind}>, units binary")
+
+
+def top_per_query(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, *, rows: int = 8192, asked: int = 1024) -> DataFrame:
+    """(query, hit, score, rank): for each query the k rows with the highest cosine, equal ones by key; a query may find itself.
+
+    Scores are rounded to 9 places before they are ranked, so that equal vectors tie. Vectors without a direction are
+    neither queries nor hits, and only vectors of one length are compared. Queries with equal keys are asked as one.
+
+    Every block of rows meets every block of queries as one product; a pair of blocks sends k hits for each query, and
+    Spark cuts these to k again in each task before the shuffle by query.
+    """
+    kind = dict(vectors.dtypes)[key]
+    asks = written(_blocks(queries, key, vector, asked).select(F.monotonically_increasing_id().alias("ask"), "width", F.col("ids").alias("asked"), F.col("units").alias("ask_units")))
+    found = written(_blocks(vectors, key, vector, rows))
+    pairs = found.join(asks, "width")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                width, ids, asked_ids = batch["width"][i].as_py(), batch["ids"][i].values, batch["asked"][i].values
+                x, q = (np.frombuffer(batch[c][i].as_py()).reshape(-1, width) for c in ("units", "ask_units"))
+                by_id = pc.array_sort_indices(ids).to_numpy()  # equal scores go by id
+                ids, x = ids.take(pa.array(by_id)), x[by_id]
+                for at in range(0, len(q), 256):
+                    score = np.round(q[at : at + 256] @ x.T, 9)
+                    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    n = best.shape[1]
+                    yield pa.RecordBatch.from_arrays([asked_ids.slice(at, len(score)).take(pa.array(np.repeat(np.arange(len(score)), n))), ids.take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, 1).ravel())], ["query", "hit", "score"])
+
+    hits = pairs.select("width", "ids", "units", "asked", "ask_units").mapInArrow(scored, f"query {kind}, hit {kind}, score double")
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "hit")))
+    return ranked.where(F.col("rank") <= k)
+
+
 def previews(docs: DataFrame, key: str, body: str, n: int) -> DataFrame:
     return docs.select(key, F.substring(body, 1, n).alias("preview"))
 
