@@ -389,6 +389,27 @@ def needs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waves.needs(_graph(spark, sf_dir)[1], spark.createDataFrame([(150,)], "id long"))
 
 
+# halves, chains of 31, and rings of four above 200, so that tasks stand on cycles, behind them and apart
+CYCLIC_SQL = """g AS (
+  SELECT k AS id, unnest(CASE WHEN k % 50 IN (1, 2, 3) AND k > 200 THEN [k + 1] WHEN k % 50 = 4 AND k > 200 THEN [k - 3] ELSE [] END || CASE WHEN k % 100 BETWEEN 61 AND 91 THEN [k - 1] ELSE [] END || CASE WHEN k % 3 <> 0 AND k > 1 THEN [k // 2] ELSE [] END) AS blocker FROM (SELECT p_partkey AS k FROM part)),
+e AS (SELECT DISTINCT id, blocker FROM g WHERE blocker IN (SELECT p_partkey FROM part)),
+r(a, b) AS (SELECT id, blocker FROM e UNION SELECT r.a, e.blocker FROM r JOIN e ON e.id = r.b)"""
+
+
+def _cyclic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    tasks = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    k, none = F.col("id"), F.array().cast("array<bigint>")
+    ring = F.when((k > 200) & (k % 50).isin(1, 2, 3), F.array(k + 1)).when((k > 200) & (k % 50 == 4), F.array(k - 3)).otherwise(none)
+    chain = F.when((k % 100).between(61, 91), F.array(k - 1)).otherwise(none)
+    half = F.when((k % 3 != 0) & (k > 1), F.array(F.floor(k / 2))).otherwise(none)
+    return tasks, tasks.select("id", F.explode(F.concat(ring, chain, half)).alias("blocker"))
+
+
+@query(f"WITH RECURSIVE {CYCLIC_SQL}, c AS (SELECT x.a AS id, min(x.b) AS cycle_id FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a), w AS (SELECT DISTINCT r.a AS id FROM r JOIN c ON c.id = r.b) SELECT p_partkey AS id, c.cycle_id, c.id IS NOT NULL AS on_cycle, w.id IS NOT NULL AND c.id IS NULL AS behind FROM part LEFT JOIN c ON c.id = p_partkey LEFT JOIN w ON w.id = p_partkey")
+def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return waves.cycles(*_cyclic(spark, sf_dir))
+
+
 @query("WITH n AS (SELECT max(p_partkey) AS m FROM part), a AS (SELECT p_partkey AS id, p_partkey // 2 AS blocker FROM part WHERE p_partkey > 1), b AS (SELECT 2 * p_partkey AS id, p_partkey AS blocker FROM part WHERE p_partkey % 5 <> 0 AND p_partkey >= 1) SELECT *, 'blockedBy' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'unblocks' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
 def edge_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))

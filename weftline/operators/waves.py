@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.plans.tables import written
+from weftline.plans.tables import dropped, written
 
 
 def waves(tasks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -30,15 +33,137 @@ def waves(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     return behind if placed is None else placed.withColumn("in_cycle", F.lit(False)).unionByName(behind)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, source: str = "blocker", target: str = "id") -> DataFrame:
-    """(id): the seeds (id) and everything that edges lead to from them, a level at a time over new nodes only."""
-    found = new = written(seeds.select("id").distinct())
-    step = edges.select(F.col(source).alias("__from"), F.col(target).alias("__to"))
+def _squared(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs two strides apart, without those that lead back or to what was found."""
+    first, second = pairs.select("__from", F.col("__to").alias("__by")), pairs.select(F.col("__from").alias("__by"), "__to")
+    return first.join(second, "__by").where("__from <> __to").select("__from", "__to").distinct().join(found.withColumnRenamed("id", "__to"), "__to", "left_anti").select("__from", "__to")
+
+
+def _squared_size(pairs: DataFrame) -> int:
+    """How many rows the join of pairs with themselves gives."""
+    into, out = pairs.groupBy(F.col("__to").alias("n")).agg(F.count(F.lit(1)).alias("a")), pairs.groupBy(F.col("__from").alias("n")).agg(F.count(F.lit(1)).alias("b"))
+    return into.join(out, "n").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0]
+
+
+def reach(edges: DataFrame, seeds: DataFrame, source: str = "blocker", target: str = "id", growth: float = 4.0) -> DataFrame:
+    """(id): the seeds (id) and everything that edges lead to from them. Null ends lead nowhere.
+
+    Strides double: a round goes from all that is found by pairs exactly 1, 2, 4, ... edges apart, so a path of n edges
+    takes log2(n) rounds. Where the next pairs would be more than `growth` times the edges, which their degrees tell
+    before, doubling ends and rounds go on from the new nodes by all strides there are.
+    """
+    pairs = edges.select(F.col(source).alias("__from"), F.col(target).alias("__to")).where("__from <> __to").distinct()
+    strides = [written(pairs)]
+    most = growth * max(1, strides[0].count())
+    found = start = written(seeds.select("id").where("id is not null").distinct())
+    doubling = True
     while True:
-        new = written(step.join(new.withColumnRenamed("id", "__from"), "__from").select(F.col("__to").alias("id")).distinct().join(found, "id", "left_anti"))
+        steps = strides[-1] if doubling else reduce(DataFrame.union, strides)
+        new = written(steps.join(start.withColumnRenamed("id", "__from"), "__from", "left_semi").select(F.col("__to").alias("id")).distinct().join(found, "id", "left_anti"))
         if new.isEmpty():
+            dropped(new, *strides)
             return found
-        found = written(found.union(new))
+        union_rounds, doubling = not doubling, doubling and _squared_size(strides[-1]) <= most
+        if doubling:
+            strides.append(written(_squared(strides[-1], found)))
+        before, found = found, written(found.union(new))
+        dropped(before, *([start] if union_rounds and start is not before else []))
+        # the first round by all strides goes from everything, since what doubling found has not tried the short ones
+        start = new if union_rounds else found
+        if not union_rounds:
+            dropped(new)
+
+
+def _strides(pairs: DataFrame, n: int, growth: float) -> tuple[DataFrame, int]:
+    """(k, __from, __to): pairs exactly 2^k edges apart, for k up to the number that is returned; until 2^k is n, or the next pairs would be too many."""
+    strides, most = [pairs], growth * max(1, pairs.count())
+    while 2 ** len(strides) < 2 * n and _squared_size(strides[-1]) <= most:
+        first, second = strides[-1].select("__from", F.col("__to").alias("__by")), strides[-1].select(F.col("__from").alias("__by"), "__to")
+        strides.append(written(first.join(second, "__by").select("__from", "__to").distinct()))
+    out = written(reduce(DataFrame.union, [x.select(F.lit(k).alias("k"), "__from", "__to") for k, x in enumerate(strides)]))
+    dropped(*strides)
+    return out, len(strides) - 1
+
+
+def _by_strides(start: DataFrame, last: int, step: Callable[[DataFrame, int | None], DataFrame]) -> DataFrame:
+    """The table that steps by each stride, and then by all of them (None), lead to, once nothing changes any more.
+
+    A value that comes from farther than 2^k edges would have changed something exactly 2^k edges away, so a step
+    without a change is the last.
+    """
+    now, k = written(start), 0
+    mark = lambda t: tuple(t.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*t.columns).cast("decimal(38,0)"))).first())
+    before = mark(now)
+    while True:
+        old, now = now, written(step(now, k if k <= last else None))
+        dropped(old)
+        after, k = mark(now), k + 1
+        if after == before:
+            return now
+        before = after
+
+
+def components(ids: DataFrame, edges: DataFrame, source: str = "blocker", target: str = "id", growth: float = 4.0) -> DataFrame:
+    """(id, component): the strongly connected components of ids and edges between them; component is its smallest id.
+
+    Pairs 1, 2, 4, ... edges apart are made once, while they stay within `growth` times the edges. Nodes that no pair of
+    the longest stride starts or ends at are on no cycle, and are components by themselves. The others are coloured: a
+    node's colour is the node with the smallest hash among those that reach it. No component lies across two colours,
+    and the nodes of a colour that reach the node it is named after are that one's component. What is left of each
+    colour is coloured anew; no path leaves it and comes back, so the pairs within it stay right. A round finds a
+    component in every colour at once, and colours along a path of components fall apart at random places.
+    """
+    every = ids.select("id").where("id is not null").distinct()
+    pairs = edges.select(F.col(source).alias("__from"), F.col(target).alias("__to")).where("__from <> __to").distinct()
+    for end in ("__from", "__to"):
+        pairs = pairs.join(every.withColumnRenamed("id", end), end, "left_semi").select("__from", "__to")
+    strides, last = _strides(written(pairs), every.count(), growth)
+    nodes, done, turn = every, None, 0
+    while True:
+        longest = strides.where(F.col("k") == last)
+        live = written(nodes.join(longest.select(F.col("__from").alias("id")).distinct(), "id", "left_semi").join(longest.select(F.col("__to").alias("id")).distinct(), "id", "left_semi"))
+        old, strides = strides, written(strides.join(live.select(F.col("id").alias("__from")), "__from", "left_semi").join(live.select(F.col("id").alias("__to")), "__to", "left_semi").select("k", "__from", "__to"))
+        dropped(old)
+        if strides.isEmpty():
+            break
+        of = lambda k: strides if k is None else strides.where(F.col("k") == k)  # noqa: B023, E731
+        first = live.select("id", F.struct(F.xxhash64("id", F.lit(turn)).alias("hash"), F.col("id").alias("of")).alias("colour"))
+        told = lambda t, k: t.union(of(k).join(t.select(F.col("id").alias("__from"), "colour"), "__from").select("__to", "colour")).groupBy("id").agg(F.min("colour").alias("colour"))  # noqa: B023, E731
+        coloured = _by_strides(first, last, told)
+        colour = lambda end: coloured.select(F.col("id").alias(end), F.col("colour.of").alias(f"{end}_of"))  # noqa: B023, E731
+        old, strides = strides, written(strides.join(colour("__from"), "__from").join(colour("__to"), "__to").where("__from_of = __to_of").select("k", "__from", "__to"))
+        dropped(old)
+        back = lambda t, k: t.union(of(k).join(t.select(F.col("id").alias("__to")), "__to", "left_semi").select("__from")).distinct()  # noqa: B023, E731
+        found = _by_strides(coloured.where("colour.of = id").select("id"), last, back)
+        own = coloured.join(found, "id", "left_semi").select("id", F.col("colour.of").alias("of"))
+        # written, so that Spark can split a component that holds most rows
+        least = written(own.groupBy("of").agg(F.min("id").alias("component")))
+        own = written(own.join(least, "of").select("id", "component"))
+        done = own if done is None else done.unionByName(own)
+        nodes = written(live.join(own, "id", "left_anti"))
+        dropped(live, coloured, found, least)
+        turn += 1
+    if done is None:
+        return every.withColumn("component", F.col("id"))
+    return every.join(done, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def cycles(tasks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, cycle_id, on_cycle, behind): the smallest id of a task's cycle or tangle of cycles, and whether a task waits for one without being on it.
+
+    A task that blocks itself is a cycle of one. Blockers that are no tasks don't block.
+    """
+    ids = tasks.select("id").where("id is not null").distinct()
+    known = edges.select("id", "blocker").join(ids, "id", "left_semi").join(ids.withColumnRenamed("id", "blocker"), "blocker", "left_semi").select("id", "blocker").distinct()
+    known = written(known)
+    found = components(ids, known)
+    found = written(found.join(known.where("id = blocker").select("id", F.lit(True).alias("own")), "id", "left"))
+    sizes = written(found.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+    on = written(found.join(sizes, "component").where("n > 1 or own").select("id", F.col("component").alias("cycle_id")))
+    waits = reach(known, on.select("id")).select("id", F.lit(True).alias("waits"))
+    rows = ids.join(on, "id", "left").join(waits, "id", "left")
+    on_cycle = F.col("cycle_id").isNotNull()
+    return rows.select("id", "cycle_id", on_cycle.alias("on_cycle"), (F.coalesce("waits", F.lit(False)) & ~on_cycle).alias("behind"))
 
 
 def failed_and_blocked(edges: DataFrame, failed: DataFrame) -> DataFrame:

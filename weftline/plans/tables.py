@@ -29,6 +29,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that `written` wrote and nothing will read again."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def document_with_key(document: DataFrame, key: str, value: DataFrame, policy: str = "leave") -> DataFrame:
     """(text, action): a one-row JSON document (text) with one top-level key replaced by another one-row document.
 
