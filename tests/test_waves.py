@@ -83,3 +83,18 @@ def test_no_edges(spark):
     tasks, frame = graph(spark, [], [1, 2])
     assert {tuple(x) for x in waves.cycles(tasks, frame).collect()} == {(1, None, False, False), (2, None, False, False)}
     assert waves.cycles(tasks.where("false"), frame).collect() == []
+
+
+def test_a_hot_file_is_dealt_turns_in_few_rounds(spark, rounds):
+    r = random.Random(5)
+    owned = [(i, "hot") for i in range(400)] + [(i, f"f{r.randrange(900)}") for i in range(600) for _ in range(2)] + [(0, None)]
+    levels = [(i, i % 2) for i in range(600)]
+    turns = {x.id: (x.wave, x.turn) for x in waves.serialised(spark.createDataFrame(levels, "id long, wave int"), spark.createDataFrame(owned, "id long, file string")).collect()}
+    want, last = {}, {}
+    for i in range(600):
+        files = {f for o, f in owned if o == i}
+        want[i] = (i % 2, 1 + max((last.get((i % 2, f), 0) for f in files), default=0))
+        last.update({(i % 2, f): want[i][1] for f in files})
+    assert turns == want and max(t for _, t in turns.values()) >= 200
+    assert len({(f, *turns[i]) for i, f in set(owned) if f}) == len({(i, f) for i, f in owned if f})
+    assert len(rounds) < 60

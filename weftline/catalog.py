@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import excluded, front_matter_fields, id_prefixes
-from weftline.operators import automaton, board, census, config_merge, documents, events, frontmatter, mirror, search, selection, waves
+from weftline.operators import automaton, board, census, config_merge, documents, events, frontmatter, grams, mirror, search, selection, waves
 from weftline.plans import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -424,6 +424,36 @@ def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waves.overlaps(owned)
 
 
+# orders are tasks, the parts of suppliers are files, and every 50th order owns one file that all of these own
+TURNS_SQL = """RECURSIVE o AS (SELECT DISTINCT l_orderkey AS id, l_partkey || '/' || l_suppkey AS file FROM lineitem UNION SELECT o_orderkey, 'hot' FROM orders WHERE o_orderkey % 50 = 0),
+n AS (SELECT id, lag(id) OVER (PARTITION BY id % 3, file ORDER BY id) AS before FROM o),
+w(id, turn) AS (SELECT o_orderkey, 1 FROM orders UNION SELECT n.id, w.turn + 1 FROM w JOIN n ON n.before = w.id),
+t AS (SELECT id, (id % 3)::INT AS wave, max(turn)::BIGINT AS turn FROM w GROUP BY id)"""
+
+
+def _dispatch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    owned = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat_ws("/", "l_partkey", "l_suppkey").alias("file"))
+    owned = owned.union(orders.where("id % 50 = 0").select("id", F.lit("hot")))
+    return waves.serialised(orders.select("id", (F.col("id") % 3).cast("int").alias("wave")), owned), owned
+
+
+@query(f"WITH {TURNS_SQL} SELECT id, wave, turn FROM t")
+def dispatch_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dispatch(spark, sf_dir)[0]
+
+
+@query(f"""WITH {TURNS_SQL}, g AS (SELECT t.*, o_custkey AS goal, CASE WHEN o_orderkey % 11 > 0 THEN o_custkey || '-' || o_orderkey % 2 END AS output, length(o_orderpriority) AS packet, EXISTS (SELECT 1 FROM o WHERE o.id = o_orderkey) AS owns FROM t JOIN orders ON o_orderkey = t.id),
+  c AS (SELECT *, count(*) OVER (PARTITION BY wave, turn, goal) = 1 AS one_goal, output IS NOT NULL AND count(*) OVER (PARTITION BY wave, turn, output) = 1 AS one_output FROM g)
+  SELECT id, wave, turn, concat_ws(',', CASE WHEN NOT one_goal THEN 'goal' END, CASE WHEN NOT one_output THEN 'output' END, CASE WHEN packet > 8 THEN 'packet' END, CASE WHEN NOT owns THEN 'ownership' END) AS failed, one_goal AND one_output AND packet <= 8 AND owns AS passed FROM c""")
+def dispatch_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, owned = _dispatch(spark, sf_dir)
+    key = F.col("o_orderkey")
+    output = F.when(key % 11 > 0, F.concat_ws("-", "o_custkey", key % 2))
+    tasks = table(spark, sf_dir, "orders").select(key.alias("id"), F.col("o_custkey").alias("goal"), output.alias("output"), F.col("o_orderpriority").alias("packet"))
+    return waves.dispatch_gate(tasks, turns, owned, 8).withColumn("failed", F.array_join("failed", ","))
+
+
 @query("SELECT md5(lower(trim(text))) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waves.duplicated(table(spark, sf_dir, "documents").select(F.md5(F.lower(F.trim("text"))).alias("digest")), "digest")
@@ -454,6 +484,14 @@ def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.exact(table(spark, sf_dir, "documents"), "text", "License").select("doc_id")
 
 
+@query("SELECT 'literal' AS how, doc_id FROM documents WHERE contains(text, 'License') UNION ALL SELECT 'pattern', doc_id FROM documents WHERE regexp_matches(text, 'mail[0-9]\\.example\\.com')")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = grams.build_index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = [(how, grams.search(index, **by)) for how, by in (("literal", {"literal": "License"}), ("pattern", {"regex": "mail[0-9]\\.example\\.com"}))]
+    rows = [x.select(F.lit(how).alias("how"), F.col("key").alias("doc_id")) for how, x in found]
+    return rows[0].unionByName(rows[1])
+
+
 @query("SELECT doc_id, length(text) AS n_full FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10")
 def preview_then_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

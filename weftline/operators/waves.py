@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.plans.tables import dropped, written
@@ -220,11 +220,55 @@ def overlaps(owned: DataFrame) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
+def neighbours(rows: DataFrame, group: list[str], order: str) -> DataFrame:
+    """(before, after): each row's `order` and the next one's in its group, which may be of any size.
+
+    Rows are sorted by ranges, so that a large group spans tasks. Neighbours meet within each part of a group; the parts
+    of a group, one row for each task that holds some of it, are then put beside each other.
+    """
+    key = [*group, "__part"]
+    parts = written(rows.select(*group, order).distinct().repartitionByRange(*group, order).withColumn("__part", F.spark_partition_id()))
+    inside = parts.select(F.lag(order).over(Window.partitionBy(*key).orderBy(order)).alias("before"), F.col(order).alias("after")).where("before is not null")
+    ends = parts.groupBy(*key).agg(F.min(order).alias("after"), F.max(order).alias("last"))
+    between = ends.select(F.lag("last").over(Window.partitionBy(*group).orderBy("__part")).alias("before"), "after").where("before is not null")
+    return inside.union(between)
+
+
 def serialised(levels: DataFrame, owned: DataFrame) -> DataFrame:
-    """(id, wave, turn): within a wave, a task goes one turn behind the smaller ids that it shares a file with, chain by chain."""
-    pairs = overlaps(owned).join(levels.select(F.col("id").alias("a"), "wave"), "a").join(levels.select(F.col("id").alias("b"), F.col("wave").alias("wave_b")), "b").where("wave = wave_b")
-    turns = waves(levels.select("id"), pairs.select(F.col("b").alias("id"), F.col("a").alias("blocker")))
-    return levels.join(turns.select("id", F.col("wave").alias("turn")), "id").select("id", "wave", "turn")
+    """(id, wave, turn): within a wave, a task goes one turn behind the last smaller id that it shares a file with, chain by chain.
+
+    Two tasks of one wave and turn share no file. Only neighbours in a file's order of ids are linked, so a file that
+    many tasks own gives a link for each, not for each pair. The longest chains are found by strides of 1, 2, 4, ...
+    links, so a file of n owners takes log2(n) rounds; where there would be too many pairs, by the strides there are.
+    """
+    waves_of = written(levels.select("id", "wave").where("id is not null").distinct())
+    rows = owned.select("id", "file").distinct().join(waves_of, "id")
+    links = neighbours(rows, ["wave", "file"], "id").select(F.col("before").alias("__from"), F.col("after").alias("__to")).distinct()
+    strides, last = _strides(written(links), waves_of.count(), 4.0)
+    of = lambda k: strides if k is None else strides.where(F.col("k") == k)
+
+    def behind(t: DataFrame, k: int | None) -> DataFrame:
+        later = of(k).join(t.select(F.col("id").alias("__from"), "turn"), "__from").select("__to", F.expr("turn + shiftleft(1L, k)"))
+        return t.union(later).groupBy("id").agg(F.max("turn").alias("turn"))
+
+    turns = _by_strides(waves_of.select("id", F.lit(1).cast("bigint").alias("turn")), last, behind)
+    return waves_of.join(turns, "id").select("id", "wave", "turn")
+
+
+def dispatch_gate(tasks: DataFrame, turns: DataFrame, owned: DataFrame, limit: int) -> DataFrame:
+    """(id, wave, turn, failed, passed) of tasks (id, goal, output, packet) that shall run side by side.
+
+    The rules of parallel dispatch: a `goal` and an `output` that no other task of the wave and turn has, a `packet` of
+    at most `limit` characters, and `ownership` of at least one file. Nulls fail; failed lists the rules that a task
+    breaks, in this order.
+    """
+    rows = tasks.join(turns, "id").join(owned.select("id", F.lit(True).alias("__owns")).distinct(), "id", "left")
+    for c in ("goal", "output"):
+        counts = written(rows.groupBy("wave", "turn", c).agg(F.count(F.lit(1)).alias(f"__{c}s")))
+        rows = rows.join(counts, ["wave", "turn", c], "left")
+    rules = {"goal": F.col("__goals") == 1, "output": F.col("__outputs") == 1, "packet": F.length("packet") <= limit, "ownership": F.col("__owns")}
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules.items()]))
+    return rows.select("id", "wave", "turn", failed.alias("failed")).withColumn("passed", F.size("failed") == 0)
 
 
 def duplicated(rows: DataFrame, key: str) -> DataFrame:
