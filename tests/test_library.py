@@ -206,3 +206,42 @@ def test_top_per_query_against_all_pairs(spark):
         score = {i: round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 9) for i, b in fine.items() if len(b) == len(a)}
         assert got == [(i, round(s, 6)) for i, s in sorted(score.items(), key=lambda t: (-t[1], t[0]))[:8]]
     assert search.top_per_query(frame.where("false"), frame, "vec_id", "e", 3).collect() == []
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_spelling_against_all_pairs(spark, most):
+    from weftline.operators import search
+
+    r = random.Random(most)
+    words = ["billing", "billings", "checkout", "inventory", "api", "app", "release-1", "release-2", "z\u00fcrich", "billing portal"]
+    names = []
+    for _ in range(700):
+        w = r.choice(words)
+        for _ in range(r.choice([0, 0, 0, 1, 1, 2])):
+            i = r.randrange(len(w))
+            w = r.choice([w[:i] + w[i + 1 :], w[:i] + r.choice("xq") + w[i:], w[:i] + "q" + w[i + 1 :]]) or w
+        names.append(r.choice([w, w.upper(), f"  {w}\t"]))
+    names += [None, None, "", "  "]
+    frame = spark.createDataFrame([(n,) for n in names], "name string")
+    counts = {}
+    for n in names:
+        k = None if n is None else n.strip(" \t\n").lower()
+        counts[k] = counts.get(k, 0) + 1
+    digits = lambda x: [c for c in x if c.isdigit()]
+    near = {a: [b for b in counts if a and b and a != b and min(len(a), len(b)) >= 4 and digits(a) == digits(b) and distance(a, b) <= most] for a in counts}
+    assert sorted(tuple(x) for x in search.near_names(frame.select(F.lower(F.trim(F.regexp_replace("name", "\\s+$", ""))).alias("name")).where("name is not null"), "name", most).collect()) == sorted((a, b) for a in near for b in near[a] if a < b)
+
+    def top(a):
+        above = [b for b in near[a] if counts[b] > counts[a] or (counts[b] == counts[a] and b < a)]
+        return top(min(above, key=lambda b: (-counts[b], b))) if above else a
+
+    assert {x.name: (x.canonical, x.n) for x in search.spelled_alike(frame, "name", most).collect()} == {a: (top(a), n) for a, n in counts.items()}

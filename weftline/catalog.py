@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import excluded, front_matter_fields, id_prefixes
@@ -93,15 +93,16 @@ def illegal_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAYS = {
     "review": (automaton.REVIEW, {"view": "spec_passed", "click": "spec_changes", "purchase": "quality_passed", "error": "quality_changes", "signup": "new_slice"}),
     "worktree": (automaton.WORKTREE, {"view": "created", "click": "baseline_passed", "signup": "baseline_failed", "purchase": "merged", "error": "discarded"}),
+    "dispatch": (automaton.DISPATCH, {"view": "dispatched", "click": "note", "purchase": "completed", "error": "failed", "signup": "blocked"}),
 }
 
 
-def _run_sql(name: str) -> str:
-    """Every user's events one after the other."""
+def _run_sql(name: str, key: str = "user_id") -> str:
+    """The events of every key, called user_id, one after the other."""
     machine, says = SAYS[name]
     steps = ", ".join(f"('{s}', '{event}', '{machine.steps[s, a]}')" for s in machine.states for event, a in says.items() if (s, a) in machine.steps)
     return f"""WITH RECURSIVE t(before, event_type, state) AS (VALUES {steps}),
-e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+e AS MATERIALIZED (SELECT * EXCLUDE (user_id), {key} AS user_id, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS n FROM events),
 r AS (
   SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::VARCHAR AS event_type, NULL::VARCHAR AS before, '{machine.start}' AS state, NULL::BOOLEAN AS legal, 0::BIGINT AS step FROM e WHERE n = 1
   UNION ALL
@@ -110,10 +111,10 @@ r AS (
 """
 
 
-def _ran(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _ran(spark: SparkSession, sf_dir: str, name: str, key: Column | None = None) -> DataFrame:
     machine, says = SAYS[name]
     said = F.create_map(*[F.lit(x) for pair in says.items() for x in pair])[F.col("event_type")]
-    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", said.alias("said"))
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") if key is None else key).alias("user_id"), "ts", "event_id", "event_type", said.alias("said"))
     return automaton.run(rows, "user_id", ORDER, "said", machine)
 
 
@@ -128,6 +129,17 @@ def review_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("passed", F.col("state") == "passed")
 
 
+@query(_run_sql("dispatch", "user_id || '/' || event_id % 4") + "SELECT user_id AS dispatch, arg_max(event_id, n) FILTER (legal AND before = 'idle' AND state = 'open') AS event_id, count(*) FILTER (legal AND before = 'open' AND state = 'idle') AS n_returned, count(*) FILTER (NOT legal) AS n_unpaired FROM r WHERE n > 0 GROUP BY user_id HAVING arg_max(state, n) = 'open'")
+def open_dispatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a user's event numbers modulo 4 stand for the subagents of a change
+    ran = _ran(spark, sf_dir, "dispatch", F.concat_ws("/", "user_id", F.col("event_id") % 4))
+    sent = F.col("legal") & (F.col("before") == "idle") & (F.col("state") == "open")
+    back = F.col("legal") & (F.col("before") == "open") & (F.col("state") == "idle")
+    place = F.struct(*ORDER)
+    found = ran.groupBy(F.col("user_id").alias("dispatch")).agg(F.max_by("state", place).alias("state"), F.max_by("event_id", F.when(sent, place)).alias("event_id"), F.count(F.when(back, 1)).alias("n_returned"), F.count(F.when(~F.col("legal"), 1)).alias("n_unpaired"))
+    return found.where("state = 'open'").drop("state")
+
+
 @query(_run_sql("worktree") + "SELECT user_id, step, state, arg_min(event_id, n) AS first_event, count(*) AS length, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS event_types FROM r WHERE NOT legal GROUP BY user_id, step, state")
 def worktree_illegal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = automaton.illegal_runs(_ran(spark, sf_dir, "worktree"), "user_id", ORDER, "event_type")
@@ -139,6 +151,12 @@ def blocked_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.activity(table(spark, sf_dir, "events"), "user_id", "event_type", ["error"])
 
 
+@query("SELECT l_orderkey AS change_id, sum(n)::BIGINT AS n_artifacts, count(*) AS n_distinct FROM (SELECT l_orderkey, l_returnflag || l_linestatus AS a, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY l_orderkey")
+def artifact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("change_id"), F.array(F.concat("l_returnflag", "l_linestatus")).alias("artifacts"))
+    return events.artifact_counts(named, "change_id")
+
+
 @query("SELECT o_custkey, count(*) AS n_reports, count(DISTINCT o_orderstatus) = 1 AS agrees FROM orders GROUP BY o_custkey")
 def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.agreement(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus")
@@ -479,6 +497,23 @@ def name_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.consolidated(table(spark, sf_dir, "customer").select(name.alias("name")), "name")
 
 
+# every 9th part's type lacks a letter, every 31st has one twice, every 11th another, and even ones are in capitals with blanks around
+DRIFTED_SQL = """t AS (SELECT p_partkey AS k, p_type AS t, 1 + p_partkey % length(p_type) AS i FROM part),
+d AS (SELECT CASE WHEN k % 9 = 0 THEN t[:i - 1] || t[i + 1:] WHEN k % 31 = 0 THEN t[:i] || t[i:] WHEN k % 11 = 0 THEN t[:i - 1] || 'q' || t[i + 1:] ELSE t END AS t, k FROM t),
+c AS (SELECT regexp_replace(lower(CASE WHEN k % 2 = 0 THEN '  ' || upper(t) || chr(9) ELSE t END), '^\\s+|\\s+$', '', 'g') AS name, count(*) AS n FROM d GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {DRIFTED_SQL}, up AS (SELECT a.name, arg_min(b.name, (-b.n, b.name)) AS next FROM c a JOIN c b ON a.name <> b.name AND abs(length(a.name) - length(b.name)) <= 1 AND length(a.name) >= 4 AND length(b.name) >= 4 AND (b.n > a.n OR (b.n = a.n AND b.name < a.name)) AND levenshtein(a.name, b.name) <= 1 AND regexp_replace(a.name, '[^0-9]', '', 'g') = regexp_replace(b.name, '[^0-9]', '', 'g') GROUP BY a.name), w(name, at_name) AS (SELECT name, name FROM c UNION SELECT w.name, up.next FROM w JOIN up ON up.name = w.at_name) SELECT c.name, w.at_name AS canonical, c.n FROM c JOIN w USING (name) WHERE w.at_name NOT IN (SELECT name FROM up)")
+def name_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, i = F.col("p_partkey"), F.expr("cast(1 + p_partkey % length(p_type) as int)")
+    part = lambda start, end=None: F.substring("p_type", start, (end if end is not None else F.length("p_type")) - start + 1)
+    one = F.lit(1)
+    text = F.when(k % 9 == 0, F.concat(part(one, i - 1), part(i + 1))).when(k % 31 == 0, F.concat(part(one, i), part(i))).when(k % 11 == 0, F.concat(part(one, i - 1), F.lit("q"), part(i + 1))).otherwise(F.col("p_type"))
+    rows = table(spark, sf_dir, "part").select(k.alias("k"), text.alias("t"))
+    drifted = rows.select(F.when(F.col("k") % 2 == 0, F.concat(F.lit("  "), F.upper("t"), F.lit("\t"))).otherwise(F.col("t")).alias("name"))
+    return search.spelled_alike(drifted, "name")
+
+
 @query("SELECT doc_id FROM documents WHERE contains(text, 'License')")
 def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.exact(table(spark, sf_dir, "documents"), "text", "License").select("doc_id")

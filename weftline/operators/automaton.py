@@ -69,6 +69,12 @@ WORKTREE = Automaton(
     },
 )
 
+# A subagent is out from its dispatch until it returns in one of three ways; notes change nothing.
+DISPATCH = Automaton(
+    "idle",
+    {("idle", "dispatched"): "open", ("idle", "note"): "idle", ("open", "note"): "open"} | {("open", s): "idle" for s in ("completed", "blocked", "failed")},
+)
+
 
 def run(events: DataFrame, key: str, order: list[str], symbol: str, automaton: Automaton) -> DataFrame:
     """Events with `before` and `state`, the states around each, `legal`, and `step`, the legal events of its key so far.

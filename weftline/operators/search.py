@@ -107,6 +107,46 @@ def consolidated(rows: DataFrame, name: str) -> DataFrame:
     return by_name.groupBy("normal").agg(F.min(name).alias("canonical"), F.count(F.lit(1)).alias("n_variants"), F.sum("n").alias("n")).drop("normal")
 
 
+def near_names(names: DataFrame, name: str, distance: int = 1, least: int = 4) -> DataFrame:
+    """(a, b), a < b: different names within an edit distance; names of under `least` characters, or with other digits, are never near.
+
+    Names that are near share a string that is left of each after at most `distance` deletions, so only names that share
+    one are compared. A string of n characters is left of no more names than there are letters to put at n + 1 places.
+    """
+    drop = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    left = last = F.array(F.col(name))
+    for _ in range(distance):
+        last = F.array_distinct(F.flatten(F.transform(last, drop)))
+        left = F.array_union(left, last)
+    rows = names.select(name).distinct().where(F.length(name) >= least)
+    rows = written(rows.select(F.col(name).alias("a"), F.regexp_replace(name, "[^0-9]", "").alias("digits"), F.explode(left).alias("left")))
+    both = rows.join(rows.withColumnRenamed("a", "b"), ["digits", "left"]).where("a < b").select("a", "b").distinct()
+    return both.where(F.levenshtein("a", "b", distance) >= 0)
+
+
+def spelled_alike(rows: DataFrame, name: str, distance: int = 1, least: int = 4) -> DataFrame:
+    """(name, canonical, n): each name without case and outer white space, the spelling that it stands for, and its rows.
+
+    A name goes to the most frequent name near it that is more frequent than itself (of equal ones the smaller), and on
+    from there, so a rare misspelling of a misspelling ends at the common name; pointers double, so a path of n names
+    takes log2(n) rounds. Null and empty names stand for themselves.
+    """
+    normal = F.lower(F.regexp_replace(F.col(name), r"^\s+|\s+$", ""))
+    counts = written(rows.groupBy(normal.alias("name")).agg(F.count(F.lit(1)).alias("n")))
+    pairs = near_names(counts.where("name is not null"), "name", distance, least)
+    ways = pairs.union(pairs.select("b", "a"))
+    rows_of = lambda end: counts.select(F.col("name").alias(end), F.col("n").alias(f"{end}_n"))
+    steps = ways.join(rows_of("a"), "a").join(rows_of("b"), "b").where("b_n > a_n or (b_n = a_n and b < a)")
+    up = steps.groupBy("a").agg(F.min_by("b", F.struct(-F.col("b_n"), "b")).alias("to"))
+    found = written(counts.select("name", "n").join(up.withColumnRenamed("a", "name"), "name", "left").select("name", F.coalesce("to", "name").alias("canonical"), "n"))
+    while True:
+        nexts = found.select(F.col("name").alias("canonical"), F.col("canonical").alias("__next"))
+        after = written(found.join(nexts, "canonical", "left").select("name", F.coalesce("__next", "canonical").alias("canonical"), "n", (~F.col("__next").eqNullSafe(F.col("canonical"))).alias("moved")))
+        found = after.drop("moved")
+        if after.where("moved and name is not null").isEmpty():
+            return found.select("name", "canonical", "n")
+
+
 def first_layer(layers: list[DataFrame], key: str, value: str) -> DataFrame:
     """(key, layer, value): the first of several layers that has a key."""
     rows = [x.select(key, F.lit(i).alias("layer"), F.col(value).alias("value")) for i, x in enumerate(layers)]
