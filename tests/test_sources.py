@@ -111,3 +111,58 @@ def test_plans_of_deletions_statuses_and_events(spark, tmp_path):
     tables.append_events(log, str(folder), apply=True)
     tables.append_events(log, str(folder), apply=True)
     assert spark.read.json(str(folder)).count() == 2
+
+
+def test_tasks_skip_fences_and_read_fields(spark):
+    text = """# Tasks
+```sh
+- [ ] X not a task
+files: no
+```
+- [ ] A [AFK] one (blockedBy: B, C)
+  - **Acceptance criteria:** it works
+  - files: `a.py`, b/c.py
+  - Verification command: pytest -q
+  ~~~
+  - [ ] Y code
+  files: wrong
+  ~~~
+- [x] B [HITL] two
+  unblocks: A
+- [ ] C
+```
+- [ ] Z in a fence that nobody closes
+"""
+    for ends in ("\n", "\r\n", "\r"):
+        docs = spark.createDataFrame([("c", text.replace("\n", ends)), ("d", ""), ("e", None)], "change_id string, text string")
+        got = [tuple(r)[2:] for r in readers.tasks(docs).orderBy("position").collect()]
+        assert got == [
+            ("A", False, "AFK", "one", ["B", "C"], [], ["a.py", "b/c.py"], "it works", "pytest -q"),
+            ("B", True, "HITL", "two", [], ["A"], [], None, None),
+            ("C", False, None, "", [], [], [], None, None),
+        ]
+
+
+def test_texts_have_line_feeds(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes(b"---\r\nname: x\r---\r\nbody\n")
+    (row,) = readers.texts(spark, str(tmp_path)).collect()
+    assert row.text == "---\nname: x\n---\nbody\n"
+
+
+def test_stream_and_batch_agree_on_equal_times(spark, tmp_path):
+    import json
+
+    from weftline.operators import events
+    from weftline.streaming import latest
+
+    log = tmp_path / "log"
+    log.mkdir()
+    for name in ("c1", "c2"):
+        lines = [json.dumps({"time": "2026-01-01T00:00:00Z", "changeId": name, "status": s}) for s in ("kept", "merged", "created", "blocked" if name == "c1" else "started")]
+        (log / f"{name}.jsonl").write_text("\n".join([*lines[:2], "broken", *lines[2:]]) + "\n")
+    query = latest.to_table(latest.latest_state(latest.event_stream(spark, str(log))), str(tmp_path / "out"), str(tmp_path / "ck"))
+    query.awaitTermination(60)
+    streamed = {(r.changeId, r.status) for r in latest.current(spark, str(tmp_path / "out")).collect()}
+    rows = readers.events(spark, str(log)).where("changeId is not null")
+    batch = {(r.changeId, r.status) for r in events.latest(rows, "changeId", ["time", "change_file", "block", "ord"], ["status"]).collect()}
+    assert streamed == batch == {("c1", "blocked"), ("c2", "started")}

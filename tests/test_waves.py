@@ -98,3 +98,22 @@ def test_a_hot_file_is_dealt_turns_in_few_rounds(spark, rounds):
     assert turns == want and max(t for _, t in turns.values()) >= 200
     assert len({(f, *turns[i]) for i, f in set(owned) if f}) == len({(i, f) for i, f in owned if f})
     assert len(rounds) < 60
+
+
+def test_communities_against_a_loop(spark):
+    r = random.Random(9)
+    edges = [(a, b, r.randint(1, 3) / 2) for _ in range(150) for a, b in [(r.randrange(30), r.randrange(30))] if r.random() < (0.9 if a // 10 == b // 10 else 0.1)] + [(5, 5, 9.0), (None, 1, 1.0)]
+    near = {}
+    for a, b, w in edges:
+        if a is not None and a != b:
+            near.setdefault(a, {}).update({b: near.get(a, {}).get(b, 0) + w})
+            near.setdefault(b, {}).update({a: near.get(b, {}).get(a, 0) + w})
+    label = {i: i for i in near}
+    for _ in range(3):
+        votes = {i: {label[i]: max(near[i].values())} for i in near}
+        for i in near:
+            for j, w in near[i].items():
+                votes[i][label[j]] = votes[i].get(label[j], 0) + w
+        label = {i: min(v, key=lambda c: (-v[c], c)) for i, v in votes.items()}
+    frame = spark.createDataFrame(edges, "a long, b long, weight double").repartition(3)
+    assert {x.id: x.community for x in waves.communities(frame, 3).collect()} == label

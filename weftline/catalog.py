@@ -472,6 +472,20 @@ def dispatch_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waves.dispatch_gate(tasks, turns, owned, 8).withColumn("failed", F.array_join("failed", ","))
 
 
+def _communities_sql(rounds: int) -> str:
+    """Customers (even numbers) and suppliers (odd ones), linked by the quantities delivered."""
+    steps = "".join(f""", l{i + 1} AS MATERIALIZED (SELECT id, arg_min(c, (-w, c)) AS c FROM (SELECT id, c, sum(weight) AS w FROM (SELECT b.id, l.c, b.weight FROM bw b JOIN l{i} l ON l.id = b.other UNION ALL SELECT o.id, l.c, o.weight FROM own o JOIN l{i} l USING (id)) GROUP BY id, c) GROUP BY id)""" for i in range(rounds))
+    return f"""WITH e AS (SELECT 2 * o_custkey AS a, 2 * l_suppkey + 1 AS b, sum(l_quantity::DECIMAL(20, 6)) AS weight FROM lineitem JOIN (SELECT DISTINCT o_orderkey, o_custkey FROM orders) ON o_orderkey = l_orderkey GROUP BY ALL),
+bw AS MATERIALIZED (SELECT a AS id, b AS other, weight FROM e UNION ALL SELECT b, a, weight FROM e), own AS MATERIALIZED (SELECT id, max(weight) AS weight FROM bw GROUP BY id), l0 AS (SELECT id, id AS c FROM own){steps} SELECT id, c AS community FROM l{rounds}"""
+
+
+@query(_communities_sql(4))
+def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") * 2).alias("a")).distinct()
+    edges = table(spark, sf_dir, "lineitem").join(orders, "l_orderkey").select("a", (F.col("l_suppkey") * 2 + 1).alias("b"), F.col("l_quantity").alias("weight"))
+    return waves.communities(edges, 4)
+
+
 @query("SELECT md5(lower(trim(text))) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waves.duplicated(table(spark, sf_dir, "documents").select(F.md5(F.lower(F.trim("text"))).alias("digest")), "digest")

@@ -11,6 +11,16 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def line_feeds(text: Column) -> Column:
+    """Carriage returns, with a line feed or alone, as line feeds."""
+    return F.regexp_replace(text, "\\r\\n?", "\n")
+
+
+def without_fences(text: Column) -> Column:
+    """Markdown without its fenced code; a fence that is not closed goes to the end."""
+    return F.regexp_replace(text, r"(?ms)^[ \t]*(```+|~~~+)[^\n]*\n.*?(?:^[ \t]*\1[`~]*[ \t]*$|\z)", "")
+
+
 def file_name(path: str | Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -285,3 +285,23 @@ def wave_summary(levels: DataFrame, tasks: DataFrame) -> DataFrame:
 def in_dependency_order(levels: DataFrame, items: DataFrame, position: str = "position") -> DataFrame:
     """Items (id, position, ...) with their wave, sorted by wave and then by their own position; those in a cycle come last."""
     return items.join(levels.select("id", "wave"), "id").orderBy(F.col("wave").asc_nulls_last(), position)
+
+
+def communities(edges: DataFrame, rounds: int = 4) -> DataFrame:
+    """(id, community) by weighted label propagation over undirected edges (a, b, weight), in a fixed number of rounds.
+
+    Every node starts as its own community. In each round all nodes at once take the label with the largest total weight
+    among their neighbours and themselves, their own counting as much as their heaviest edge; ties go to the smallest
+    label. Parallel edges add up; loops and null ends are left out. Weights are summed as decimals, so that the order of
+    the sums doesn't matter, and before each shuffle.
+    """
+    weight = F.sum(F.col("weight").cast("decimal(20,6)")).cast("decimal(20,6)").alias("weight")
+    pairs = edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(weight)
+    both = written(pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").union(pairs.select("b", "a", "weight")))
+    own = written(both.groupBy("id").agg(F.max("weight").alias("weight")))
+    labels = own.select("id", F.col("id").alias("community"))
+    for _ in range(rounds):
+        heard = both.join(labels.withColumnRenamed("id", "other"), "other").select("id", "community", "weight").union(own.join(labels, "id").select("id", "community", "weight"))
+        total = heard.groupBy("id", "community").agg(F.sum("weight").alias("weight"))
+        labels = written(total.groupBy("id").agg(F.min_by("community", F.struct(-F.col("weight"), "community")).alias("community")))
+    return labels

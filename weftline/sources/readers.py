@@ -7,7 +7,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.text import file_name, trimmed
+from weftline.functions.text import file_name, line_feeds, trimmed, without_fences
 
 EVENT_SCHEMA = "time timestamp, changeId string, phase string, node string, status string, subagent string, role string, task string, output string, summary string, artifacts array<string>, branch string, worktree string, _corrupt_record string"
 
@@ -24,8 +24,8 @@ def files(spark: SparkSession, root: str, pattern: str = "*", recursive: bool =
 
 
 def texts(spark: SparkSession, root: str, pattern: str = "*.md", recursive: bool = False) -> DataFrame:
-    """path, name and text of text files, one row for each, empty ones too."""
-    return files(spark, root, pattern, recursive).select("path", "name", F.decode("content", "UTF-8").alias("text"))
+    """path, name and text of text files, one row for each, empty ones too; every line end becomes a line feed."""
+    return files(spark, root, pattern, recursive).select("path", "name", line_feeds(F.decode("content", "UTF-8")).alias("text"))
 
 
 def fragments(spark: SparkSession, folder: str, main: str | None = None) -> DataFrame:
@@ -71,8 +71,19 @@ def path_check(manifest: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
-    """Events of JSON lines; lines that aren't JSON keep their text in _corrupt_record. change_file is the file's name, ord rises along each file."""
-    return spark.read.schema(EVENT_SCHEMA).json(path).select("*", F.col("_metadata.file_name").alias("change_file"), F.monotonically_increasing_id().alias("ord"))
+    """Events of JSON lines; lines that aren't JSON keep their text in _corrupt_record.
+
+    change_file is the file's name. A large file is read in blocks; (change_file, block, ord) is the order of its lines.
+    """
+    place = [F.col("_metadata.file_name").alias("change_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("ord")]
+    return spark.read.schema(EVENT_SCHEMA).json(path).select("*", *place)
+
+
+def event_lines(logs: DataFrame) -> DataFrame:
+    """Events of whole logs (value, change_file), batch or stream, with their line as `ord`: for logs that fit a row, as those of one change do."""
+    lines = logs.select("change_file", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("ord", "line")).where(F.trim("line") != "")
+    event = F.from_json("line", EVENT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.select("change_file", "ord", event.alias("e")).select("e.*", "change_file", "ord")
 
 
 def prds(spark: SparkSession, root: str) -> DataFrame:
@@ -121,13 +132,23 @@ def project_config(spark: SparkSession, path: str, schema: str, defaults: dict[s
 
 
 def tasks(documents: DataFrame) -> DataFrame:
-    """Tasks of lines `- [ ] <id> [AFK|HITL] title (blockedBy: a, b)` of documents (change_id, text), in order."""
-    line = documents.select("change_id", F.posexplode(F.split("text", "\n")).alias("position", "line"))
-    pattern = r"^\s*-\s*\[([ xX])\]\s*(\S+)\s*(?:\[(AFK|HITL)\])?\s*(.*?)\s*(?:\(blockedBy:\s*([^)]*)\))?\s*$"
-    part = lambda i: F.regexp_extract("line", pattern, i)
-    blocked = F.expr(r"filter(transform(split(blocked, ','), x -> trim(x)), x -> x <> '')")
-    rows = line.where(F.col("line").rlike(pattern)).select("change_id", "position", part(2).alias("id"), (part(1) != " ").alias("done"), F.nullif(part(3), F.lit("")).alias("label"), part(4).alias("title"), part(5).alias("blocked"))
-    return rows.withColumn("blockedBy", blocked).drop("blocked")
+    """Tasks of lines `- [ ] <id> [AFK|HITL] title (blockedBy: a, b)` of documents (change_id, text), in order, with the fields written below each.
+
+    The lines up to the next task may name `unblocks`, `files`, `acceptance criteria` and `verification`, each behind a
+    colon, as list items or not, in bold or not; the first of equal ones counts, and lists are parted by commas. Code in
+    fences is no task and no field.
+    """
+    start = r"(?m)(?=^[ \t]*-[ \t]*\[[ xX]\][ \t]*\S)"
+    parts = F.split(without_fences(line_feeds(F.col("text"))), start)
+    rows = documents.select("change_id", F.posexplode(parts).alias("position", "part"))
+    pattern = r"\A[ \t]*-[ \t]*\[([ xX])\][ \t]*(\S+)[ \t]*(?:\[(AFK|HITL)\])?[ \t]*([^\n]*?)[ \t]*(?:\(blockedBy:[ \t]*([^)\n]*)\))?[ \t]*(?:\n|\z)"
+    part = lambda i: F.regexp_extract("part", pattern, i)
+    field = lambda name: F.nullif(F.regexp_extract("part", rf"(?mi)^[ \t]*(?:[-*][ \t]+)?\**{name}\**:\**[ \t]*(.*?)[ \t]*$", 1), F.lit(""))
+    items = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(F.replace(x, F.lit("`"), F.lit("")))), lambda x: x != "")
+    rows = rows.where(F.col("part").rlike(pattern))
+    own = [part(2).alias("id"), (part(1) != " ").alias("done"), F.nullif(part(3), F.lit("")).alias("label"), part(4).alias("title"), items(part(5)).alias("blockedBy")]
+    below = [items(field("unblocks")).alias("unblocks"), items(field("files")).alias("files"), field("acceptance criteria").alias("criteria"), field("verification(?: command)?").alias("verification")]
+    return rows.select("change_id", "position", *own, *below)
 
 
 def imported_status(local: DataFrame, provider: DataFrame) -> DataFrame:

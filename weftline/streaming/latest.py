@@ -6,22 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from weftline.sources.readers import EVENT_SCHEMA
+from weftline.sources.readers import event_lines
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Events of JSON lines files as they come into a folder."""
-    return spark.readStream.schema(EVENT_SCHEMA).json(folder)
-
-
-# Statuses in the order in which a unit of work passes them; of equal times the later one counts.
-STATUS_ORDER = ["started", "dispatched", "created", "baseline_passed", "baseline_failed", "persona_reported", "blocked", "failed", "completed", "decided", "merged", "discarded", "kept"]
+    """Events of JSON lines files as they come into a folder, with the file and the line that each stands in."""
+    logs = spark.readStream.format("text").option("wholetext", True).load(folder)
+    return event_lines(logs.select("value", F.col("_metadata.file_name").alias("change_file")))
 
 
 def latest_state(events: DataFrame, key: str = "changeId") -> DataFrame:
-    """(key, time, status, node) of the last event of each key, by time and then by STATUS_ORDER; no watermark: a state never closes."""
-    place = F.array_position(F.array(*map(F.lit, STATUS_ORDER)), F.col("status")).alias("place")
-    last = F.max(F.struct("time", place, "status", "node")).alias("l")
+    """(key, time, status, node) of the last event of each key, by time, file and line; no watermark: a state never closes.
+
+    A batch over the same events gives the same with `events.latest` and the order time, change_file, ord.
+    """
+    last = F.max(F.struct("time", "change_file", "ord", "status", "node")).alias("l")
     return events.where(F.col(key).isNotNull()).groupBy(key).agg(last).select(key, "l.time", "l.status", "l.node")
 
 
