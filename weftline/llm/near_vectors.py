@@ -188,11 +188,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.
     rows = saved(rows.mapInArrow(packed, f"vec_id {id_type}, label {kind['label']}, vec binary").withColumn("row", F.monotonically_increasing_id()), "vectors")
     classes = rows.where("vec is not null").groupBy("label", "vec").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"))
     classes = saved(classes, "vector-classes")
-    n, labels, width = classes.agg(F.count(F.lit(1)), F.approx_count_distinct("label"), F.max(F.octet_length("vec"))).first()
+    of_label = classes.groupBy("label").agg(F.count(F.lit(1)).cast("double").alias("n"), F.max(F.octet_length("vec")).alias("width"))
+    n, squares, width = of_label.agg(F.sum("n"), F.sum(F.col("n") * F.col("n")), F.max("width")).first()
     if n:
         width = width // np.dtype(dtype).itemsize
         sample = classes.select("vec", F.xxhash64("vec").alias("h")).orderBy("h", "vec").limit(SAMPLE).select("vec").toArrow()["vec"].combine_chunks()
-        codes = int(max(1, np.sqrt(n / max(labels, 1) / CELL)))
+        # by the label size that a vector meets on average: large labels decide, however many small ones there are
+        codes = int(max(1, np.sqrt(squares / n / CELL)))
         index = fit_index(_unit(_matrix(sample, dtype, max(2, width))), codes, threshold, recall)
         links = _links(classes, index, kind["label"], dtype, threshold)
     else:
