@@ -91,7 +91,8 @@ def needed(literal: str | None, regex: str | None) -> list[int]:
     if regex is not None:
         try:
             parsed = _parser.parse(regex)
-            runs = [] if parsed.state.flags & re.IGNORECASE else _runs(parsed)
+            octal = "\\0" in regex  # the two dialects read its digits differently
+            runs = [] if octal or parsed.state.flags & re.IGNORECASE else _runs(parsed)
         except (re.error, OverflowError):  # a pattern that only the other dialect knows
             runs = []
     return sorted({int(g) for x in runs for g in grams_of(x.encode())})
