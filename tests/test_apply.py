@@ -47,3 +47,16 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
 def test_an_empty_plan(spark, tmp_path):
     apply.apply_plan(spark.createDataFrame([], "path string, action string, content binary"), tmp_path.as_uri())
     assert list(tmp_path.iterdir()) == []
+
+
+def test_uninstall(spark, tmp_path):
+    for name in (".cursor/a.json", ".cursor/d/b.md", "openspec/x", "own/y", ".cursorrules", "sub/.cursor/z"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"1")
+    paths = spark.createDataFrame([(p.relative_to(tmp_path).as_posix(),) for p in tmp_path.rglob("*") if p.is_file()], "path string")
+    managed = spark.createDataFrame([("cursor", ".cursor", True), ("kilo", ".kilo", True), ("openspec", "openspec", False), ("gitnexus", ".gitnexus", False), ("other", "own", True), ("again", ".cursor", False)], "target string, folder string, reported boolean")
+    chosen = spark.createDataFrame([(t,) for t in ("cursor", "kilo", "openspec", "gitnexus", "again")], "target string")
+    plan = mirror.uninstall_plan(managed, chosen, paths)
+    assert {tuple(r) for r in plan.collect()} == {(".cursor", "REMOVE", 2), (".kilo", "SKIP", 0), ("openspec", "REMOVE", 1)}
+    apply.apply_plan(mirror.uninstall_files(plan, paths), tmp_path.as_uri())
+    assert {p.relative_to(tmp_path).as_posix() for p in tmp_path.rglob("*") if p.is_file()} == {"own/y", ".cursorrules", "sub/.cursor/z"}

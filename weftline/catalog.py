@@ -231,6 +231,21 @@ def mirror_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mirror.sync_plan(*_mirrored(spark, sf_dir), delete=True, key="s_suppkey", value="s_name")
 
 
+@query("""WITH l AS (SELECT split_part(url, '/', 3) AS host, split_part(url, '/', 4) AS lang FROM pages), h AS (SELECT DISTINCT host FROM l),
+  m AS (SELECT host || '/' || lang AS folder, lang <> 'de' AS reported FROM h, (SELECT unnest(['es', 'zz', 'de']) AS lang)),
+  c AS (SELECT host || '/' || lang AS folder, count(*) AS n FROM l GROUP BY ALL)
+  SELECT folder, CASE WHEN n > 0 THEN 'REMOVE' ELSE 'SKIP' END AS action, coalesce(n, 0) AS n_files FROM m LEFT JOIN c USING (folder) WHERE reported OR n > 0""")
+def uninstall_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # pages are files below a host and a language; languages are targets
+    part = lambda i: F.split_part(F.col("url"), F.lit("/"), F.lit(i))
+    listing = table(spark, sf_dir, "pages").select(part(3).alias("host"), F.concat_ws("/", part(3), part(4), F.col("page_id").cast("string")).alias("path"))
+    known = {"es": True, "zz": True, "de": False, "fr": True}
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.lit(r).alias("reported")) for t, r in known.items()])).alias("t")
+    managed = listing.select("host").distinct().select("host", each).select("t.target", F.concat_ws("/", "host", "t.target").alias("folder"), "t.reported")
+    targets = spark.createDataFrame([(t,) for t in known], "target string")
+    return mirror.uninstall_plan(managed, targets.where("target <> 'fr'"), listing)
+
+
 @query("SELECT r_regionkey, target FROM region, (VALUES ('cursor'), ('vscode'), ('kilo')) t(target)")
 def fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = spark.createDataFrame([("cursor",), ("vscode",), ("kilo",)], "target string")

@@ -51,6 +51,32 @@ def rendered_drift(rendered: DataFrame, mirror: DataFrame) -> DataFrame:
     return fine.join(bad.select("name"), "name", "left_anti").unionByName(bad)
 
 
+def uninstall_plan(managed: DataFrame, chosen: DataFrame, listing: DataFrame) -> DataFrame:
+    """(folder, action, n_files) of managed folders (target, folder, reported) of the chosen targets (target), by a listing (path).
+
+    REMOVE where files lie below the folder, at any depth, with their number; SKIP where none do, for folders that are
+    reported even then. Other folders are not touched, and a folder of several targets comes once.
+    """
+    wanted = managed.join(chosen.select("target").distinct(), "target", "left_semi").groupBy("folder").agg(F.bool_or("reported").alias("reported"))
+    counted = below(listing, wanted).groupBy("folder").agg(F.count(F.lit(1)).alias("n_files"))
+    rows = wanted.join(counted, "folder", "left").select("folder", "reported", F.coalesce("n_files", F.lit(0)).alias("n_files"))
+    return rows.where("reported or n_files > 0").select("folder", F.when(F.col("n_files") > 0, "REMOVE").otherwise("SKIP").alias("action"), "n_files")
+
+
+def below(listing: DataFrame, folders: DataFrame) -> DataFrame:
+    """(folder, path) of the files of a listing (path) that lie below a folder, by the folders above each file."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.concat_ws("/", F.slice(parts, 1, n)))
+    nested = listing.where(F.contains("path", F.lit("/"))).select("path", F.explode(above).alias("folder"))
+    return nested.join(folders.select("folder").distinct(), "folder").select("folder", "path")
+
+
+def uninstall_files(plan: DataFrame, listing: DataFrame) -> DataFrame:
+    """(path, action, content) of an uninstall plan's files, as `apply_plan` takes them; a file below two folders comes once."""
+    files = below(listing, plan.where("action = 'REMOVE'")).select("path").distinct()
+    return files.select("path", F.lit("DELETE").alias("action"), F.lit(None).cast("binary").alias("content"))
+
+
 def fan_out(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Every row for every target; Spark broadcasts the smaller side if its size allows."""
     return rows.join(targets)
