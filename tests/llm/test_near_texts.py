@@ -117,3 +117,15 @@ def test_near_copies_among_texts_that_share_a_passage(spark, monkeypatch, small)
         own = texts[k][70:]
         texts.append(passage + [f"y{k}_{i}" if i % 3 == 1 else w for i, w in enumerate(own)])
     same_classes(texts, classes(spark, texts))
+
+
+@pytest.mark.parametrize("block", [16, 512])
+def test_texts_beside_a_large_group_find_the_one_member_they_are_linked_to(spark, monkeypatch, block):
+    monkeypatch.setattr(near_texts, "SMALL", 8)
+    monkeypatch.setattr(near_texts, "BLOCK", block, raising=False)
+    r = random.Random(5)
+    center = fresh(r, 1000)
+    members = [center[: 50 * i] + center[50 * i + 50 : 50 * j] + center[50 * j + 50 :] for j in range(20) for i in range(j)]
+    beside = [m + fresh(r, 220) for m in members[::16]]  # 220 edits of 224 from that member, 270 or more from all others
+    got = classes(spark, [center, *members, *beside])
+    assert set(got.values()) == {0}

@@ -25,6 +25,8 @@ MARKS, AGREE = 32, 4
 SHORT = 20
 #: Members of a group that are compared with one another; larger groups are searched in another way.
 SMALL = 32
+#: Nodes of a block of a larger group; blocks are compared with blocks, in one row.
+BLOCK = 512
 #: Bytes of text that are sketched at a time.
 BATCH = 2 << 20
 #: Counters, of a byte, of the words that order them by rarity, and parts that these are summed in: a bound for what is
@@ -319,12 +321,9 @@ def _counters(texts: DataFrame) -> np.ndarray:
 
 
 def _rare_candidates(crowded: DataFrame, texts: DataFrame, reps: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of different groups within a crowd (crowd, node) that have one of their rarest words in common.
-
-    Where more than SMALL nodes of a crowd have such a word, they are divided by one of their sketches; where one of
-    these divisions is still larger, all its pairs are candidates.
-    """
-    texts = saved(texts.join(saved(crowded.select("node").distinct(), "near-crowd"), "node", "left_semi"), "near-rare-texts")
+    """All pairs (a, b) of different groups among the crowded nodes that have one of their rarest words in common, and
+    that lengths and marks let be similar. Words that more than SMALL nodes have are compared in blocks."""
+    texts = saved(texts.join(crowded, "node", "left_semi"), "near-rare-texts")
     sent = texts.sparkSession.sparkContext.broadcast(_counters(texts))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,28 +333,64 @@ def _rare_candidates(crowded: DataFrame, texts: DataFrame, reps: DataFrame, grou
                 own = rare_labels(_labels(np.frombuffer(raw.as_py(), np.uint32)), sent.value, similarity)
                 keys.append(own[sent.value[own & np.uint64(COUNTERS - 1)] > 1].view(np.int64))
             node = np.repeat(batch["node"].to_numpy(), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), pa.array(node)], ["word", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), pa.array(node)], ["key", "node"])
 
-    keyed = texts.mapInArrow(rare, "word long, node long").join(crowded, "node").select("node", F.xxhash64("crowd", "word").alias("key"))
-    members, pairs = _searched(saved(keyed, "near-rare"), groups)
-    which = F.element_at("sketches", F.pmod("key", F.lit(SKETCHES)).cast("int") + 1)
-    divided = members.where(F.col("n") > SMALL).join(reps.select("node", "sketches"), "node").select("node", F.xxhash64("key", which).alias("key"))
-    members, more = _searched(saved(divided, "near-divided"), groups)
-    rest = members.where(F.col("n") > SMALL).withColumn("n", F.lit(SMALL))
-    return saved(pairs.union(more).union(_small_pairs(rest)).distinct(), "near-rare-pairs")
+    members, pairs = _searched(saved(texts.mapInArrow(rare, "key long, node long"), "near-rare"), groups)
+    few = saved(_possible(pairs, reps, similarity), "near-rare-pairs")
+    return few.union(_in_blocks(members.where(F.col("n") > SMALL), reps, similarity)).distinct()
 
 
-def _crowds(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the keys with more than SMALL nodes in several groups: (crowd, node) of nodes whose group has at most SMALL
-    there, and pairs (a, b) of each of these with a drawn node of the key's largest group."""
+def _in_blocks(members: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of different groups with a key in common that lengths and marks let be similar.
+
+    A key's nodes are packed in blocks of about BLOCK, its largest group's apart from the others. Each block of the
+    others meets each block of the key, so the largest group is never compared with itself, no row or task holds a
+    whole key, and pairs are made only where they may link.
+    """
+    sized = saved(members.groupBy("key", "group").agg(F.count(F.lit(1)).alias("own")), "near-by-group")
+    largest = sized.groupBy("key").agg(F.max(F.struct("own", "group")).alias("m"), F.sum("own").alias("n"))
+    blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = largest.select("key", F.col("m.group").alias("most"), blocks_of(F.col("m.own")).alias("large"), blocks_of(F.col("n") - F.col("m.own")).alias("others"))
+    rows = members.select("key", "node", "group").join(saved(sizes, "near-block-sizes"), "key")
+    spread = F.xxhash64("node")
+    block = F.when(F.col("group") == F.col("most"), F.pmod(spread, F.col("large"))).otherwise(F.col("large") + F.pmod(spread, F.col("others"))).cast("int")
+    rows = saved(rows.withColumn("block", block).join(reps.select("node", "n_words", "marks"), "node"), "near-block-rows")
+    marks = [F.col("marks")[i].alias(f"m{i}") for i in range(MARKS // 16)]
+    packed = saved(rows.groupBy("key", "block", "large", "others").agg(F.collect_list(F.struct("node", "group", "n_words", *marks)).alias("own")), "near-blocks")
+    count = F.col("large") + F.col("others")
+    right = packed.select("key", F.explode(F.sequence(F.col("large"), count - 1)).alias("i"), F.col("block").alias("j"), F.col("own").alias("y"), "large").where("j < large or j >= i").drop("large")
+    left = packed.where("block >= large").select("key", "large", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), count - 1)).alias("j"), F.col("own").alias("x")).where("j < large or j >= i").drop("large")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["node", "group", "n_words", *[f"m{i}" for i in range(MARKS // 16)]]
+        for batch in batches:
+            for one, other in zip(batch["x"], batch["y"], strict=True):
+                x, y = ({c: s.values.field(c).to_numpy() for c in names} for s in (one, other))
+                n, m = x["n_words"][:, None], y["n_words"][None, :]
+                agree = np.zeros((len(n), m.shape[1]), np.int64)
+                for c in names[3:]:
+                    differ = (x[c][:, None] ^ y[c][None, :]).view(np.uint64)
+                    differ |= differ >> np.uint64(1)
+                    differ |= differ >> np.uint64(2)
+                    agree += 16 - np.bitwise_count(differ & np.uint64(0x1111111111111111)).astype(np.int64)
+                fine = (np.minimum(n, m) >= np.maximum(n, m) * similarity - 1e-6) & ((np.minimum(n, m) <= SHORT) | (agree >= AGREE))
+                i, j = np.nonzero(fine & (x["group"][:, None] != y["group"][None, :]))
+                a, b = x["node"][i], y["node"][j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    met = left.join(right.hint("merge"), ["key", "i", "j"]).select("x", "y")
+    return met.mapInArrow(compared, "a long, b long")
+
+
+def _drawn_of_largest(members: DataFrame) -> DataFrame:
+    """Of the keys with more than SMALL nodes in several groups: pairs (a, b) of each node whose group has at most SMALL
+    there with a drawn node of the key's largest group. They spare the search in blocks most of the texts beside a large group."""
     large = members.where(F.col("n") > SMALL)
     drawn = F.min(F.struct(F.xxhash64("key", "node").alias("h"), F.col("node")))["node"].alias("drawn")
     by_group = saved(large.groupBy("key", "group").agg(F.count(F.lit(1)).alias("own"), drawn), "near-by-group")
     most = by_group.groupBy("key").agg(F.max(F.struct("own", "drawn")).alias("m")).select("key", "m.*").where(F.col("own") > SMALL).select("key", F.col("drawn").alias("b"))
-    few = large.join(by_group.where(F.col("own") <= SMALL).select("key", "group"), ["key", "group"], "left_semi")
-    few = saved(few.select("key", "low", "node"), "near-few")
-    met = few.join(saved(most, "near-most"), "key").select(F.col("node").alias("a"), "b").distinct()
-    return saved(few.select(F.col("low").alias("crowd"), "node").distinct(), "near-crowded"), met
+    few = saved(large.join(by_group.where(F.col("own") <= SMALL).select("key", "group"), ["key", "group"], "left_semi").select("key", "node"), "near-few")
+    return few.join(saved(most, "near-most"), "key").select(F.col("node").alias("a"), "b").distinct()
 
 
 def _searched(keyed: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -416,11 +451,10 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Equal texts are sketched as one. Each sketch has PICKED k-mers of K words in text order. Texts with a sketch in
     common first meet two of them; the links found make groups. Sketches whose texts are still in several groups are
-    searched on: small ones pair by pair, larger ones by a rare word in common. Of two similar texts, each holds one
-    of the other's rarest words, so that search misses none, but for a word that more than SMALL of these texts share,
-    which asks for an equal sketch too. Texts beside a group that has more than SMALL texts of a sketch meet one text
-    of that group, drawn anew in each sketch. Texts of up to SHORT words meet every text that they may be linked to by an
-    intact segment, which misses none. For others at 0.8, with edits at random places, 0.12 of the sketches are equal,
+    searched on: small ones pair by pair; in larger ones, texts beside a large group meet one of it, and what stays
+    apart meets all texts of other groups with a rare word in common, however many have it. Of two similar texts,
+    each holds one of the other's rarest words, so that search misses none. Texts of up to SHORT words meet every text
+    that they may be linked to by an intact segment, which misses none. For others at 0.8, with edits at random places, 0.12 of the sketches are equal,
     and none is with a chance of 0.007; if the edits spare as few k-mers as can be, of 0.08.
     """
     rows = saved(sketched(docs), "near-rows")
@@ -445,15 +479,20 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     members = saved(grouped.join(saved(_open(grouped), "near-open"), "key"), "near-members")
     dropped(grouped)
 
-    pairs = _small_pairs(members)
-    crowded, met = _crowds(members)
-    pairs = pairs.union(met)
-    if not crowded.isEmpty():
-        pairs = pairs.union(_rare_candidates(crowded, texts.select("node", "words"), reps, groups, similarity))
+    pairs = _small_pairs(members).union(_drawn_of_largest(members))
     segments = saved(_grouped(_segments(texts, similarity), groups), "near-segments")
     pairs = saved(_possible(pairs.union(_short_candidates(segments)), reps, similarity), "near-pairs")
     more = saved(_verified(pairs, texts, similarity), "near-more")
     comps = saved(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "near-components")
+    # what has a sketch in common with more than SMALL texts and with several groups still is searched by rare words
+    rest = saved(_grouped(members.where(F.col("n") > SMALL).drop("group"), comps), "near-rest")
+    crowded = saved(rest.join(saved(_open(rest), "near-open"), "key", "left_semi").select("node").distinct(), "near-crowded")
+    if not crowded.isEmpty():
+        old, left = comps, saved(_rare_candidates(crowded, texts.select("node", "words"), reps, comps, similarity), "near-left")
+        links = saved(_verified(left, texts, similarity), "near-links")
+        comps = saved(components(old.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "near-components")
+        dropped(left, links, old)
+    dropped(rest, crowded)
     dropped(members, groups, segments, pairs, more, texts, pool, reps)
 
     nodes = saved(nodes.join(comps, "node", "left").withColumn("group", F.coalesce("component", "node")), "near-nodes")
