@@ -143,3 +143,23 @@ def test_spans_are_chosen_apart():
     kinds, above = np.array([0, 0, 0, 2, 3, 3]), np.array([9.0, 1.0, 2.0, 3.0, 4.0, -1.0])
     assert pii.chosen(base, kinds, spans, above) == [[(3, 10), (5, 10)], [], [], [(25, 35)]]
     assert pii.redacted("x" * 40, [[(3, 10), (5, 10)], [], [], [(25, 35)]]) == "xxx[EMAIL]" + "x" * 15 + "[PHONE]" + "xxxxx"
+
+
+def test_the_model_comes_from_all_examples_however_they_are_summed(spark, monkeypatch):
+    # 12,000 examples a label: the last key ranges alone show that long ones of the positive label are negative
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(24_000):
+        x = np.zeros(pii.WIDTH, np.float32)
+        late = i >= 12_000
+        x[0], x[1], x[2] = rng.integers(0, 40), rng.integers(0, 20), float(late)
+        rows.append((0, int((x[0] > 20) != late), i * 1001, x.tobytes()))
+    examples = spark.createDataFrame(rows, "kind int, label int, key long, features binary")
+    monkeypatch.setattr(pii, "ROUNDS", 6)
+    model = pii.fit_model(examples)
+    x = np.zeros((4, pii.WIDTH))
+    x[:, 0], x[:, 2] = [30, 5, 30, 5], [0, 0, 1, 1]
+    assert (model.trees[0].scores(x) > 0).tolist() == [True, False, False, True]
+    monkeypatch.setattr(pii, "TOGETHER", 0)
+    apart = pii.fit_model(examples.repartition(3))
+    assert apart.thresholds == model.thresholds and np.array_equal(apart.trees[0].scores(x), model.trees[0].scores(x))

@@ -4,22 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.boosting import Trees, calibrated_threshold, fit_trees
+from weftline.llm.boosting import DEPTH, ROUNDS, Growing, Trees, binned, cuts_of
 from weftline.llm.shared import saved
 from weftline.llm.wordhash import by_bytes
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Examples of each kind and label that the trees are fitted on at most; they come to the driver.
-SAMPLE = 4000
+#: Rows of equal examples up to which the trees' sums are made on the driver; more are summed where they are.
+TOGETHER = 20_000
 #: Share of the spans above a threshold that shall be personal data.
 PRECISION = 0.98
 #: Characters around a span that its features and the examples look at.
@@ -263,27 +264,111 @@ class Model:
         return out
 
 
-def fit_model(examples: list[tuple[int, int, int, bytes]], totals: dict[tuple[int, int], int], precision: float = PRECISION) -> Model:
-    """The model from sampled examples (kind, label, key, features) of which there are `totals` by kind and label.
+def _rows(batch: pa.RecordBatch, column: str, kind: type) -> np.ndarray:
+    """The numbers of a binary column, a row each."""
+    return np.frombuffer(b"".join(batch[column].to_pylist()), kind).reshape(-1, WIDTH)
 
-    A quarter, by key, is held out for the thresholds. There, an example stands for as many as the sample left out.
+
+def fit_model(examples: DataFrame, precision: float = PRECISION) -> Model:
+    """The model from all examples (kind, label, key, features), a written table.
+
+    A quarter, by key, is held out for the thresholds. Cuts come from the counts of each feature's values, which are
+    small numbers; examples of equal bins are counted as one row. Each level of the trees is a pass over these rows, for
+    all kinds at once, whose sums alone go to the driver; up to TOGETHER rows are summed there, with the same sums.
     """
-    trees, thresholds = [], []
-    for kind in range(len(KINDS)):
-        own = sorted((e[2], e[1], e[3]) for e in examples if e[0] == kind)
-        x = np.array([np.frombuffer(f, np.float32) for _, _, f in own], float).reshape(-1, WIDTH)
-        y, key = np.array([v for _, v, _ in own], float), np.array([k for k, _, _ in own], np.int64)
-        n = [max(1, int((y == v).sum())) for v in (0, 1)]
-        weight = np.where(y > 0, totals.get((kind, 1), 0) / n[1], totals.get((kind, 0), 0) / n[0])
-        held = key % 4 == 0
-        if not (y[~held] > 0).any() or not (y[held] > 0).any() or (y > 0).all():
-            trees.append(None)
-            thresholds.append(float("inf"))
-            continue
-        balanced = np.where(y > 0, len(y) / n[1], len(y) / n[0]) / 2
-        trees.append(fit_trees(x[~held], y[~held], balanced[~held]))
-        thresholds.append(max(0.0, calibrated_threshold(trees[-1].scores(x[held]), y[held], weight[held], precision)))  # never below even odds
-    return Model(trees, thresholds)
+    spark = examples.sparkSession
+    n = {(r.kind, r.label, r.held): r["count"] for r in examples.groupBy("kind", "label", (F.col("key") % 4 == 0).alias("held")).count().collect()}
+    of = lambda k, label: n.get((k, label, True), 0) + n.get((k, label, False), 0)
+    kinds = [k for k in range(len(KINDS)) if n.get((k, 1, False)) and n.get((k, 1, True)) and of(k, 0)]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, x = batch["kind"].to_numpy(), _rows(batch, "features", np.float32)
+            for k in np.unique(own).tolist():
+                for j, column in enumerate(x[own == k].T):
+                    values, counts = np.unique(column, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(values), pa.int32()), pa.array([j] * len(values), pa.int32()), pa.array(values.astype(float)), pa.array(counts)], ["kind", "feature", "value", "n"])
+
+    seen: dict[tuple[int, int], list[tuple[float, int]]] = {}
+    for r in examples.where("key % 4 <> 0").mapInArrow(counted, "kind int, feature int, value double, n long").groupBy("kind", "feature", "value").agg(F.sum("n").alias("n")).collect():
+        seen.setdefault((r.kind, r.feature), []).append((r.value, r.n))
+    grown: dict[int, Growing] = {}
+    for k in kinds:
+        cuts = [cuts_of(*np.array(sorted(seen[k, j])).T) for j in range(WIDTH)]
+        weight = tuple((of(k, 0) + of(k, 1)) / of(k, label) / 2 for label in (0, 1))
+        share = [weight[label] * n.get((k, label, False), 0) for label in (0, 1)]
+        grown[k] = Growing(cuts, weight, share[1] / sum(share))
+    if not grown:
+        return Model([None] * len(KINDS), [float("inf")] * len(KINDS))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, x = batch["kind"].to_numpy(), _rows(batch, "features", np.float32)
+            codes = np.zeros(x.shape, np.uint8)
+            for k, g in grown.items():
+                codes[own == k] = binned(g.cuts, x[own == k].astype(float))
+            yield pa.RecordBatch.from_arrays([batch["kind"], batch["label"], batch["held"], pa.array([c.tobytes() for c in codes], pa.binary())], ["kind", "label", "held", "codes"])
+
+    some = examples.where(F.col("kind").isin(kinds)).withColumn("held", F.col("key") % 4 == 0)
+    rows = some.mapInArrow(coded, "kind int, label int, held boolean, codes binary").groupBy("kind", "label", "held", "codes").count()
+    rows = saved(rows, "pii-binned")
+    train = rows.where("not held")
+
+    def summed(batches: Iterator[pa.RecordBatch], trees: dict[int, Growing]) -> dict[int, np.ndarray]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            own, codes = batch["kind"].to_numpy(), _rows(batch, "codes", np.uint8)
+            y, count = batch["label"].to_numpy().astype(float), batch["count"].to_numpy()
+            for k, g in trees.items():
+                if (at := own == k).any():
+                    total[k] = total.get(k, 0) + g.sums(codes[at], y[at], count[at])
+        return total
+
+    together = train.toArrow().to_batches() if train.count() <= TOGETHER else None
+    for _ in range(ROUNDS * DEPTH):
+        if together is not None:
+            sums = summed(together, grown)
+        else:
+
+            def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                own = summed(batches, sent.value)  # noqa: B023
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in own.values()], pa.binary())], ["kind", "sums"])
+
+            def added_up(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int64) for t in tables for x in t["sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["kind", "sums"])
+
+            sent = spark.sparkContext.broadcast(grown)
+            found = train.mapInArrow(part, "kind int, sums binary").groupBy("kind").applyInArrow(added_up, "kind int, sums binary").collect()  # a row for each kind
+            sums = {r.kind: np.frombuffer(zlib.decompress(r.sums), np.int64) for r in found}
+            sent.unpersist()
+        for k, g in grown.items():
+            g.split(sums[k])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, codes, out = batch["kind"].to_numpy(), _rows(batch, "codes", np.uint8), np.zeros(batch.num_rows)
+            for k, g in grown.items():
+                out[own == k] = g.scores(codes[own == k])
+            yield pa.RecordBatch.from_arrays([batch["kind"], batch["label"], batch["count"], pa.array(out)], ["kind", "label", "n", "score"])
+
+    least = _thresholds(rows.where("held").mapInArrow(scored, "kind int, label int, n long, score double"), precision)
+    # never below even odds
+    return Model([grown[k].trees() if k in grown else None for k in range(len(KINDS))], [max(0.0, least.get(k, float("inf"))) for k in range(len(KINDS))])
+
+
+def _thresholds(scores: DataFrame, precision: float) -> dict[int, float]:
+    """Of rows (kind, label, n, score), each kind's smallest score above or at which `precision` are positive, with one
+    more negative than seen: running sums over ranges of scores."""
+    each = scores.groupBy("kind", "score").agg(F.sum(F.when(F.col("label") > 0, F.col("n")).otherwise(0)).alias("good"), F.sum("n").alias("n"))
+    parts = saved(each.repartitionByRange("kind", F.col("score").desc()).withColumn("part", F.spark_partition_id()), "pii-scores")
+    earlier = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.groupBy("kind", "part").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+    before = before.select("kind", "part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("good", "n")])
+    inside = Window.partitionBy("kind", "part").orderBy(F.col("score").desc())
+    run = parts.select("kind", "part", "score", *[F.sum(c).over(inside).alias(c) for c in ("good", "n")]).join(before, ["kind", "part"])
+    fine = run.where((F.col("good") + F.col("good_before")) / (F.col("n") + F.col("n_before") + 1) >= precision)
+    return {r.kind: r.least for r in fine.groupBy("kind").agg(F.min("score").alias("least")).collect()}
 
 
 def chosen(base: list[list[Span]], kinds: np.ndarray, spans: list[Span], above: np.ndarray) -> list[list[Span]]:
@@ -321,15 +406,15 @@ def redacted(text: str, spans: list[list[Span]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find_personal_data(docs: DataFrame, *, redact: bool = False, sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
+def find_personal_data(docs: DataFrame, *, redact: bool = False, precision: float = PRECISION) -> DataFrame:
     """One row for each document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans; with redact, the text without them.
 
     The counts and base_sha256 are of the base patterns' spans. spans lists these and the spans that the model adds, as
     kind:start:end by kind and start, in code points with the end exclusive. Null texts count as empty; empty ones have
     no spans and the digest of ''. Repeated rows are read each; other columns are not read; an empty table gives no rows.
 
-    Texts are read once, where they are: base spans, candidates and examples are written. The trees are fitted on at
-    most `sample` different examples of each kind and label, those with the smallest keys, and go to every executor.
+    Texts are read once, where they are: base spans, candidates and examples are written. The trees are fitted on
+    all different examples, and their thresholds set on all that are held out; they go to every executor.
     A kind of which no base span shows an example, for training and held out, adds no span.
     """
     kind_of_id = dict(docs.dtypes)["doc_id"]
@@ -355,10 +440,7 @@ def find_personal_data(docs: DataFrame, *, redact: bool = False, sample: int = S
     rows = saved(docs.select("doc_id", "text").mapInArrow(proposed, schema), "pii-candidates")
     each = rows.select(F.explode("lessons").alias("e")).select("e.*")
     different = saved(each.groupBy("kind", "label", "key").agg(F.min("features").alias("features")), "pii-examples")
-    totals = {(r.kind, r.label): r["count"] for r in different.groupBy("kind", "label").count().collect()}
-    some = [different.where((F.col("kind") == k) & (F.col("label") == v)).orderBy("key").limit(sample) for k in range(len(KINDS)) for v in (0, 1) if (k, v) in totals]
-    examples = [tuple(r) for part in some for r in part.select("kind", "label", "key", "features").collect()]
-    model = docs.sparkSession.sparkContext.broadcast(fit_model([(k, v, key, bytes(x)) for k, v, key, x in examples], totals, precision))
+    model = docs.sparkSession.sparkContext.broadcast(fit_model(different, precision))
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
