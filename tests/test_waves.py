@@ -117,3 +117,9 @@ def test_communities_against_a_loop(spark):
         label = {i: min(v, key=lambda c: (-v[c], c)) for i, v in votes.items()}
     frame = spark.createDataFrame(edges, "a long, b long, weight double").repartition(3)
     assert {x.id: x.community for x in waves.communities(frame, 3).collect()} == label
+
+
+def test_communities_with_weights_beyond_whole_millionths_of_64_bits(spark):
+    edges = [(1, 2, 3.0), (2, 3, 1.5), (3, 4, 2.5), (4, 1, 0.5)]
+    got = [{tuple(x) for x in waves.communities(spark.createDataFrame([(a, b, w * f) for a, b, w in edges], "a long, b long, weight double"), 2).collect()} for f in (1, 10**13)]
+    assert got[0] == got[1]
