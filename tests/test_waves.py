@@ -100,6 +100,27 @@ def test_a_hot_file_is_dealt_turns_in_few_rounds(spark, rounds):
     assert len(rounds) < 60
 
 
+def test_only_shared_files_are_sorted_and_only_linked_tasks_walk(spark, monkeypatch):
+    seen = {}
+
+    def ordered(rows, group, order):
+        seen["sorted"] = {(x.id, x.file) for x in rows.collect()}
+        return neighbours(rows, group, order)
+
+    def stepped(start, last, step):
+        seen["walked"] = {x.id for x in start.collect()}
+        return by_strides(start, last, step)
+
+    neighbours, by_strides = waves.neighbours, waves._by_strides
+    monkeypatch.setattr(waves, "neighbours", ordered)
+    monkeypatch.setattr(waves, "_by_strides", stepped)
+    owned = [(i, f"own{i}") for i in range(300)] + [(i, "both") for i in (3, 4, 8, 8)] + [(i, None) for i in (8, 10, 11)] + [(i, "once") for i in (20, 21)]
+    levels = spark.createDataFrame([(i, i % 2) for i in range(300)], "id long, wave int")
+    turns = {x.id: x.turn for x in waves.serialised(levels, spark.createDataFrame(owned, "id long, file string")).collect()}
+    assert turns == {i: {8: 2, 10: 3}.get(i, 1) for i in range(300)}
+    assert seen == {"sorted": {(4, "both"), (8, "both"), (8, None), (10, None), (3, "both"), (11, None), (20, "once"), (21, "once")}, "walked": {4, 8, 10}}
+
+
 def test_communities_against_a_loop(spark):
     r = random.Random(9)
     edges = [(a, b, r.randint(1, 3) / 2) for _ in range(150) for a, b in [(r.randrange(30), r.randrange(30))] if r.random() < (0.9 if a // 10 == b // 10 else 0.1)] + [(5, 5, 9.0), (None, 1, 1.0)]

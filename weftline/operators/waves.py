@@ -238,21 +238,26 @@ def serialised(levels: DataFrame, owned: DataFrame) -> DataFrame:
     """(id, wave, turn): within a wave, a task goes one turn behind the last smaller id that it shares a file with, chain by chain.
 
     Two tasks of one wave and turn share no file. Only neighbours in a file's order of ids are linked, so a file that
-    many tasks own gives a link for each, not for each pair. The longest chains are found by strides of 1, 2, 4, ...
-    links, so a file of n owners takes log2(n) rounds; where there would be too many pairs, by the strides there are.
+    many tasks own gives a link for each, not for each pair. Only files with several owners are sorted, and only
+    tasks with links take part in the rounds. The longest chains are found by strides of 1, 2, 4, ... links, so a file of
+    n owners takes log2(n) rounds; where there would be too many pairs, by the strides there are.
     """
     waves_of = written(levels.select("id", "wave").where("id is not null").distinct())
-    rows = owned.select("id", "file").distinct().join(waves_of, "id")
-    links = neighbours(rows, ["wave", "file"], "id").select(F.col("before").alias("__from"), F.col("after").alias("__to")).distinct()
-    strides, last = _strides(written(links), waves_of.count(), 4.0)
+    # a file that one task owns links nothing, and a task without links has the first turn: neither is carried along
+    keyed = owned.select("id", "file", F.xxhash64("file").alias("__key"))
+    several = keyed.groupBy("__key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("__key")
+    shared = keyed.join(several, "__key", "left_semi").join(waves_of, "id")
+    links = written(neighbours(shared, ["wave", "file"], "id").select(F.col("before").alias("__from"), F.col("after").alias("__to")).distinct())
+    strides, last = _strides(links, waves_of.count(), 4.0)
     of = lambda k: strides if k is None else strides.where(F.col("k") == k)
 
     def behind(t: DataFrame, k: int | None) -> DataFrame:
         later = of(k).join(t.select(F.col("id").alias("__from"), "turn"), "__from").select("__to", F.expr("turn + shiftleft(1L, k)"))
         return t.union(later).groupBy("id").agg(F.max("turn").alias("turn"))
 
-    turns = _by_strides(waves_of.select("id", F.lit(1).cast("bigint").alias("turn")), last, behind)
-    return waves_of.join(turns, "id").select("id", "wave", "turn")
+    linked = of(0).select(F.col("__from").alias("id")).union(of(0).select("__to")).distinct()
+    turns = _by_strides(linked.select("id", F.lit(1).cast("bigint").alias("turn")), last, behind)
+    return waves_of.join(turns, "id", "left").select("id", "wave", F.coalesce("turn", F.lit(1)).cast("bigint").alias("turn"))
 
 
 def dispatch_gate(tasks: DataFrame, turns: DataFrame, owned: DataFrame, limit: int) -> DataFrame:
