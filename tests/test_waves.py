@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.operators import waves
 
@@ -121,6 +122,23 @@ def test_only_shared_files_are_sorted_and_only_linked_tasks_walk(spark, monkeypa
     assert seen == {"sorted": {(4, "both"), (8, "both"), (8, None), (10, None), (3, "both"), (11, None), (20, "once"), (21, "once")}, "walked": {4, 8, 10}}
 
 
+def test_the_dispatch_gate_reads_its_tasks_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+
+    rows = [(1, "g", "a", "ok"), (2, "g", "b", "ok"), (3, "h", None, "ok"), (4, None, "b", "too long"), (5, "i", "c", None), (6, None, "d", "ok")]
+    tasks = spark.createDataFrame(rows, "id long, goal string, output string, packet string").withColumn("output", F.udf(seen, "string")("output"))
+    turns = spark.createDataFrame([(i, 1, 2 if i == 4 else 1) for i in range(1, 7)], "id long, wave int, turn long")
+    owned = spark.createDataFrame([(i, "f") for i in (1, 2, 3, 4, 5, 5)], "id long, file string")
+    got = {x.id: (x.failed, x.passed) for x in waves.dispatch_gate(tasks, turns, owned, 4).collect()}
+    want = {1: ["goal"], 2: ["goal"], 3: ["output"], 4: ["goal", "packet"], 5: ["packet"], 6: ["goal", "ownership"]}
+    assert got == {i: (f, not f) for i, f in want.items()}
+    assert read.value == len(rows)
+
+
 def test_communities_against_a_loop(spark):
     r = random.Random(9)
     edges = [(a, b, r.randint(1, 3) / 2) for _ in range(150) for a, b in [(r.randrange(30), r.randrange(30))] if r.random() < (0.9 if a // 10 == b // 10 else 0.1)] + [(5, 5, 9.0), (None, 1, 1.0)]

@@ -267,11 +267,13 @@ def dispatch_gate(tasks: DataFrame, turns: DataFrame, owned: DataFrame, limit: i
     at most `limit` characters, and `ownership` of at least one file. Nulls fail; failed lists the rules that a task
     breaks, in this order.
     """
-    rows = tasks.join(turns, "id").join(owned.select("id", F.lit(True).alias("__owns")).distinct(), "id", "left")
+    owns = owned.select("id", F.lit(True).alias("__owns")).distinct()
+    rows = tasks.select("id", "goal", "output", (F.length("packet") <= limit).alias("__short")).join(turns, "id").join(owns, "id", "left")
+    rows = every = written(rows)
     for c in ("goal", "output"):
-        counts = written(rows.groupBy("wave", "turn", c).agg(F.count(F.lit(1)).alias(f"__{c}s")))
-        rows = rows.join(counts, ["wave", "turn", c], "left")
-    rules = {"goal": F.col("__goals") == 1, "output": F.col("__outputs") == 1, "packet": F.length("packet") <= limit, "ownership": F.col("__owns")}
+        counts = every.where(F.col(c).isNotNull()).groupBy("wave", "turn", c).agg(F.count(F.lit(1)).alias(f"__{c}s"))
+        rows = rows.join(written(counts), ["wave", "turn", c], "left")
+    rules = {"goal": F.col("__goals") == 1, "output": F.col("__outputs") == 1, "packet": F.col("__short"), "ownership": F.col("__owns")}
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules.items()]))
     return rows.select("id", "wave", "turn", failed.alias("failed")).withColumn("passed", F.size("failed") == 0)
 
