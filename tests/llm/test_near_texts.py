@@ -129,3 +129,28 @@ def test_texts_beside_a_large_group_find_the_one_member_they_are_linked_to(spark
     beside = [m + fresh(r, 220) for m in members[::16]]  # 220 edits of 224 from that member, 270 or more from all others
     got = classes(spark, [center, *members, *beside])
     assert set(got.values()) == {0}
+
+
+def test_word_counts_and_marks_turn_away_no_similar_pair_but_most_others():
+    r = random.Random(6)
+    texts = []
+    for n in (30, 100, 400):
+        for _ in range(20):
+            base = fresh(r, n)
+            texts += [base, edited(r, base, n // 5)]
+    code = {w: i for i, w in enumerate({w for t in texts for w in t})}
+    words = [near_texts.mix(np.array([code[w] for w in t], np.uint64)) for t in texts]
+    first = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    marks = near_texts.order_sketches(np.concatenate(words), first)[1].view(np.int64)
+    counts = near_texts.word_counts((np.concatenate(words) >> np.uint64(32)).astype(np.uint32), first).view(np.int64)
+    n = np.diff(first)
+    pair = lambda i, j: (
+        near_texts.marks_let(n[i], n[j], [m[i] for m in marks.T], [m[j] for m in marks.T], 0.8),
+        near_texts.counts_let(np.maximum(n[i], n[j]), [c[i] for c in counts.T], [c[j] for c in counts.T], 0.8),
+    )
+    i, j = np.triu_indices(len(texts), 1)
+    by_marks, by_counts = pair(i, j)
+    same = (i // 2 == j // 2) & np.array([near_texts.similar(words[a], words[b], 0.8) if a // 2 == b // 2 else False for a, b in zip(i, j, strict=True)])
+    assert by_counts[same].all() and by_marks[same].mean() > 0.98
+    equal_length = np.minimum(n[i], n[j]) >= 0.8 * np.maximum(n[i], n[j])
+    assert by_marks[~same & equal_length].mean() < 0.01  # four-bit marks let 0.14 of unrelated pairs pass
