@@ -154,3 +154,34 @@ def test_word_counts_and_marks_turn_away_no_similar_pair_but_most_others():
     assert by_counts[same].all() and by_marks[same].mean() > 0.98
     equal_length = np.minimum(n[i], n[j]) >= 0.8 * np.maximum(n[i], n[j])
     assert by_marks[~same & equal_length].mean() < 0.01  # four-bit marks let 0.14 of unrelated pairs pass
+
+
+@pytest.mark.parametrize("run", [1, 2, 3])
+def test_no_similar_text_lacks_more_runs_of_words_than_may_lack_says(run):
+    r = random.Random(7)
+    for most in (1, 4, 20, 60):
+        for _ in range(500):
+            a = np.array([r.randrange(6) for _ in range(r.randint(1, most))], np.uint32)
+            b = np.array([int(w) for w in edited_numbers(r, a)], np.uint32)
+            if len(b) and near_texts.similar(a, b, 0.8):
+                x, y = (set(near_texts._labels(t, run).tolist()) for t in (a, b))
+                assert len(x - y) <= near_texts.may_lack(len(a), run) and len(y - x) <= near_texts.may_lack(len(b), run)
+
+
+def test_texts_with_a_passage_and_common_words_alone_make_no_rows_of_rare_words(spark, monkeypatch):
+    monkeypatch.setattr(near_texts, "SMALL", 8)
+    made, saved = {}, near_texts.saved
+
+    def counted(df, name):
+        out = saved(df, name)
+        if name == "near-rare":
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_texts, "saved", counted)
+    r = random.Random(8)
+    passage, vocabulary = fresh(r, 30), fresh(r, 400)
+    texts = [passage + r.choices(vocabulary, k=70) for _ in range(120)]
+    texts += [edited(r, t, 20) for t in texts[:60:3]]  # with 20 edits of 100 words, at the bound
+    same_classes(texts, classes(spark, texts))
+    assert made["near-rare"] < len(texts) * 4  # a row for 21 words of each before

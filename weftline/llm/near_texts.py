@@ -37,8 +37,12 @@ BLOCK = 512
 #: Bytes of text that are sketched at a time.
 BATCH = 2 << 20
 #: Counters of the words, which order them by rarity, and parts that these are summed in: a bound for what is
-#: broadcast. Any order is right, and a word whose counter is 1 stands in one text only.
+#: broadcast. Any order is right.
 COUNTERS, COUNTER_PARTS = 1 << 20, 16
+#: Words of a run, and how often texts of too many runs that no other group has are left out; slots that hold a bit for
+#: runs, four for each of them but within bounds (as logarithms), and slots that are looked at together.
+RUN, ROUNDS = 2, 2
+LEAST_SLOTS, MOST_SLOTS, SLOTS_PART = 20, 27, 1 << 18
 #: Parts that the pairs of one text are dealt to, and the bits that draw a node of a group.
 SALTS, DRAW = 16, 0x2AAAAAAAAAAAAAAA
 #: Leaders that a text meets first, and pairs of a text that are verified in one part.
@@ -126,21 +130,35 @@ def segment_keys(words: np.ndarray, similarity: float = SIMILARITY, short: int =
     return own, partner
 
 
-def _labels(words: np.ndarray) -> np.ndarray:
-    """A hash of each word of a text and of how often it occurred before."""
-    return mix(words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + occurrence(words).astype(np.uint64))
+def _labels(words: np.ndarray, run: int = 1) -> np.ndarray:
+    """A hash of each run of words of a text and of how often it occurred before; a text of fewer words is one run."""
+    n = max(len(words) - run + 1, min(len(words), 1))
+    padded, value = np.append(words, np.zeros(run - 1, words.dtype)).astype(np.uint64), np.zeros(n, np.uint64)
+    for j in range(run):
+        value = value * np.uint64(0xD6E8FEB86659FD93) + padded[j : j + n]
+    return mix(value * np.uint64(0x9E3779B97F4A7C15) + occurrence(value).astype(np.uint64))
 
 
-def rare_labels(labels: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """The labels of a text that come first in an order by rarity; similar texts have one of them in common.
+def rare_labels(labels: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY, alone: np.ndarray | None = None) -> np.ndarray:
+    """The labels of a text that come first in an order by rarity, those that are alone before all; similar texts have
+    one of them in common.
 
     Of the n labels of one, the other holds similarity * n at least, so both can't miss each other's first ones.
     """
     n = len(labels)
-    order = np.lexsort((labels, counts[labels & np.uint64(len(counts) - 1)]))
+    order = np.lexsort((labels, counts[labels & np.uint64(len(counts) - 1)], np.zeros(n, bool) if alone is None else ~alone))
     return labels[order[: _most(n, similarity) + 1]]
 
 
+def may_lack(n: int, run: int, similarity: float = SIMILARITY) -> int:
+    """How many labels of runs of a text of n words a similar text lacks at most.
+
+    A longer one of m words holds m - run + 1 of them, but for run of each of its (1 - similarity) * m edits; that is
+    least, beside the n - run + 1 of the text, where m is n.
+    """
+    return int(run * (1 - similarity) * n + 1e-6)
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Insertions, deletions and replacements between two sequences, or most + 1 if there are more than most.
 
@@ -399,38 +417,108 @@ def _counters(rows: DataFrame, labels: Callable[[pa.RecordBatch], Iterator[np.nd
     return np.concatenate([np.frombuffer(r.counts, np.int32) for r in sorted(parts, key=lambda r: r.part)] or [np.zeros(COUNTERS, np.int32)])
 
 
+def _slots(labels: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """Which of the labels have a bit in several, of 8 to a byte."""
+    at = labels & np.uint64(len(several) * 8 - 1)
+    return (several[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _several(texts: DataFrame, run: int, slots: int) -> np.ndarray:
+    """A bit for each slot of the labels of runs: whether texts of several groups have it; rows of words and group.
+
+    Labels that share a slot only let the bit be set more often. Slots go by SLOTS_PART to a task.
+    """
+
+    def noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for b in batches for part in by_bytes(b, BATCH, "words")):
+            own = [_labels(np.frombuffer(raw.as_py(), np.uint32), run) for raw in batch["words"]]
+            slot = (np.concatenate(own) & np.uint64(slots - 1)).astype(np.int64)
+            group = np.repeat(batch["group"].to_numpy(), [len(x) for x in own])
+            order = np.lexsort((group, slot))
+            slot, group = slot[order], group[order]
+            first = np.flatnonzero(np.diff(slot, prepend=-1))
+            last = np.append(first[1:], len(slot)) - 1
+            cut = np.searchsorted(slot[first], np.arange(0, slots + 1, SLOTS_PART))
+            some = np.flatnonzero(np.diff(cut))
+            raw = lambda x: pa.array([zlib.compress(x[cut[i] : cut[i + 1]].tobytes(), 1) for i in some], pa.binary())  # noqa: B023, E731
+            columns = [pa.array(some, pa.int32()), raw((slot[first] % SLOTS_PART).astype(np.int32)), raw(group[first]), raw(group[last])]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "at", "least", "most"])
+
+    def told(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, most = np.full(SLOTS_PART, np.iinfo(np.int64).max), np.full(SLOTS_PART, np.iinfo(np.int64).min)
+        for table in tables:
+            for row in zip(*[table[c] for c in ("at", "least", "most")], strict=True):
+                at, low, high = (np.frombuffer(zlib.decompress(x.as_py()), t) for x, t in zip(row, (np.int32, np.int64, np.int64), strict=True))
+                least[at], most[at] = np.minimum(least[at], low), np.maximum(most[at], high)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(least < most, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+
+    noted_rows = texts.select("words", "group").mapInArrow(noted, "part int, at binary, least binary, most binary")
+    found = np.zeros((slots // SLOTS_PART, SLOTS_PART // 8), np.uint8)
+    for r in noted_rows.groupBy("part").applyInArrow(told, "part int, bits binary").collect():  # a bit for each slot
+        found[r.part] = np.frombuffer(r.bits, np.uint8)
+    return found.ravel()
+
+
+def _slots_for(texts: DataFrame) -> int:
+    """Four slots for each word, within bounds, as a power of two."""
+    n = texts.agg(F.sum("n_words")).first()[0] or 0
+    return 1 << min(max((4 * n).bit_length(), LEAST_SLOTS), MOST_SLOTS)
+
+
+def _not_alone(texts: DataFrame, similarity: float) -> DataFrame:
+    """The texts but those that are similar to none of another group, as more of their runs of RUN words than may_lack
+    says stand in no other group. What is left is looked at again, ROUNDS times in all. texts is dropped."""
+    schema = ", ".join(f"{c} {t}" for c, t in texts.dtypes)
+    for _ in range(ROUNDS):
+        several = texts.sparkSession.sparkContext.broadcast(_several(texts, RUN, _slots_for(texts)))
+
+        def kept(batches: Iterator[pa.RecordBatch], several=several) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words = [np.frombuffer(raw.as_py(), np.uint32) for raw in batch["words"]]
+                keep = [np.count_nonzero(~_slots(_labels(w, RUN), several.value)) <= may_lack(len(w), RUN, similarity) for w in words]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        old, texts = texts, saved(texts.mapInArrow(kept, schema), "near-rare-texts")
+        dropped(old)
+    return texts
+
+
 def _rare_candidates(crowded: DataFrame, texts: DataFrame, reps: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
     """All pairs (a, b) of different groups among the crowded nodes that have one of their rarest words in common, and
     that lengths and marks let be similar. Words that more than SMALL nodes have are compared in blocks.
 
+    Nodes that no other group can have a similar text for are left out before, and so are words that one group has.
     Each row of a word carries what its pairs are judged by, and a bound for the number of the word's rows.
     """
     sides = saved(_sides(reps.join(crowded, "node", "left_semi"), groups), "near-rare-sides")
-    texts = saved(texts.join(sides, "node"), "near-rare-texts")
-    sizes = saved(sides.groupBy("group").agg(F.count(F.lit(1)).alias("own")), "near-rare-groups")
-    texts = saved(texts.join(sizes, "group"), "near-rare-texts")
+    left = _not_alone(saved(texts.join(sides, "node"), "near-rare-texts"), similarity)
+    sizes = saved(left.groupBy("group").agg(F.count(F.lit(1)).alias("own")), "near-rare-groups")
+    texts = saved(left.join(sizes, "group"), "near-rare-texts")
+    dropped(sides, left, sizes)
     kept = ["own", *SIDES]
     schema = ", ".join(f"{c} {t}" for c, t in texts.select(*kept).dtypes)
-    sent = texts.sparkSession.sparkContext.broadcast(_counters(texts.select("words"), lambda batch: (_labels(np.frombuffer(raw.as_py(), np.uint32)) for raw in batch["words"])))
+    context, labels = texts.sparkSession.sparkContext, lambda raw: _labels(np.frombuffer(raw.as_py(), np.uint32))
+    counts = context.broadcast(_counters(texts.select("words"), lambda batch: (labels(raw) for raw in batch["words"])))
+    several = context.broadcast(_several(texts, 1, _slots_for(texts)))
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = []
-            for raw in batch["words"]:
-                own = rare_labels(_labels(np.frombuffer(raw.as_py(), np.uint32)), sent.value, similarity)
-                keys.append(own[sent.value[own & np.uint64(COUNTERS - 1)] > 1].view(np.int64))
-            rows = batch.select(kept).take(pa.array(np.repeat(np.arange(batch.num_rows), [len(k) for k in keys])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), *rows.columns], ["key", *kept])
+    def chosen(raw: pa.Scalar) -> np.ndarray:
+        own = labels(raw)
+        own = rare_labels(own, counts.value, similarity, ~_slots(own, several.value))
+        return own[_slots(own, several.value)]
 
-    keyed = saved(texts.select("words", *kept).mapInArrow(rare, f"key long, {schema}"), "near-rare")
-    number = texts.sparkSession.sparkContext.broadcast(_counters(keyed.select("key"), lambda batch: iter([batch["key"].to_numpy().view(np.uint64)])))
+    number = context.broadcast(_counters(texts.select("words"), lambda batch: (chosen(raw) for raw in batch["words"])))
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = number.value[batch["key"].to_numpy().view(np.uint64) & np.uint64(COUNTERS - 1)]
-            yield batch.append_column("n", pa.array(n, pa.int32())).filter(pa.array(n > 1))
-
-    keyed = keyed.mapInArrow(counted, f"key long, {schema}, n int")
+            own = [chosen(raw) for raw in batch["words"]]
+            keys = np.concatenate([*own, np.zeros(0, np.uint64)])
+            n = number.value[keys & np.uint64(COUNTERS - 1)]
+            at = np.repeat(np.arange(batch.num_rows), [len(k) for k in own])[n > 1]
+            rows = batch.select(kept).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), *rows.columns, pa.array(n[n > 1], pa.int32())], ["key", *kept, "n"])
+
+    keyed = saved(texts.select("words", *kept).mapInArrow(rare, f"key long, {schema}, n int"), "near-rare")
+    dropped(texts)
     return _pairs_within(keyed.where(F.col("n") <= SMALL), similarity).union(_in_blocks(keyed.where(F.col("n") > SMALL), similarity)).distinct()
 
 
@@ -534,7 +622,7 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     common first meet two of them; the links found make groups. Sketches whose texts are still in several groups are
     searched on: small ones pair by pair; in larger ones, texts beside a large group meet one of it, and what stays
     apart meets all texts of other groups with a rare word in common, however many have it. Of two similar texts,
-    each holds one of the other's rarest words, so that search misses none. Texts of up to SHORT words meet every text
+    each holds one of the other's rarest words, and most of its runs of RUN words, so that search misses none. Texts of up to SHORT words meet every text
     that they may be linked to by an intact segment, which misses none. For others at 0.8, with edits at random places, 0.12 of the sketches are equal,
     and none is with a chance of 0.007; if the edits spare as few k-mers as can be, of 0.08.
     """
