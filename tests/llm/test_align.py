@@ -107,3 +107,36 @@ def test_empty(spark):
 @pytest.mark.parametrize("text", ["a b", "über  x", "▁"])
 def test_parts_join_to_the_text(text):
     assert "".join(align.pair_of(A, B).parts(text)) == " " + text
+
+
+def test_a_task_holds_few_blocks_at_a_time(spark, monkeypatch):
+    """Blocks are rows of some MB each, and Parquet by itself looks at sizes after 100 rows only."""
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def blocks(docs, a, b):
+        block = align.Block(align.Parts(align.pair_of(A, B)))
+        block.add([1], ["the cat"])
+        row = block.packed(0, pa.int64())
+        names, kinds = row.schema.names, ["long", "binary", "binary", "array<long>", "binary", "array<string>", *["binary"] * 6]
+
+        def large(batches):
+            for i in (i for x in batches for i in x["id"].to_pylist()):
+                own = {"block": pa.array([i]), "digests": pa.array([[os.urandom(1_500_000).hex()]])}
+                yield pa.RecordBatch.from_arrays([own.get(n, row[n]) for n in names], names)
+
+        return spark.range(0, 40, 1, 1).mapInArrow(large, ", ".join(map(" ".join, zip(names, kinds, strict=True))))
+
+    def saved(df, name, **more):
+        tables[name] = real(df, name, **more)
+        return tables[name]
+
+    tables, real = {}, align.saved
+    monkeypatch.setattr(align, "_blocks", blocks)
+    monkeypatch.setattr(align, "saved", saved)
+    align.align_tokens(spark.createDataFrame([(1, "the cat")], "doc_id long, text string"), A, B)
+    parts = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in tables["aligned-blocks"].inputFiles()]
+    groups = [m.row_group(i) for m in parts for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 40 and max(g.total_byte_size for g in groups) < 32 << 20

@@ -317,7 +317,7 @@ def align_tokens(docs: DataFrame, a: str, b: str) -> DataFrame:
     and again with their counts to the block's row, which stays below the size of its texts but for a few columns.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    blocks = saved(_blocks(docs, a, b), "aligned-blocks")
+    blocks = saved(_blocks(docs, a, b), "aligned-blocks", wide=True)
     each = blocks.select("block", "pairs", "seen").mapInArrow(_seen, "block long, pair long, n long").select("block", "pair")
     counted = each.join(saved(pair_counts(blocks), "pair-figures"), "pair").select("block", "pair", "n_docs", "is_best")
 

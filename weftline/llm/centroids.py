@@ -203,7 +203,7 @@ def cluster_vectors(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, *, wid
     fine = f"embedding is not null and size(embedding) = {width} and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
     kept = vectors.select("vec_id", "embedding").where(fine)
     spark = vectors.sparkSession
-    trees = saved(_trees(kept, width, scale), "kd-trees")
+    trees = saved(_trees(kept, width, scale), "kd-trees", wide=True)
     key = F.sha2(F.concat(F.lit(f"{seed}:"), id_key(F.col("vec_id"))), 256)
     starts = kept.orderBy(key, "embedding").limit(k).select(F.transform("embedding", lambda x: F.floor(scale * x.cast("double"))).alias("c")).collect()
     centroids = np.array([r.c for r in starts], np.int64).reshape(len(starts), width)

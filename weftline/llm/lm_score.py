@@ -276,7 +276,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     token_bits). Words without a training count are spelled: predictors of hashed letters, counted over all known
     words, are mixed the same way.
     """
-    blocks = saved(_blocks(docs), "lm-blocks")
+    blocks = saved(_blocks(docs), "lm-blocks", wide=True)
     vocabulary = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     lexicon = saved(vocabulary.groupBy("word").agg(F.sum("n").alias("c")), "lm-lexicon")
     code = F.crc32(F.col("word").cast("binary"))

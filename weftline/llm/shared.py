@@ -12,12 +12,18 @@ from weftline.plans.tables import shared_folder
 # The white space that separates words, as a Java regular expression and as characters.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
+#: How Parquet takes rows of some MB each: it looks at sizes after each row, not after the first 100, and ends a row group
+#: at 16 MB. Tasks that write or read then hold a few such rows, however many there are.
+WIDE = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: lineage ends there, and every reader sees the same rows."""
+def saved(df: DataFrame, name: str, *, wide: bool = False) -> DataFrame:
+    """df written as Parquet into the shared folder and read again: lineage ends there, and every reader sees the same rows.
+
+    wide: rows hold some MB each.
+    """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/weftline/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(WIDE if wide else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
