@@ -86,6 +86,30 @@ def test_no_edges(spark):
     assert waves.cycles(tasks.where("false"), frame).collect() == []
 
 
+@pytest.mark.parametrize("hub", [0, 10_000])
+def test_loops_over_graphs_send_no_tables_by_way_of_the_driver(spark, monkeypatch, hub):
+    plans, real = [], waves.written
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(waves, "written", seen)
+    monkeypatch.setattr(waves, "HUB", hub)
+    edges = [(i, (i + 1) % 9) for i in range(9)] + [(20 + i, 20 + (i + 1) % 3) for i in range(3)] + [(30, 4), (31, 30), (21, 31), (3, 40), (50, 50)]
+    tasks, frame = graph(spark, edges)
+    got = {x.id: (x.cycle_id, x.on_cycle, x.behind) for x in waves.cycles(tasks, frame).collect()}
+    want = strong(edges, got)
+    on = {*range(9), 20, 21, 22, 50}
+    assert got == {i: (want[i] if i in on else None, i in on, i in {30, 31}) for i in {x for e in edges for x in e}}
+    assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_tasks_that_share_no_file_have_the_first_turn(spark):
+    levels, owned = spark.createDataFrame([(1, 1), (2, 1)], "id long, wave int"), spark.createDataFrame([(1, "a"), (2, "b")], "id long, file string")
+    assert {tuple(x) for x in waves.serialised(levels, owned).collect()} == {(1, 1, 1), (2, 1, 1)}
+
+
 def test_a_hot_file_is_dealt_turns_in_few_rounds(spark, rounds):
     r = random.Random(5)
     owned = [(i, "hot") for i in range(400)] + [(i, f"f{r.randrange(900)}") for i in range(600) for _ in range(2)] + [(0, None)]

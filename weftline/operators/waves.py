@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, GroupedData, Observation, Window
 from pyspark.sql import functions as F
 
 from weftline.plans.tables import dropped, written
 
+#: Steps over a graph that one query takes, where no node has more than HUB strides: behind the first of them, Spark can't
+#: split the rows of a node.
+AT_ONCE, HUB = 6, 10_000
+
 
 def waves(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, wave, in_cycle): wave is 1 + the largest wave of a task's blockers; null on and behind a cycle.
@@ -33,16 +37,27 @@ def waves(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     return behind if placed is None else placed.withColumn("in_cycle", F.lit(False)).unionByName(behind)
 
 
+def _dealt(table: DataFrame) -> DataFrame:
+    """table, to be joined by a shuffle: in loops, tables that go to all executors by way of the driver add up, and Spark judges their size by compressed files."""
+    return table.hint("merge")
+
+
 def _squared(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs two strides apart, without those that lead back or to what was found."""
     first, second = pairs.select("__from", F.col("__to").alias("__by")), pairs.select(F.col("__from").alias("__by"), "__to")
-    return first.join(second, "__by").where("__from <> __to").select("__from", "__to").distinct().join(found.withColumnRenamed("id", "__to"), "__to", "left_anti").select("__from", "__to")
+    return first.join(_dealt(second), "__by").where("__from <> __to").select("__from", "__to").distinct().join(_dealt(found.withColumnRenamed("id", "__to")), "__to", "left_anti").select("__from", "__to")
 
 
 def _squared_size(pairs: DataFrame) -> int:
     """How many rows the join of pairs with themselves gives."""
-    into, out = pairs.groupBy(F.col("__to").alias("n")).agg(F.count(F.lit(1)).alias("a")), pairs.groupBy(F.col("__from").alias("n")).agg(F.count(F.lit(1)).alias("b"))
-    return into.join(out, "n").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0]
+    ends = _ends(pairs).agg(F.count(F.when(F.col("into"), 1)).alias("a"), F.count(F.when(~F.col("into"), 1)).alias("b"))
+    return ends.agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0]
+
+
+def _ends(pairs: DataFrame) -> GroupedData:
+    """The ends of pairs by node: `into` are those that lead to it."""
+    ends = F.explode(F.array(F.struct(F.col("__to").alias("n"), F.lit(True).alias("into")), F.struct(F.col("__from").alias("n"), F.lit(False).alias("into"))))
+    return pairs.select(ends.alias("e")).select("e.n", "e.into").groupBy("n")
 
 
 def reach(edges: DataFrame, seeds: DataFrame, source: str = "blocker", target: str = "id", growth: float = 4.0) -> DataFrame:
@@ -59,7 +74,7 @@ def reach(edges: DataFrame, seeds: DataFrame, source: str = "blocker", target: s
     doubling = True
     while True:
         steps = strides[-1] if doubling else reduce(DataFrame.union, strides)
-        new = written(steps.join(start.withColumnRenamed("id", "__from"), "__from", "left_semi").select(F.col("__to").alias("id")).distinct().join(found, "id", "left_anti"))
+        new = written(steps.join(_dealt(start.withColumnRenamed("id", "__from")), "__from", "left_semi").select(F.col("__to").alias("id")).distinct().join(_dealt(found), "id", "left_anti"))
         if new.isEmpty():
             dropped(new, *strides)
             return found
@@ -79,25 +94,32 @@ def _strides(pairs: DataFrame, n: int, growth: float) -> tuple[DataFrame, int]:
     strides, most = [pairs], growth * max(1, pairs.count())
     while 2 ** len(strides) < 2 * n and _squared_size(strides[-1]) <= most:
         first, second = strides[-1].select("__from", F.col("__to").alias("__by")), strides[-1].select(F.col("__from").alias("__by"), "__to")
-        strides.append(written(first.join(second, "__by").select("__from", "__to").distinct()))
+        strides.append(written(first.join(_dealt(second), "__by").select("__from", "__to").distinct()))
     out = written(reduce(DataFrame.union, [x.select(F.lit(k).alias("k"), "__from", "__to") for k, x in enumerate(strides)]))
     dropped(*strides)
     return out, len(strides) - 1
 
 
-def _by_strides(start: DataFrame, last: int, step: Callable[[DataFrame, int | None], DataFrame]) -> DataFrame:
+def _marked(df: DataFrame) -> tuple[DataFrame, dict]:
+    """df as a written table, and what tells two such tables apart, which is counted while it is written."""
+    mark = Observation()
+    out = written(df.observe(mark, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("hash")))
+    return out, mark.get
+
+
+def _by_strides(start: DataFrame, last: int, step: Callable[[DataFrame, int | None], DataFrame], at_once: int = 1) -> DataFrame:
     """The table that steps by each stride, and then by all of them (None), lead to, once nothing changes any more.
 
     A value that comes from farther than 2^k edges would have changed something exactly 2^k edges away, so a step
-    without a change is the last.
+    without a change is the last. So are several steps `at_once`, as no step takes back what another did.
     """
-    now, k = written(start), 0
-    mark = lambda t: tuple(t.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*t.columns).cast("decimal(38,0)"))).first())
-    before = mark(now)
+    (now, before), k = _marked(start), 0
     while True:
-        old, now = now, written(step(now, k if k <= last else None))
+        steps, old = now, now
+        for _ in range(at_once):
+            steps, k = step(steps, k if k <= last else None), k + 1
+        now, after = _marked(steps)
         dropped(old)
-        after, k = mark(now), k + 1
         if after == before:
             return now
         before = after
@@ -116,36 +138,40 @@ def components(ids: DataFrame, edges: DataFrame, source: str = "blocker", target
     every = ids.select("id").where("id is not null").distinct()
     pairs = edges.select(F.col(source).alias("__from"), F.col(target).alias("__to")).where("__from <> __to").distinct()
     for end in ("__from", "__to"):
-        pairs = pairs.join(every.withColumnRenamed("id", end), end, "left_semi").select("__from", "__to")
+        pairs = pairs.join(_dealt(every.withColumnRenamed("id", end)), end, "left_semi").select("__from", "__to")
     strides, last = _strides(written(pairs), every.count(), growth)
+    most = _ends(strides).agg(F.count(F.lit(1)).alias("rows")).agg(F.coalesce(F.max("rows"), F.lit(0))).first()[0]
+    at_once = AT_ONCE if most <= HUB else 1
     nodes, done, turn = every, None, 0
     while True:
         longest = strides.where(F.col("k") == last)
-        live = written(nodes.join(longest.select(F.col("__from").alias("id")).distinct(), "id", "left_semi").join(longest.select(F.col("__to").alias("id")).distinct(), "id", "left_semi"))
-        old, strides = strides, written(strides.join(live.select(F.col("id").alias("__from")), "__from", "left_semi").join(live.select(F.col("id").alias("__to")), "__to", "left_semi").select("k", "__from", "__to"))
+        live = written(nodes.join(_dealt(longest.select(F.col("__from").alias("id")).distinct()), "id", "left_semi").join(_dealt(longest.select(F.col("__to").alias("id")).distinct()), "id", "left_semi"))
+        among = strides.where("k >= 0").join(_dealt(live.select(F.col("id").alias("__from"))), "__from", "left_semi").join(_dealt(live.select(F.col("id").alias("__to"))), "__to", "left_semi").select("k", "__from", "__to")
+        # every step also stands still (-1), so that it keeps what was told before without a second look at it
+        old, strides = strides, written(among.union(live.select(F.lit(-1), "id", "id")))
         dropped(old)
-        if strides.isEmpty():
+        if strides.where("k >= 0").isEmpty():
             break
-        of = lambda k: strides if k is None else strides.where(F.col("k") == k)  # noqa: B023, E731
+        of = lambda k: strides if k is None else strides.where(F.col("k").isin(k, -1))  # noqa: B023, E731
         first = live.select("id", F.struct(F.xxhash64("id", F.lit(turn)).alias("hash"), F.col("id").alias("of")).alias("colour"))
-        told = lambda t, k: t.union(of(k).join(t.select(F.col("id").alias("__from"), "colour"), "__from").select("__to", "colour")).groupBy("id").agg(F.min("colour").alias("colour"))  # noqa: B023, E731
-        coloured = _by_strides(first, last, told)
-        colour = lambda end: coloured.select(F.col("id").alias(end), F.col("colour.of").alias(f"{end}_of"))  # noqa: B023, E731
+        told = lambda t, k: of(k).join(_dealt(t.select(F.col("id").alias("__from"), "colour")), "__from").groupBy(F.col("__to").alias("id")).agg(F.min("colour").alias("colour"))  # noqa: B023, E731
+        coloured = _by_strides(first, last, told, at_once)
+        colour = lambda end: _dealt(coloured.select(F.col("id").alias(end), F.col("colour.of").alias(f"{end}_of")))  # noqa: B023, E731
         old, strides = strides, written(strides.join(colour("__from"), "__from").join(colour("__to"), "__to").where("__from_of = __to_of").select("k", "__from", "__to"))
         dropped(old)
-        back = lambda t, k: t.union(of(k).join(t.select(F.col("id").alias("__to")), "__to", "left_semi").select("__from")).distinct()  # noqa: B023, E731
-        found = _by_strides(coloured.where("colour.of = id").select("id"), last, back)
-        own = coloured.join(found, "id", "left_semi").select("id", F.col("colour.of").alias("of"))
+        back = lambda t, k: of(k).join(_dealt(t.select(F.col("id").alias("__to"))), "__to", "left_semi").select(F.col("__from").alias("id")).distinct()  # noqa: B023, E731
+        found = _by_strides(coloured.where("colour.of = id").select("id"), last, back, at_once)
+        own = coloured.join(_dealt(found), "id", "left_semi").select("id", F.col("colour.of").alias("of"))
         # written, so that Spark can split a component that holds most rows
         least = written(own.groupBy("of").agg(F.min("id").alias("component")))
-        own = written(own.join(least, "of").select("id", "component"))
+        own = written(own.join(_dealt(least), "of").select("id", "component"))
         done = own if done is None else done.unionByName(own)
-        nodes = written(live.join(own, "id", "left_anti"))
+        nodes = written(live.join(_dealt(own), "id", "left_anti"))
         dropped(live, coloured, found, least)
         turn += 1
     if done is None:
         return every.withColumn("component", F.col("id"))
-    return every.join(done, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return every.join(_dealt(done), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def cycles(tasks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -153,15 +179,15 @@ def cycles(tasks: DataFrame, edges: DataFrame) -> DataFrame:
 
     A task that blocks itself is a cycle of one. Blockers that are no tasks don't block.
     """
-    ids = tasks.select("id").where("id is not null").distinct()
-    known = edges.select("id", "blocker").join(ids, "id", "left_semi").join(ids.withColumnRenamed("id", "blocker"), "blocker", "left_semi").select("id", "blocker").distinct()
+    ids = written(tasks.select("id").where("id is not null").distinct())
+    known = edges.select("id", "blocker").join(_dealt(ids), "id", "left_semi").join(_dealt(ids.withColumnRenamed("id", "blocker")), "blocker", "left_semi").select("id", "blocker").distinct()
     known = written(known)
     found = components(ids, known)
-    found = written(found.join(known.where("id = blocker").select("id", F.lit(True).alias("own")), "id", "left"))
+    found = written(found.join(_dealt(known.where("id = blocker").select("id", F.lit(True).alias("own"))), "id", "left"))
     sizes = written(found.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
-    on = written(found.join(sizes, "component").where("n > 1 or own").select("id", F.col("component").alias("cycle_id")))
+    on = written(found.join(_dealt(sizes), "component").where("n > 1 or own").select("id", F.col("component").alias("cycle_id")))
     waits = reach(known, on.select("id")).select("id", F.lit(True).alias("waits"))
-    rows = ids.join(on, "id", "left").join(waits, "id", "left")
+    rows = ids.join(_dealt(on), "id", "left").join(_dealt(waits), "id", "left")
     on_cycle = F.col("cycle_id").isNotNull()
     return rows.select("id", "cycle_id", on_cycle.alias("on_cycle"), (F.coalesce("waits", F.lit(False)) & ~on_cycle).alias("behind"))
 
@@ -252,7 +278,7 @@ def serialised(levels: DataFrame, owned: DataFrame) -> DataFrame:
     of = lambda k: strides if k is None else strides.where(F.col("k") == k)
 
     def behind(t: DataFrame, k: int | None) -> DataFrame:
-        later = of(k).join(t.select(F.col("id").alias("__from"), "turn"), "__from").select("__to", F.expr("turn + shiftleft(1L, k)"))
+        later = of(k).join(_dealt(t.select(F.col("id").alias("__from"), "turn")), "__from").select("__to", F.expr("turn + shiftleft(1L, k)"))
         return t.union(later).groupBy("id").agg(F.max("turn").alias("turn"))
 
     linked = of(0).select(F.col("__from").alias("id")).union(of(0).select("__to")).distinct()
